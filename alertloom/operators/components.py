@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from alertloom.functions.text import base_service
 from alertloom.functions.time import long_lit
-from alertloom.functions.vectors import unit_vectors
+from alertloom.functions.vectors import linkable
 from alertloom.operators import linking
 from alertloom.session import durable
 
@@ -92,7 +92,7 @@ def component_cells(
     if cross_threshold is not None and not loosest <= cross_threshold <= 1:
         raise ValueError("need threshold <= cross_threshold <= 1")
 
-    units = unit_vectors(vectors)
+    units = linkable(vectors)
     narrow = timed.select(
         *by, "alert_id", "ts_us", "vec_id", "window_us", base_service(F.col("service")).alias("base")
     )

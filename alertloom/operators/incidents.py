@@ -18,6 +18,7 @@ from alertloom.functions import text
 from alertloom.functions.time import clock, from_micros
 from alertloom.functions.vectors import dot, unit_vectors
 from alertloom.operators.ordering import position, top_per_group
+from alertloom.session import durable
 
 GROUP_COLUMNS = ["start_us", "end_us", "members", "cohesion"]
 
@@ -30,8 +31,10 @@ def group_figures(counts: DataFrame, vectors: DataFrame, by: Sequence[str] = ())
     alert. With S the sum of the unit vectors it is (u.S - u.u) / (n - 1).
     """
     group = [*by, "component_id"]
-    per_vec = counts.groupBy(*group, "vec_id").agg(
-        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
+    per_vec = durable(
+        counts.groupBy(*group, "vec_id").agg(
+            F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
+        )
     )
     totals = per_vec.groupBy(*group).agg(
         F.min("first_us").alias("start_us"),

@@ -13,13 +13,14 @@ minute, so they are never written out:
 * Runs of two similar vectors touch when their intervals are at most a window
   apart. On the common timeline of such a pair it is enough to compare each run
   with the run before it that ends last: two runs of one vector are more than a
-  window apart, so nothing else can reach it. That gives at most one edge per run
-  and similar vector, and the same connected components as all pairs.
+  window apart, so nothing else can reach it. Runs that reach each other form
+  islands, and each run gets one edge, to the first run of its island: at most one
+  edge per run and similar vector, and the same components as all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from alertloom.functions.text import base_service
 from alertloom.functions.time import bucket, long_lit
-from alertloom.functions.vectors import unit_vectors
+from alertloom.functions.vectors import linkable
 from alertloom.operators.ordering import running_sum
 
 # Vectors per side of one similarity block; bounds the memory of a task, not the result.
@@ -69,25 +70,28 @@ def runs(cells_: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _block_pairs(threshold: float):
-    def compare(frames: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        frame = frames
-        low, high = frame["lo"].iloc[0], frame["hi"].iloc[0]
-        left = frame[frame["block"] == low]
-        right = frame[frame["block"] == high]
+    # Nothing of this package is named inside, so executors need not have it installed.
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        def units(rows: pd.DataFrame) -> np.ndarray:
+            matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+            return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+        low, high = pair["lo"].iloc[0], pair["hi"].iloc[0]
+        left, right = pair[pair["block"] == low], pair[pair["block"] == high]
         if left.empty or right.empty:
             return pd.DataFrame({"vec_a": [], "vec_b": [], "sim": []})
-        sims = np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T
+        sims = units(left) @ units(right).T
         i, j = np.nonzero(sims >= threshold)
-        a, b = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j]
-        keep = a != b if low != high else a < b
-        a, b, s = a[keep], b[keep], sims[i, j][keep]
+        a, b, sim = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j], sims[i, j]
+        keep = a < b if low == high else a != b
         swap = a > b
-        return pd.DataFrame({"vec_a": np.where(swap, b, a), "vec_b": np.where(swap, a, b), "sim": s})
+        both = pd.DataFrame({"vec_a": np.where(swap, b, a), "vec_b": np.where(swap, a, b), "sim": sim})
+        return both[keep]
 
     return compare
 
 
-def similar_vectors(cells_: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+def similar_vectors(cells_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(vec_a, vec_b, sim) with vec_a < vec_b, for vectors that are active near each other in time.
 
     Vectors are compared block by block inside each epoch they are active in.
@@ -103,12 +107,12 @@ def similar_vectors(cells_: DataFrame, units: DataFrame, threshold: float) -> Da
     placed = (
         active.join(blocks, ["epoch_us", "epoch"])
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        .join(units, "vec_id")
+        .join(vectors, "vec_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
-    vec = units.schema["vec_id"].dataType.simpleString()
+    vec = vectors.schema["vec_id"].dataType.simpleString()
     return (
         placed.groupBy("epoch_us", "epoch", "lo", "hi")
         .applyInPandas(_block_pairs(threshold), f"vec_a {vec}, vec_b {vec}, sim double")
@@ -127,18 +131,21 @@ def touching_runs(runs_: DataFrame, pairs: DataFrame, by: Sequence[str]) -> Data
         *shared, "vec_a", "vec_b", F.explode(F.array("vec_a", "vec_b")).alias("vec_id")
     )
     timeline = W.partitionBy(*by, "vec_a", "vec_b").orderBy("start_us", "node")
-    before = timeline.rowsBetween(W.unboundedPreceding, -1)
-    reach = F.max(F.struct("end_us", "node")).over(before)
+    reach = F.max("end_us").over(timeline.rowsBetween(W.unboundedPreceding, -1))
+    apart = F.col("_reach").isNull() | (F.col("_reach") < F.col("start_us") - F.col("window_us"))
+    head = F.last(F.when(F.col("_apart"), F.col("node")), ignorenulls=True)
     return (
         runs_.join(sides, [*shared, "vec_id"])
         .withColumn("_reach", reach)
-        .where(F.col("_reach.end_us") >= F.col("start_us") - F.col("window_us"))
-        .select(F.col("_reach.node").alias("a"), F.col("node").alias("b"))
+        .withColumn("_apart", apart)
+        .select(head.over(timeline.rowsBetween(W.unboundedPreceding, 0)).alias("a"), F.col("node").alias("b"))
         .where("a != b")
     )
 
 
-def link_counts(alerts: DataFrame, units: DataFrame, pairs: DataFrame, window_us: int) -> DataFrame:
+def link_counts(
+    alerts: DataFrame, vecs: DataFrame, pairs: DataFrame, window_us: int, within: bool = True
+) -> DataFrame:
     """The similarity graph, losslessly packed.
 
     For an alert and a vector similar to its own (the same vector included), the
@@ -147,40 +154,28 @@ def link_counts(alerts: DataFrame, units: DataFrame, pairs: DataFrame, window_us
     number: (src, vec_b, sim, first_dst, last_dst, n_links). Rows grow with alerts
     times similar vectors, not with the pairs; the sum of n_links is the number of
     edges. Positions come from a running count that splits hot vectors.
+    `vecs` lists the linkable vectors; `within` is off when a vector's own alerts do not link.
     """
-    same = units.select(F.col("vec_id"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("sim"))
-    both = pairs.select(F.col("vec_a").alias("vec_id"), "vec_b", "sim").unionByName(
-        pairs.select(F.col("vec_b").alias("vec_id"), F.col("vec_a").alias("vec_b"), "sim")
+    same = vecs.select(F.col("vec_id"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("sim"))
+    ways = F.array(
+        F.struct(F.col("vec_a").alias("vec_id"), F.col("vec_b").alias("vec_b"), "sim"),
+        F.struct(F.col("vec_b").alias("vec_id"), F.col("vec_a").alias("vec_b"), "sim"),
     )
-    linked = alerts.select("alert_id", "ts_us", "vec_id")
-    asks = linked.join(same.unionByName(both), "vec_id")
+    both = pairs.select(F.inline(ways))
+    asks = alerts.select("alert_id", "ts_us", "vec_id").join(same.unionByName(both), "vec_id")
     # kind: 0 = an alert of vec_b, 1 = "how many up to me", 2 = "how many up to the end of my window".
-    points = linked.select(
-        F.col("vec_id").alias("vec_b"),
-        F.col("ts_us").alias("at"),
-        F.col("alert_id").alias("tie"),
-        F.lit(0).alias("kind"),
-        "alert_id",
-        F.lit(None).cast("double").alias("sim"),
-    )
-    here = asks.select(
-        "vec_b",
-        F.col("ts_us").alias("at"),
-        F.col("alert_id").alias("tie"),
-        F.lit(1).alias("kind"),
-        "alert_id",
-        "sim",
+    here, ahead = F.col("ts_us"), F.col("ts_us") + window_us
+    own = F.col("vec_id") == F.col("vec_b")
+    marks = F.array(
+        F.struct(F.lit(1).alias("kind"), here.alias("at"), F.col("alert_id").alias("tie")),
+        F.struct(F.lit(2).alias("kind"), ahead.alias("at"), long_lit(2**63 - 1).alias("tie")),
     )
-    ahead = asks.select(
-        "vec_b",
-        (F.col("ts_us") + window_us).alias("at"),
-        F.lit(2**63 - 1).alias("tie"),
-        F.lit(2).alias("kind"),
-        "alert_id",
-        "sim",
+    point = F.array(F.struct(F.lit(0).alias("kind"), here.alias("at"), F.col("alert_id").alias("tie")))
+    marked = asks.select(
+        "alert_id", "vec_b", "sim", F.inline(F.when(own, F.concat(point, marks) if within else point).otherwise(marks))
     )
     counted = running_sum(
-        points.unionByName(here).unionByName(ahead),
+        marked,
         ["vec_b"],
         ["at", "tie", "kind", "alert_id"],
         F.when(F.col("kind") == 0, 1).otherwise(0),
@@ -210,7 +205,7 @@ def similarity_edges(alerts: DataFrame, vectors: DataFrame, window_sec: float, t
     """All edges of the windowed similarity join, packed by `link_counts`."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    units = unit_vectors(vectors)
+    units = linkable(vectors)
     window_us = window_micros(window_sec)
     grouped = cells(alerts.withColumn("window_us", long_lit(window_us)), ["vec_id"])
     return link_counts(alerts, units, similar_vectors(grouped, units, threshold), window_us)
@@ -226,27 +221,31 @@ def cross_service_edges(
     """
     if not 0 < threshold <= cross_threshold <= 1:
         raise ValueError("need 0 < threshold <= cross_threshold <= 1")
-    units = unit_vectors(vectors)
+    units = linkable(vectors)
     window_us = window_micros(window_sec)
     grouped = cells(alerts.withColumn("window_us", long_lit(window_us)), ["vec_id"])
     pairs = similar_vectors(grouped, units, threshold)
     strong = link_counts(alerts, units, pairs.where(F.col("sim") >= cross_threshold), window_us)
 
     # Inside one service the vector ids are qualified by it, so that the same packing applies.
+    def qualified(vec: str) -> Column:
+        return F.struct("service", F.col(vec).alias("vec_id"))
+
     tagged = alerts.withColumn("service", base_service(F.col("service")))
-    services = tagged.select("service", "vec_id").distinct()
-    weak = pairs.where(F.col("sim") < cross_threshold)
-    left = services.select("service", F.col("vec_id").alias("vec_a"))
-    right = services.select("service", F.col("vec_id").alias("vec_b"))
-    qualify = F.struct("service", "vec_id")
-    inside = weak.join(left, "vec_a").join(right, ["service", "vec_b"])
-    inside = inside.select(
-        F.struct("service", F.col("vec_a").alias("vec_id")).alias("vec_a"),
-        F.struct("service", F.col("vec_b").alias("vec_id")).alias("vec_b"),
-        "sim",
+    services = tagged.select("service", "vec_id").distinct().join(units.select("vec_id"), "vec_id", "left_semi")
+    weak = (
+        pairs.where(F.col("sim") < cross_threshold)
+        .join(services.withColumnRenamed("vec_id", "vec_a"), "vec_a")
+        .join(services.withColumnRenamed("vec_id", "vec_b"), ["service", "vec_b"])
+        .select(qualified("vec_a").alias("vec_a"), qualified("vec_b").alias("vec_b"), "sim")
+    )
+    local = link_counts(
+        tagged.withColumn("vec_id", qualified("vec_id")),
+        services.select(qualified("vec_id").alias("vec_id")),
+        weak,
+        window_us,
+        within=False,
     )
-    none = units.limit(0).select(F.struct(F.lit("").alias("service"), "vec_id").alias("vec_id"))
-    local = link_counts(tagged.withColumn("vec_id", qualify), none, inside, window_us)
     return strong.withColumn("service", F.lit(None).cast("string")).unionByName(
         local.withColumn("service", F.col("vec_b.service")).withColumn("vec_b", F.col("vec_b.vec_id"))
     )

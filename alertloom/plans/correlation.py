@@ -11,6 +11,7 @@ from alertloom import schema
 from alertloom.functions.time import long_lit
 from alertloom.operators import alerts as A, components as C, embedding, evaluation, incidents as I, segments
 from alertloom.operators.linking import window_micros, with_bucket
+from alertloom.session import durable
 
 
 class Correlated(NamedTuple):
@@ -42,7 +43,8 @@ def scored_members(
 
 
 def correlate(alerts: DataFrame, vectors: DataFrame, **settings) -> Correlated:
-    members = scored_members(alerts, vectors, **settings)
+    """As scored_members, written once, with the incidents built on it."""
+    members = durable(scored_members(alerts, vectors, **settings))
     return Correlated(members, I.number_incidents(I.incident_heads(members)))
 
 

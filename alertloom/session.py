@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise df in reliable storage, so that a lost executor cannot change or undo it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    """Write df to the shared folder and read it back.
+
+    Cuts the lineage, so that a lost executor can neither change nor undo what was
+    computed, and gives later joins a real size to plan with. The folder may be
+    emptied once the results built on it are stored.
+    """
+    path = f"{shared_dir(df.sparkSession)}/alertloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
