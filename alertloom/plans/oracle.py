@@ -602,6 +602,18 @@ def _statements() -> dict[str, str]:
     q["eval_by_level"] = f"SELECT level, {COUNTERS} FROM matched GROUP BY 1"
     q["undetected_faults"] = """
         SELECT fault_id, ts, cmdb_id, failure_type_en FROM matched WHERE NOT detected ORDER BY ts_us, fault_id LIMIT 10"""
+
+    q["live_alert_rows"] = q["display_rows"]
+    q["live_dedup"] = """
+        SELECT DISTINCT date_trunc('hour', ts) AS ts, service, split_part(message, ' ', 1) AS message FROM alerts"""
+    q["live_rates"] = """
+        SELECT date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end, count(*) AS n
+        FROM alerts GROUP BY 1, 2"""
+    q["live_sliding_rates"] = """
+        SELECT date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS window_start,
+            date_trunc('minute', ts) - i * INTERVAL 1 MINUTE + INTERVAL 60 MINUTE AS window_end, count(*) AS n
+        FROM alerts, range(60) r(i) GROUP BY 1, 2"""
+    q["live_components"] = q["connected_components"]
     return q
 
 

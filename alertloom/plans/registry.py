@@ -22,6 +22,8 @@ from alertloom.operators import (
 from alertloom.plans import correlation, fixtures as fx
 from alertloom.session import prepare
 from alertloom.sources import faults as gt, logs, testbed
+from alertloom.streaming import feeds
+from alertloom.streaming.live import LiveCorrelation
 
 # Settings of the registered queries; the test vectors are random, so the library's own would link little.
 WINDOW, THRESHOLD, CROSS = 1800, 0.12, 0.2
@@ -558,3 +560,42 @@ def parameter_sweep(spark, sf):
     return correlation.parameter_sweep(
         fx.correlated_alerts(spark, sf), fx.vectors(spark, sf), fx.faults(spark, sf), SWEEP
     )
+
+
+# --- streams, run over everything present ------------------------------------------------------
+
+
+def stream(spark, sf) -> DataFrame:
+    events = feeds.file_stream(spark, sf, fx.events(spark, sf), glob="events.parquet")
+    return fx.as_alerts(events).withColumn("event_time", F.col("ts").cast("timestamp"))
+
+
+@query
+def live_alert_rows(spark, sf):
+    return feeds.append_all(serving.display_rows(stream(spark, sf)), feeds.scratch(spark, "rows"))
+
+
+@query
+def live_dedup(spark, sf):
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    coarse = stream(spark, sf).withColumns({"ts": hour, "message": F.element_at(F.split("message", " "), 1)})
+    once = feeds.without_copies(coarse.select("event_time", "ts", "service", "message"), delay="2 hours")
+    return feeds.append_all(once.drop("event_time"), feeds.scratch(spark, "once"))
+
+
+@query
+def live_rates(spark, sf):
+    return feeds.latest_all(feeds.rates(stream(spark, sf)), ["window_start", "window_end"], feeds.scratch(spark, "rates"))
+
+
+@query
+def live_sliding_rates(spark, sf):
+    sliding = feeds.rates(stream(spark, sf), "60 minutes", "1 minute")
+    return feeds.latest_all(sliding, ["window_start", "window_end"], feeds.scratch(spark, "sliding"))
+
+
+@query
+def live_components(spark, sf):
+    live = LiveCorrelation(fx.vectors(spark, sf), feeds.scratch(spark, "live"), WINDOW, THRESHOLD)
+    live.run(A.severity_filter(stream(spark, sf)).drop("event_time"))
+    return live.components(spark)
