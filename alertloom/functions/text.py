@@ -113,13 +113,16 @@ def storage_severity(logged: Column, message: Column) -> Column:
 
 
 def text_severity(text: Column) -> Column:
-    """One alternation per grade: a long text is lower-cased twice at most, not once per word."""
-    low = F.lower(text)
-    return (
-        F.when(F.regexp_like(low, F.lit("|".join(TEXT_ERROR_WORDS))), "ERROR")
-        .when(F.regexp_like(low, F.lit("|".join(TEXT_WARN_WORDS))), "WARN")
-        .otherwise("INFO")
-    )
+    """Binds the lower-cased text to a variable, so that a long one is lowered once and not per word."""
+
+    def grade(low: Column) -> Column:
+        return (
+            F.when(any_word(low, TEXT_ERROR_WORDS), "ERROR")
+            .when(any_word(low, TEXT_WARN_WORDS), "WARN")
+            .otherwise("INFO")
+        )
+
+    return F.get(F.transform(F.array(F.lower(text)), grade), F.lit(0))
 
 
 def normalize_severity(raw: Column) -> Column:

@@ -31,10 +31,8 @@ def group_figures(counts: DataFrame, vectors: DataFrame, by: Sequence[str] = ())
     alert. With S the sum of the unit vectors it is (u.S - u.u) / (n - 1).
     """
     group = [*by, "component_id"]
-    per_vec = durable(
-        counts.groupBy(*group, "vec_id").agg(
-            F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
-        )
+    per_vec = counts.groupBy(*group, "vec_id").agg(
+        F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
     )
     totals = per_vec.groupBy(*group).agg(
         F.min("first_us").alias("start_us"),
@@ -42,7 +40,8 @@ def group_figures(counts: DataFrame, vectors: DataFrame, by: Sequence[str] = ())
         F.sum("n").alias("members"),
         F.count("*").alias("_vecs"),
     )
-    sized = per_vec.join(totals, group)
+    # Written once: three branches below read it.
+    sized = durable(per_vec.drop("first_us", "last_us").join(totals, group))
     plain = sized.where("_vecs = 1").withColumn("cohesion", F.lit(1.0))
     mixed = sized.where("_vecs > 1").join(unit_vectors(vectors), "vec_id")
     sums = mixed.groupBy(*group).agg(

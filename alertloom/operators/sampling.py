@@ -17,17 +17,31 @@ def densest_window(alerts: DataFrame, window_minutes: int = 30, source: str | No
 
     Alerts shrink to minute counts first. Each minute is then copied into its own
     stretch of `window_minutes` and the one before, so every start finds its whole
-    window inside one stretch and no task sees more than two stretches.
+    window inside one stretch and no task sees more than two stretches. A window's
+    total is the running count at its end less the one before its start.
     """
     minutes = per_minute(alerts, source).select(
         F.call_function("div", micros(F.col("minute")), F.lit(MINUTE_US)).alias("m"), "n"
     )
     own = F.floor(F.col("m") / window_minutes)
-    copied = minutes.withColumn("own", own).withColumn("stretch", F.explode(F.array(own, own - 1)))
-    ahead = W.partitionBy("stretch").orderBy("m").rangeBetween(0, window_minutes - 1)
+    marks = F.array(
+        F.struct(own.alias("stretch"), F.col("m").alias("at"), F.lit(0).alias("kind"), F.col("n").alias("add")),
+        F.struct((own - 1).alias("stretch"), F.col("m").alias("at"), F.lit(2).alias("kind"), F.col("n").alias("add")),
+        F.struct(
+            own.alias("stretch"),
+            (F.col("m") + (window_minutes - 1)).alias("at"),
+            F.lit(3).alias("kind"),
+            F.lit(0).cast("long").alias("add"),
+        ),
+    )
+    # kind: 0 = a start, 2 = a minute of the next stretch, 3 = the end of a window.
+    along = W.partitionBy("stretch").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    running = minutes.select("m", F.inline(marks)).withColumn("upto", F.sum("add").over(along))
+    before_start = F.when(F.col("kind") == 0, F.col("add") - F.col("upto"))
     best = (
-        copied.withColumn("alerts", F.sum("n").over(ahead))
-        .where(F.col("own") == F.col("stretch"))
+        running.where("kind != 2")
+        .groupBy("m")
+        .agg(F.sum(F.coalesce(before_start, F.col("upto"))).alias("alerts"))
         .orderBy(F.desc("alerts"), "m")
         .limit(1)
     )

@@ -87,8 +87,8 @@ def parameter_sweep(
             "component_id", F.coalesce("component_id", F.struct("setting", F.col("alert_id").alias("component_id")))
         )
     )
-    members = I.score_members(labelled, vectors)
-    incidents = (
+    members = durable(I.score_members(labelled, vectors))
+    incidents = durable(
         I.incident_heads(members)
         .join(I.member_services(members), "component_id")
         .withColumns(

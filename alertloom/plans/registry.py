@@ -20,7 +20,7 @@ from alertloom.operators import (
     serving,
 )
 from alertloom.plans import correlation, fixtures as fx
-from alertloom.session import prepare
+from alertloom.session import durable, prepare
 from alertloom.sources import faults as gt, logs, testbed
 from alertloom.streaming import feeds
 from alertloom.streaming.live import LiveCorrelation
@@ -255,7 +255,7 @@ def densest_window(spark, sf):
 @query
 def stratified_sample(spark, sf):
     cleaned = fx.correlated_alerts(spark, sf)
-    busiest = sampling.densest_window(cleaned, 60 * 24 * 10, "hdfs")
+    busiest = durable(sampling.densest_window(cleaned, 60 * 24 * 10, "hdfs"))
     spread = sampling.stratified_sample(cleaned, busiest, target=SAMPLE + 1000)
     return spread.select("alert_id", "source", "cleaned_message")
 

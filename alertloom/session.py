@@ -14,6 +14,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # Top-k per group keeps k rows per group and task before its shuffle, up to this k.
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     return spark
 
 
