@@ -33,12 +33,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return siblings.unionByName(lowest.select("child", F.col("low").alias("parent")))
 
 
-def _is_star(edges: DataFrame) -> bool:
+def _with_leaves(edges: DataFrame) -> DataFrame:
+    """Flag the edges whose child has no other edge: it will share its parent's root, whatever that is."""
     roles = edges.select(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
         edges.select(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
     counted = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return counted.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+    leaves = counted.select(F.col("node").alias("child"), ((F.col("up") == 1) & (F.col("down") == 0)).alias("leaf"))
+    return edges.join(leaves, "child")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -46,17 +48,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected
     Components in MapReduce and Beyond", 2014): each round is two joins against
-    combined minima, the number of rounds is logarithmic, and no task ever holds a
-    component. Each round is written to reliable storage.
+    combined minima and no task ever holds a component. Nodes with a single edge
+    leave the rounds and are looked up at the end, so rounds shrink quickly. Each
+    round is written to reliable storage.
     """
-    forest = durable(
-        edges.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
-        .where("child != parent")
-        .distinct()
-    )
-    while not _is_star(forest):
-        forest = durable(_small_star(_large_star(forest).distinct()).distinct())
-    return forest.select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    forest = edges.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
+    forest = forest.where("child != parent").distinct()
+    settled = []
+    while True:
+        flagged = durable(_with_leaves(forest))
+        settled.append(flagged.where("leaf").select("child", "parent"))
+        rest = flagged.where("not leaf").select("child", "parent")
+        if rest.isEmpty():
+            break
+        forest = _small_star(_large_star(rest).distinct()).distinct()
+    roots = settled.pop().select(F.col("child").alias("node"), F.col("parent").alias("root"))
+    while settled:
+        upper = roots.withColumnRenamed("node", "parent")
+        found = settled.pop().join(upper, "parent", "left")
+        named = found.select(F.col("child").alias("node"), F.coalesce("root", "parent").alias("root"))
+        # Written, because the next step reads it twice.
+        roots = durable(roots.unionByName(named))
+    return roots
 
 
 def component_cells(
