@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from alertloom.functions.text import base_service
 from alertloom.functions.time import long_lit
@@ -109,64 +109,70 @@ def component_cells(
     narrow = timed.select(
         *by, "alert_id", "ts_us", "vec_id", "window_us", base_service(F.col("service")).alias("base")
     )
-    node = F.struct(*by, "first_id") if sweep else F.col("first_id")
-
-    chained = linking.runs(
-        linking.cells(narrow, [*by, "vec_id"]).join(units.select("vec_id"), "vec_id", "left_semi"),
-        [*by, "vec_id"],
-    )
-    chained = durable(chained)
-    heads = (
-        chained.groupBy(*by, "vec_id", "run")
-        .agg(
-            F.min("first_id").alias("first_id"),
-            F.min("first_us").alias("start_us"),
-            F.max("last_us").alias("end_us"),
-            F.first("window_us").alias("window_us"),
-        )
-        .withColumn("node", node)
+    keys = [*by, "vec_id"]
+    chained = durable(
+        linking.runs(linking.cells(narrow, keys).join(units.select("vec_id"), "vec_id", "left_semi"), keys)
     )
-    pairs = linking.similar_vectors(chained, units, loosest)
+    heads = run_heads(chained, keys, "first_id")
+    crowded = linking.crowded_epochs(chained)
+    crowded = None if crowded.isEmpty() else durable(crowded)
+    pairs = linking.similar_vectors(chained, units, loosest, crowded)
+    least = F.lit(float(loosest))
     if sweep:
-        pairs = durable(pairs)
+        least = setting_threshold
         pairs = (
-            pairs.withColumn("setting", F.explode(F.array(*[F.lit(s) for s, _, _ in settings])))
+            durable(pairs)
+            .withColumn("setting", F.explode(F.array(*[F.lit(s) for s, _, _ in settings])))
             .where(F.col("sim") >= setting_threshold)
         )
+    placed = chained.join(heads.select(*keys, "run", "node"), [*keys, "run"])
     if cross_threshold is None:
         edges = linking.touching_runs(heads, pairs, by)
+        if crowded is not None:
+            graded = placed.withColumn("min_sim", least)
+            edges = edges.unionByName(linking.crowded_links(graded, units, crowded, by))
     else:
         pairs = durable(pairs)
-        strong = linking.touching_runs(heads, pairs.where(F.col("sim") >= cross_threshold), by)
-        weak = _inside_service(narrow, heads, chained, pairs.where(F.col("sim") < cross_threshold), by)
-        edges = strong.unionByName(weak)
-
-    roots = components(edges)
-    labelled = heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = F.col("root.first_id") if sweep else F.col("root")
-    labels = labelled.select(*by, "vec_id", "run", component.alias("component_id"))
-    return chained.join(labels, [*by, "vec_id", "run"]).drop("run", "first_id")
-
-
-def _inside_service(narrow, heads, chained, pairs, by) -> DataFrame:
-    """Edges that hold only between alerts of one base service, between the runs that contain them."""
-    keys = [*by, "base", "vec_id"]
-    local = linking.runs(linking.cells(narrow, keys), keys)
-    # A service's run lies inside one run of its vector: look it up by its first bucket.
-    outer = chained.select(*by, "vec_id", "bucket", F.col("run").alias("_run")).join(
-        heads.select(*by, "vec_id", F.col("run").alias("_run"), "node"), [*by, "vec_id", "_run"]
-    )
-    spans = (
-        local.groupBy(*keys, "run")
-        .agg(
+        strong, weak = pairs.where(F.col("sim") >= cross_threshold), pairs.where(F.col("sim") < cross_threshold)
+        # A service's run lies inside one run of its vector, found by any bucket of it.
+        local_keys = [*by, "base", "vec_id"]
+        local = linking.runs(linking.cells(narrow, local_keys), local_keys).join(
+            placed.select(*keys, "bucket", "node"), [*keys, "bucket"]
+        )
+        inner = local.groupBy(*local_keys, "run").agg(
+            F.min("node").alias("node"),
             F.min("first_us").alias("start_us"),
             F.max("last_us").alias("end_us"),
             F.first("window_us").alias("window_us"),
         )
-        .withColumnRenamed("run", "bucket")
-        .join(outer, [*by, "vec_id", "bucket"])
+        edges = linking.touching_runs(heads, strong, by).unionByName(
+            linking.touching_runs(inner, weak, [*by, "base"]).drop("base")
+        )
+        if crowded is not None:
+            any_service = placed.withColumn("min_sim", F.lit(float(cross_threshold)))
+            one_service = local.withColumn("min_sim", least)
+            edges = edges.unionByName(linking.crowded_links(any_service, units, crowded, by)).unionByName(
+                linking.crowded_links(one_service, units, crowded, [*by, "base"]).drop("base")
+            )
+
+    def named(node: str) -> Column:
+        return F.struct(*by, F.col(node).alias("id")) if sweep else F.col(node)
+
+    roots = components(edges.select(named("a").alias("a"), named("b").alias("b")))
+    labelled = heads.withColumn("node", named("node")).join(roots, "node", "left")
+    root = F.coalesce("root", "node")
+    labels = labelled.select(*keys, "run", (root["id"] if sweep else root).alias("component_id"))
+    return chained.join(labels, [*keys, "run"]).drop("run", "first_id")
+
+
+def run_heads(chained: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """One row per run with its time range and, as `node`, its smallest label."""
+    return chained.groupBy(*keys, "run").agg(
+        F.min(label).alias("node"),
+        F.min("first_us").alias("start_us"),
+        F.max("last_us").alias("end_us"),
+        F.first("window_us").alias("window_us"),
     )
-    return linking.touching_runs(spans, pairs, [*by, "base"])
 
 
 def label_alerts(alerts: DataFrame, cells_: DataFrame, window_sec: float, columns: Sequence[str] = ()) -> DataFrame:

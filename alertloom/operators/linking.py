@@ -31,8 +31,10 @@ from alertloom.functions.time import bucket, long_lit
 from alertloom.functions.vectors import linkable
 from alertloom.operators.ordering import running_sum
 
-# Vectors per side of one similarity block; bounds the memory of a task, not the result.
+# Rows per side of one similarity block; bounds the memory of a task, not the result.
 BLOCK = 1024
+# Epochs with more distinct vectors than this are linked cell by cell, see crowded_links.
+CROWD = 4096
 EPOCH_US = 7 * 86_400 * 1_000_000
 
 
@@ -91,38 +93,134 @@ def _block_pairs(threshold: float):
     return compare
 
 
-def similar_vectors(cells_: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _epoch(bucket_: Column) -> Column:
+    """Epochs are whole numbers of buckets."""
+    per = F.greatest(F.ceil(long_lit(EPOCH_US) / F.col("window_us")), long_lit(1))
+    return bucket(bucket_, per)
+
+
+def _active(cells_: DataFrame) -> DataFrame:
+    """(window_us, epoch, vec_id): a link starts in its earlier bucket, so a cell also counts one bucket back."""
+    epochs = F.array_distinct(F.array(_epoch(F.col("bucket")), _epoch(F.col("bucket") - 1)))
+    return cells_.select("window_us", "vec_id", F.explode(epochs).alias("epoch")).distinct()
+
+
+def crowded_epochs(cells_: DataFrame) -> DataFrame:
+    counted = _active(cells_).groupBy("window_us", "epoch").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > CROWD).select("window_us", "epoch")
+
+
+def similar_vectors(
+    cells_: DataFrame, vectors: DataFrame, threshold: float, except_epochs: DataFrame | None = None
+) -> DataFrame:
     """(vec_a, vec_b, sim) with vec_a < vec_b, for vectors that are active near each other in time.
 
     Vectors are compared block by block inside each epoch they are active in.
-    Blocks come from the number of distinct vectors there, so a crowded epoch is
+    Blocks come from the number of distinct vectors there, so a fuller epoch is
     cut into more of them; every pair of blocks is one group of bounded size.
     """
-    epoch = F.greatest(long_lit(EPOCH_US), F.col("window_us") * 2)
-    ends = F.array(bucket(F.col("first_us"), epoch), bucket(F.col("last_us") + F.col("window_us"), epoch))
-    active = cells_.select(
-        "vec_id", epoch.alias("epoch_us"), F.explode(F.array_distinct(ends)).alias("epoch")
-    ).distinct()
-    blocks = active.groupBy("epoch_us", "epoch").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    epoch = ["window_us", "epoch"]
+    active = _active(cells_)
+    if except_epochs is not None:
+        active = active.join(except_epochs, epoch, "left_anti")
+    blocks = active.groupBy(*epoch).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = (
-        active.join(blocks, ["epoch_us", "epoch"])
+        active.join(blocks, epoch)
         .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
         .join(vectors, "vec_id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(long_lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
     vec = vectors.schema["vec_id"].dataType.simpleString()
     return (
-        placed.groupBy("epoch_us", "epoch", "lo", "hi")
+        placed.groupBy(*epoch, "lo", "hi")
         .applyInPandas(_block_pairs(threshold), f"vec_a {vec}, vec_b {vec}, sim double")
         .groupBy("vec_a", "vec_b")
         .agg(F.max("sim").alias("sim"))
     )
 
 
+def _spanning_edges():
+    # Nothing of this package is named inside, so executors need not have it installed.
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        def units(rows: pd.DataFrame) -> np.ndarray:
+            matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+            return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        own = group["ahead"] == 0
+        left = group[own & (group["block"] == i)]
+        right = group[(group["block"] == j) & (~own | (i <= j))]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        gaps = right["first_us"].to_numpy()[None, :] - left["last_us"].to_numpy()[:, None]
+        near = (right["ahead"].to_numpy() == 0)[None, :] | (gaps <= group["window_us"].iloc[0])
+        linked = near & (units(left) @ units(right).T >= group["min_sim"].iloc[0])
+        nodes, at = np.unique(np.concatenate([left["node"], right["node"]]), return_inverse=True)
+        rows, cols = at[: len(left)], at[len(left) :]
+        label = np.arange(len(nodes))
+        while True:
+            lower = label.copy()
+            np.minimum.at(lower, rows, np.where(linked, label[cols][None, :], len(nodes)).min(axis=1))
+            np.minimum.at(lower, cols, np.where(linked, label[rows][:, None], len(nodes)).min(axis=0))
+            lower = lower[lower]
+            if (lower == label).all():
+                break
+            label = lower
+        moved = label != np.arange(len(nodes))
+        return pd.DataFrame({"a": nodes[label[moved]], "b": nodes[moved]})
+
+    return link
+
+
+def crowded_links(cells_: DataFrame, vectors: DataFrame, crowded: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Edges (by..., a, b) between the nodes of linked cells, for epochs with very many vectors.
+
+    There, the pairs of similar vectors could grow with the square of the vectors. A
+    bucket and the one after it are instead cut into blocks, and each pair of blocks
+    gives a spanning forest of its links: at most one edge per cell and block pair.
+    `cells_`: by..., vec_id, bucket, first_us, last_us, window_us, min_sim, node.
+    """
+    group = [*by, "window_us", "anchor"]
+    roles = F.array(
+        F.struct(F.col("bucket").alias("anchor"), F.lit(0).alias("ahead")),
+        F.struct((F.col("bucket") - 1).alias("anchor"), F.lit(1).alias("ahead")),
+    )
+    placed = (
+        cells_.select("*", F.inline(roles))
+        .withColumn("epoch", _epoch(F.col("anchor")))
+        .join(crowded, ["window_us", "epoch"], "left_semi")
+    )
+    blocks = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    spread = (
+        placed.join(blocks, group)
+        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+        .withColumn("k", F.explode(F.sequence(long_lit(0), F.col("blocks") - 1)))
+    )
+    as_left = F.struct(F.col("block").alias("i"), F.col("k").alias("j"))
+    as_right = F.struct(F.col("k").alias("i"), F.col("block").alias("j"))
+    seats = (
+        F.when(F.col("ahead") == 1, F.array(as_right))
+        .when(F.col("k") < F.col("block"), F.array(as_left, as_right))
+        .otherwise(F.array(as_left))
+    )
+    seated = spread.select("*", F.inline(seats)).join(vectors, "vec_id")
+    kinds = dict(cells_.dtypes)
+    link, keys = _spanning_edges(), list(by)
+
+    def with_keys(rows: pd.DataFrame) -> pd.DataFrame:
+        edges = link(rows)
+        for key in keys:
+            edges[key] = rows[key].iloc[0]
+        return edges[[*keys, "a", "b"]]
+
+    columns = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "a long", "b long"])
+    return seated.groupBy(*group, "i", "j").applyInPandas(with_keys, columns)
+
+
 def touching_runs(runs_: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Edges (a, b) between run nodes of similar vectors whose intervals are a window apart or less.
+    """Edges (by..., a, b) between nodes of similar vectors whose runs are a window apart or less.
 
     `runs_`: by..., vec_id, node, start_us, end_us, window_us; `pairs`: vec_a, vec_b and any of `by`.
     """
@@ -138,7 +236,7 @@ def touching_runs(runs_: DataFrame, pairs: DataFrame, by: Sequence[str]) -> Data
         runs_.join(sides, [*shared, "vec_id"])
         .withColumn("_reach", reach)
         .withColumn("_apart", apart)
-        .select(head.over(timeline.rowsBetween(W.unboundedPreceding, 0)).alias("a"), F.col("node").alias("b"))
+        .select(*by, head.over(timeline.rowsBetween(W.unboundedPreceding, 0)).alias("a"), F.col("node").alias("b"))
         .where("a != b")
     )
 

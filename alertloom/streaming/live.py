@@ -23,7 +23,7 @@ from alertloom import schema
 from alertloom.functions.time import bucket, long_lit
 from alertloom.functions.vectors import linkable
 from alertloom.operators import linking
-from alertloom.operators.components import components
+from alertloom.operators.components import components, run_heads
 from alertloom.session import durable
 from alertloom.streaming.feeds import each_batch
 
@@ -102,17 +102,17 @@ class LiveCorrelation:
 
     def _relabel(self, cells: DataFrame, vectors: DataFrame) -> DataFrame:
         chained = durable(linking.runs(cells, ["vec_id"]))
-        heads = chained.groupBy("vec_id", "run").agg(
-            F.min("label").alias("node"),
-            F.min("first_us").alias("start_us"),
-            F.max("last_us").alias("end_us"),
-            F.first("window_us").alias("window_us"),
-        )
-        pairs = linking.similar_vectors(chained, vectors, self.threshold)
-        along = chained.join(heads.select("vec_id", "run", "node"), ["vec_id", "run"]).select(
-            F.col("label").alias("a"), F.col("node").alias("b")
-        )
-        roots = components(along.where("a != b").unionByName(linking.touching_runs(heads, pairs, [])))
+        heads = run_heads(chained, ["vec_id"], "label")
+        placed = chained.join(heads.select("vec_id", "run", "node"), ["vec_id", "run"])
+        along = placed.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a != b")
+        crowded = linking.crowded_epochs(chained)
+        crowded = None if crowded.isEmpty() else durable(crowded)
+        pairs = linking.similar_vectors(chained, vectors, self.threshold, crowded)
+        edges = along.unionByName(linking.touching_runs(heads, pairs, []))
+        if crowded is not None:
+            graded = placed.withColumn("min_sim", F.lit(float(self.threshold)))
+            edges = edges.unionByName(linking.crowded_links(graded, vectors, crowded, []))
+        roots = components(edges)
         return (
             chained.drop("run")
             .join(roots.withColumnRenamed("node", "label"), "label", "left")

@@ -63,6 +63,45 @@ def test_vector_blocks_split_a_crowded_epoch(spark, monkeypatch):
     assert got == union_find(range(60), [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 5, 0.9)])
 
 
+@pytest.fixture
+def crowded(monkeypatch):
+    """Every epoch counts as crowded, and blocks are tiny."""
+    monkeypatch.setattr(linking, "CROWD", 1)
+    monkeypatch.setattr(linking, "BLOCK", 3)
+
+
+@pytest.mark.parametrize("seed,window,threshold", CASES[:3])
+def test_crowded_epochs_give_the_same_components(spark, crowded, seed, window, threshold):
+    rows, vecs, alerts, vectors = tables(spark, seed)
+    got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, window, threshold).collect()}
+    edges = [(a, b) for a, b, _, _ in brute_edges(rows, vecs, window, threshold)]
+    assert got == union_find([r[0] for r in rows], edges)
+
+
+def test_crowded_epochs_with_services_and_settings(spark, crowded):
+    rows, vecs, alerts, vectors = tables(spark, 5)
+    ids = [r[0] for r in rows]
+    got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, 60, 0.1, 0.6).collect()}
+    assert got == union_find(ids, [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 60, 0.1, cross=0.6)])
+    settings = [(0, 30, 0.2), (1, 300, 0.7)]
+    cells = C.component_cells(alerts, vectors, None, None, settings=settings)
+    for s, window, threshold in settings:
+        one = cells.where(F.col("setting") == s)
+        got = {r.alert_id: r.component_id for r in C.label_alerts(alerts, one, window).collect()}
+        assert got == union_find(ids, [(a, b) for a, b, _, _ in brute_edges(rows, vecs, window, threshold)])
+
+
+def test_many_distinct_vectors_link_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linking, "CROWD", 50)
+    monkeypatch.setattr(linking, "BLOCK", 40)
+    rng = np.random.default_rng(0)
+    vecs = [(v, [float(x) for x in rng.normal(size=3)]) for v in range(150)]
+    rows = [(i, (i // 3) * SECOND, "s-1", "WARN", "m", i) for i in range(150)]
+    alerts, vectors = alerts_df(spark, rows), vectors_df(spark, vecs)
+    got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, 20, 0.97).collect()}
+    assert got == union_find(range(150), [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 20, 0.97)])
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
