@@ -53,7 +53,7 @@ def test_time_bound_reaches_the_scan(spark):
 
 @pytest.mark.parametrize("k", [3, 5000])
 def test_top_k_is_cut_before_the_shuffle(spark, k):
-    ranked = top_per_group(spark.range(0, 100, 1, 4).withColumn("g", F.col("id") % 3), "g", [F.col("id")], k)
+    ranked = top_per_group(spark.range(0, 100_000, 1, 4).withColumn("g", F.col("id") % 3), "g", [F.col("id")], k)
     before_shuffle = plan(ranked).split("Exchange", 1)[1]
     assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
 
