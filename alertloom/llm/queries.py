@@ -4,22 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import neardup
-from alertloom.llm.texts import table
+from alertloom.llm import neardup, topk, toxicity
+from alertloom.llm.texts import fold, learned_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(k: int, remainder: int):
+    return F.coalesce(fold("doc_id", k) == remainder, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = learned_rows(table(spark, sf_dir, "labels"), "toxic").where(fold("doc_id", 5) != 0)
+    out = toxicity.scored(docs, toxicity.fit(docs, labels))
+    score = F.col("toxic_score")
+    return out.select(
+        "doc_id",
+        held_out(5, 0).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.size("offences").alias("n_offences"),
+    )
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept"
     )
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+OP8_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_exact_topk": op8_exact_topk,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_exact_topk": OP8_SQL,
+}
