@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import neardup, topk, toxicity
+from alertloom.llm import mixing, neardup, packing, topk, toxicity
 from alertloom.llm.texts import fold, learned_rows, table
 
+#: The tokenizer file of op2 in the `tokenizers` format, by the package that installs it.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +19,16 @@ def held_out(k: int, remainder: int):
     return F.coalesce(fold("doc_id", k) == remainder, F.lit(False))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = learned_rows(table(spark, sf_dir, "labels"), "toxic").where(fold("doc_id", 5) != 0)
@@ -36,6 +49,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole(F.col("embedding")).alias("v"))
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
@@ -59,8 +76,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 QUERIES: dict[str, Query] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op8_exact_topk": op8_exact_topk,
 }
 
