@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import mixing, neardup, packing, topk, toxicity
+from alertloom.llm import language, mixing, neardup, packing, quality, topk, toxicity
 from alertloom.llm.texts import fold, learned_rows, table
 
 #: The tokenizer file of op2 in the `tokenizers` format, by the package that installs it.
@@ -19,6 +19,18 @@ def held_out(k: int, remainder: int):
     return F.coalesce(fold("doc_id", k) == remainder, F.lit(False))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = learned_rows(table(spark, sf_dir, "labels"), "quality").where(fold("doc_id", 3) != 1)
+    score = F.col("quality_score")
+    return quality.classified(docs, labels).select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -53,6 +65,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(fold("doc_id", 5) != 0))
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole(F.col("embedding")).alias("v"))
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
@@ -76,10 +96,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
 }
 
