@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import language, mixing, neardup, packing, quality, topk, toxicity
+from alertloom.llm import language, mixing, neardup, packing, quality, rules, topk, toxicity
 from alertloom.llm.texts import fold, learned_rows, table
 
 #: The tokenizer file of op2 in the `tokenizers` format, by the package that installs it.
@@ -65,6 +65,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.fit(docs, learned_rows(table(spark, sf_dir, "labels"), "quality"))
+    return rules.judged(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(fold("doc_id", 5) != 0))
@@ -101,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
 }
