@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import language, mixing, neardup, packing, quality, rules, topk, toxicity
+from alertloom.llm import language, licences, mixing, neardup, packing, pages, quality, rules, topk, toxicity
 from alertloom.llm.texts import fold, learned_rows, table
 
 #: The tokenizer file of op2 in the `tokenizers` format, by the package that installs it.
@@ -86,6 +86,16 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.main_text(rows, pages.fit(rows), ["page_id", "url"])
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.recognised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_matches")
+
+
 OP8_SQL = """
 WITH usable AS (
   SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
@@ -112,8 +122,11 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_license_scan": op10_license_scan,
 }
 
 SQL: dict[str, str] = {
     "op8_exact_topk": OP8_SQL,
+    "op10_license_scan": licences.oracle_sql(),
 }
