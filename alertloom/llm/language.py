@@ -199,7 +199,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
         return {"lang_pred": pa.array(names, pa.string()), "lang_score": pa.array(np.where(lettered, score, 0.0))}
 
     docs = docs.drop("lang_pred", "lang_score")
-    return T.over_texts(docs.withColumn("_text", docs["text"]), "_text", run, "lang_pred string, lang_score double")
+    return T.over_texts(docs, "text", run, "lang_pred string, lang_score double", docs.columns)
 
 
 def _has_letter(text: bytes) -> bool:

@@ -1,27 +1,28 @@
 """Near-duplicate documents: minimum hashes, a multi-index Hamming join, confirmation on whole shingle sets.
 
-A document's set holds its distinct shingles of `width` words (A-Z lower-cased). Two documents link when
+A document's set holds its distinct shingles of WIDTH words (A-Z lower-cased). Two documents link when
 100 * intersection >= percent * union. Steps:
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it. Copies never meet pair by pair.
-2. Each class gets a signature of CHUNKS x CHUNK minimum hashes of b = 16 bits. Signatures that differ in at most
-   CHUNKS * (ERRORS + 1) - 1 places differ, by pigeonhole, in at most ERRORS places of some chunk. A chunk's allowed
-   errors are enumerated by masking: one key for each choice of ERRORS places left out. Signatures within that
-   distance therefore share a key, always. Nothing is filtered by distance afterwards, so pairs beyond it that share
-   a key count as well: a pair at similarity s is missed only if every chunk has two errors or more, with
-   s = 0.75 in 1 of 9 million such pairs, with s = 0.8 in 1 of 2 billion.
+2. Each class gets a signature of PLACES = CHUNKS * CHUNK minimum hashes of b = 16 bits. Signatures that differ in at
+   most CHUNKS * (ERRORS + 1) - 1 places differ, by pigeonhole, in at most ERRORS places of some chunk. A chunk's
+   allowed errors are enumerated by masking: one key for each choice of ERRORS places left out. Signatures within that
+   distance therefore share a key, always; further ones do with the chance that some chunk has at most ERRORS errors.
+   A candidate shares a key and has a signature distance of at most FAR. A pair at similarity 0.75 is missed in 1 of 9
+   million cases (no shared key) plus 1 of 100 million (distance above FAR), one at 0.8 in 1 of 2 billion.
 3. Candidates are confirmed on the full sets. Pairs whose classes are joined already need no confirmation, since only
-   components are asked for. So a crowd of near copies is linked through leaders: every bucket names one, each class
-   is checked against the leader it shares most buckets with, and after a few such rounds what is left - classes of
-   one bucket, but of different components - is checked pair by pair, all of it.
+   components are asked for. So a crowd of near copies is linked through leaders: every bucket of a key names one, each
+   class is checked against the nearest leader it meets, and after a few such rounds what is left - classes of one
+   bucket, but of different components - is compared signature by signature, all of it, inside tasks that hold at most
+   two blocks of BLOCK rows of one bucket. Only pairs within FAR leave a task, each from one bucket alone.
 
-Hot keys: buckets are counted by aggregation with map-side combining and joined back by an equality join, which
-adaptive execution splits. No task holds a bucket, class or component.
+Each class has as many keys as all others, so a bucket holds at most a share of 1 / (CHUNKS * masks) of the keyed rows,
+however many near copies there are. No task holds a class or component.
 """
-
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ from alertloom.session import durable
 WIDTH = 5
 PERCENT = 75
 CHUNKS, CHUNK, ERRORS = 16, 5, 1
+PLACES = CHUNKS * CHUNK
+FAR = 43
 LEADER_ROUNDS = 3
+BLOCK = 2048
 
 _rng = np.random.default_rng(75)
 _ODD = _rng.integers(0, 2**31, CHUNKS * CHUNK, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,16 +80,107 @@ def _signed(chunk: list[bytes]) -> dict[str, pa.Array]:
     for k in range(len(_ODD)):
         least = T.per_text((low ^ _XOR[k]) * _ODD[k], first, np.minimum)
         places[k] = T.mix64(least.astype(np.uint64)) & np.uint64(0xFFFF)
-    keys = np.empty((len(chunk), len(_MASKS)), np.uint64)
-    for m, kept in enumerate(_MASKS):
-        packed = np.zeros(len(chunk), np.uint64)
-        for place in kept:
-            packed = (packed << np.uint64(16)) | places[place]
-        keys[:, m] = T.mix64(packed ^ T.mix64(np.full(1, m, np.uint64)))
+    signature = np.ascontiguousarray(places.T.astype("<u2"))
     full = first[1:] > first[:-1]
-    offsets = np.concatenate([[0], np.cumsum(np.where(full, len(_MASKS), 0))]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel().view(np.int64)))
-    return {"n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64)), "keys": lists}
+    signed = [signature[i].tobytes() if full[i] else None for i in range(len(chunk))]
+    made = {"n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64))}
+    return made | {"signature": pa.array(signed, pa.binary())}
+
+
+def _key(signatures: np.ndarray, mask: int) -> np.ndarray:
+    """The key of each row of places under one mask."""
+    packed = np.zeros(len(signatures), np.uint64)
+    for place in _MASKS[mask]:
+        packed = (packed << np.uint64(16)) | signatures[:, place].astype(np.uint64)
+    return T.mix64(packed ^ T.mix64(np.full(1, mask, np.uint64)))
+
+
+def _places(signatures: pa.Array) -> np.ndarray:
+    data = np.frombuffer(b"".join(signatures.to_pylist()), "<u2")
+    return data.reshape(-1, PLACES)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id): every key of each (id, signature)."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            places = _places(part.column(1))
+            keys = np.stack([_key(places, m) for m in range(len(_MASKS))], axis=1)
+            ids = np.repeat(part.column(0).to_numpy(), len(_MASKS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+
+def _first_key(same: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of pairs with places[i] on one side and equal to the other side's where same[i], the first key they share."""
+    errors = (~same).reshape(-1, CHUNKS, CHUNK)
+    chunk = (errors.sum(axis=2) <= ERRORS).argmax(axis=1)
+    out = np.zeros(len(same), np.uint64)
+    left = np.ones(len(same), bool)
+    for mask, kept in enumerate(_MASKS):
+        hit = left & (chunk == kept[0] // CHUNK)
+        hit[hit] = same[np.ix_(np.flatnonzero(hit), kept)].all(axis=1)
+        if hit.any():
+            out[hit] = _key(places[hit], mask)
+            left &= ~hit
+    return out
+
+
+def _near(percent: int):
+    """Pairs of one bucket, of different roots, whose sizes and signatures allow a link."""
+
+    def compare(key: int, rows: dict[str, np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((rows["id"], rows["block"]))
+        ids, n, root, places, block = (rows[c][order] for c in ("id", "n", "root", "places", "block"))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        split = int(np.searchsorted(block, block[0], "right")) if cross else 0
+        for i in range(split if cross else len(ids) - 1):
+            j = np.arange(split if cross else i + 1, len(ids))
+            j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            if len(j):
+                same = places[j] == places[i]
+                close = same.sum(axis=1) >= PLACES - FAR
+                j, same = j[close], same[close]
+            if len(j):
+                own = _first_key(same, places[j]).view(np.int64) == key
+                found.append((np.full(int(own.sum()), ids[i]), ids[j[own]]))
+        if not found:
+            return (np.zeros(0, np.int64),) * 2
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not table.num_rows:
+                return
+            low, high, key = (table[c].to_numpy() for c in ("low", "high", "key"))
+            rows = {c: table[c].to_numpy() for c in ("id", "n", "root", "block")}
+            rows["places"] = _places(table["signature"].combine_chunks())
+            change = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
+            left, right = [], []
+            for x, y in itertools.pairwise(cuts):
+                if y - x > 1 and (low[x] == high[x] or len(np.unique(rows["block"][x:y])) > 1):
+                    a, b = compare(int(key[x]), {c: v[x:y] for c, v in rows.items()}, bool(low[x] != high[x]))
+                    left.append(a), right.append(b)
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+        # Rows come sorted by cell; the last cell of a batch may go on in the next.
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            at = table.num_rows
+            last = tuple(table[c][at - 1].as_py() for c in ("key", "low", "high")) if at else None
+            while at and tuple(table[c][at - 1].as_py() for c in ("key", "low", "high")) == last:
+                at -= 1
+            yield from done(table.slice(0, at))
+            held = table.slice(at).combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return run
 
 
 def _sets(chunk: list[bytes]) -> dict[str, pa.Array]:
@@ -102,63 +197,73 @@ def _near_in_size(a: str, b: str, percent: int):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs (a, b), from their full shingle sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
+    """(a, b, linked) of stored pairs (a, b), from their full shingle sets."""
+    asked = T.small(pairs.select("a", "b"))
+    left = sets.join(asked, sets["id"] == asked["a"]).select("a", "b", F.col("shingles").alias("left"))
+    right = sets.join(asked, sets["id"] == asked["b"]).select("a", "b", F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     union = F.size("left").cast("long") + F.size("right").cast("long") - F.col("both")
-    return joined.select("a", "b", both.alias("both"), "left", "right").select(
-        "a", "b", (100 * F.col("both") >= percent * union).alias("linked")
-    )
+    joined = left.join(right, ["a", "b"]).select("a", "b", both.alias("both"), "left", "right")
+    return joined.select("a", "b", (100 * F.col("both") >= percent * union).alias("linked"))
 
 
-def _ordered(x: str, y: str):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def _distance(x: str, y: str):
+    """Places in which two signatures differ."""
+    differs = lambda i: (F.substring(x, 2 * i + 1, 2) != F.substring(y, 2 * i + 1, 2)).cast("int")
+    total = differs(0)
+    for i in range(1, PLACES):
+        total = total + differs(i)
+    return total
 
 
 def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that join the classes (id, n, keys) to their components.
+    """(a, b): links that join the stored classes (id, n, signature) to their components.
 
     sets_of(ids) gives (id, shingles) for a table of ids.
     """
-    spread = classes.select("id", "n", F.explode("keys").alias("key"))
-    order = F.xxhash64("id")
-    crowded = spread.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "id", "n")).alias("lead"))
-    crowded = crowded.where("size > 1").select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    buckets = durable(spread.join(crowded, "key"))
-    sets = durable(sets_of(buckets.select("id").distinct()))
+    # One shuffle by key serves the counts and the rows that they are joined to.
+    spread = classes.select("id", "signature").mapInArrow(_keys, "key long, id long").repartition("key")
+    lead = F.min(F.struct(F.xxhash64("id").alias("o"), "id"))["id"]
+    crowded = spread.groupBy("key").agg(F.count("*").alias("size"), lead.alias("lead")).where("size > 1")
+    buckets = durable(spread.join(crowded.select("key", "lead"), "key"))
+    met = durable(buckets.select("id").distinct())
+    sets = durable(sets_of(T.small(met)))
+    heads = durable(classes.join(T.small(met), "id", "left_semi"))
+    other = heads.select(*(F.col(c).alias(f"lead_{c}") for c in ("n", "signature")), F.col("id").alias("lead"))
     checked: DataFrame | None = None
-    rows, labels = buckets.withColumn("root", F.col("id")).withColumn("lead_root", F.col("lead")), None
-    for turn in range(LEADER_ROUNDS + 1):
-        if turn < LEADER_ROUNDS:
-            offers = rows.where((F.col("root") != F.col("lead_root")) & _near_in_size("n", "lead_n", percent))
-            offers = offers.groupBy("id", "lead").agg(F.count("*").alias("shared")).select("id", "lead", "shared", *_ordered("id", "lead"))
-        else:
-            mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-            rest = rows.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "root")
-            other = rest.select("key", *(F.col(c).alias(f"other_{c}") for c in ("id", "n", "root")))
-            pairs = rest.join(other, "key").where((F.col("root") < F.col("other_root")) & _near_in_size("n", "other_n", percent))
-            offers = pairs.select(*_ordered("id", "other_id")).distinct()
+    rows = buckets.select("key", "id", F.col("id").alias("root"), "lead", F.col("lead").alias("lead_root"))
+    for turn in range(LEADER_ROUNDS):
+        offers = rows.where("root != lead_root").select("id", "lead").distinct()
+        offers = offers.select("*", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         if checked is not None:
             offers = offers.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        if turn < LEADER_ROUNDS:
-            best = F.max(F.struct("shared", F.xxhash64("lead"), "a", "b")).alias("best")
-            offers = offers.groupBy("id").agg(best).select("best.a", "best.b").distinct()
-        found = durable(_confirmed(offers, sets, percent))
+        offers = offers.join(heads, "id").join(other, "lead").where(_near_in_size("n", "lead_n", percent))
+        offers = offers.select("id", "lead", "a", "b", _distance("signature", "lead_signature").alias("distance")).where(F.col("distance") <= FAR)
+        best = F.min(F.struct("distance", F.xxhash64("lead"), "a", "b")).alias("best")
+        pairs = durable(offers.groupBy("id").agg(best).select("best.a", "best.b").distinct())
+        found = durable(_confirmed(pairs, sets, percent))
         checked = found if checked is None else checked.unionByName(found)
-        if turn == LEADER_ROUNDS or (turn == 0 and found.isEmpty()):
-            break
         joined = checked.where("linked")
         labels = durable(components(joined.select("a", "b")).select(F.col("node").alias("id"), "root"))
-        sizes = joined.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        known = labels.join(sizes, "id", "full").select("id", F.col("root").alias("_r"), "degree")
-        rows = buckets.select("key", "id", "n").join(known, "id", "left")
-        rows = rows.select("key", "id", "n", F.coalesce("_r", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        lead = F.max(F.struct("degree", F.xxhash64("id").alias("o"), "id", "n", "root")).alias("lead")
-        leads = rows.groupBy("key").agg(lead).select("key", *(F.col(f"lead.{c}").alias(n) for c, n in (("id", "lead"), ("n", "lead_n"), ("root", "lead_root"))))
-        rows = rows.drop("degree") if turn + 1 == LEADER_ROUNDS else rows.drop("degree").join(leads, "key")
-    return checked.where("linked").select("a", "b")
+        degrees = joined.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        known = labels.join(degrees, "id", "full").select("id", F.col("root").alias("_root"), "degree")
+        rows = buckets.select("key", "id").join(T.small(durable(known)), "id", "left")
+        rows = rows.select("key", "id", F.coalesce("_root", "id").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        lead = F.max(F.struct("degree", F.xxhash64("id").alias("o"), "id", "root")).alias("lead")
+        leads = rows.groupBy("key").agg(lead, F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most"))
+        # Buckets of one component have nothing left to find.
+        leads = leads.where("least < most").select("key", "size", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"))
+        rows = durable(rows.drop("degree").join(leads, "key"))
+    # What is left: all pairs of different components in a bucket, block against block.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
+    rest = rows.join(heads, "id").select("key", "id", "n", "root", "signature", blocks.alias("blocks"), own.alias("block"))
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["key", "low", "high"]
+    rest = rest.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "root", "signature", "block")
+    rest = rest.repartition(*cell).sortWithinPartitions(*cell)
+    pairs = rest.mapInArrow(_near(percent), "a long, b long").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    return checked.unionByName(durable(_confirmed(durable(pairs), sets, percent))).where("linked").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -171,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of docs are ignored.
     """
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    signed = durable(T.over_texts(source, "text", _signed, "n long, h1 long, h2 long, keys array<long>"))
+    signed = durable(T.over_texts(source, "text", _signed, "n long, h1 long, h2 long, signature binary"))
     full = signed.where("n > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
     members = signed.select("doc_id", "n", "h1", "h2").join(classes.where("class_id is not null"), ["h1", "h2", "n"], "left")
@@ -179,11 +284,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = members.where("n > 0 and doc_id = class_id").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2")).alias("own"))
     heads = heads.select("doc_id", "own.n", "own.h1", "own.h2")
     # A head may be repeated, as a copy with the same id.
-    leaders = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "keys")
-    leaders = leaders.groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    leaders = full.join(heads, ["doc_id", "n", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "signature")
+    leaders = durable(leaders.dropDuplicates(["id"]))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        own = T.over_texts(source.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), "text", _sets, "shingles array<long>")
+        met = source.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        own = T.over_texts(met, "text", _sets, "shingles array<long>")
         # Of an id with several texts, the set of its class.
         sized = own.where(F.size("shingles") > 0).groupBy("doc_id").agg(F.max_by("shingles", F.size("shingles")).alias("shingles"))
         return sized.select(F.col("doc_id").alias("id"), "shingles")

@@ -181,6 +181,13 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
     return out.select(*[out[f"k{i}"].alias(c) for i, c in enumerate(kept)], "quality_score")
 
 
+def scored_texts(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with quality_score, in one pass over the texts; an earlier column of that name is replaced."""
+    docs = docs.drop("quality_score")
+    run = lambda chunk: {"quality_score": pa.array(model.scores(statistics(chunk)))}
+    return T.over_texts(docs, "text", run, "quality_score double", docs.columns)
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality_score) for each row of docs (doc_id, text), by a model of its rows with labels (doc_id, y).
 

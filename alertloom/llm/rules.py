@@ -208,4 +208,4 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     docs = docs.drop(*names, "base_failed", "probability", "kept")
     schema = ", ".join([*(f"{n} long" for n in names), "base_failed boolean, probability double, kept boolean"])
-    return T.over_texts(docs.withColumn("_text", docs["text"]), "_text", run, schema)
+    return T.over_texts(docs, "text", run, schema, docs.columns)

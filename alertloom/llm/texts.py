@@ -127,26 +127,37 @@ def chunked(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, li
 def over_texts(
     df: DataFrame, text: str, fn: Callable[[list[bytes]], dict[str, pa.Array]], schema: str, keep: list[str] | None = None
 ) -> DataFrame:
-    """Columns `keep` of df, and for each row the columns that fn makes from its text.
+    """Columns `keep` of df (all but the text if not given), and for each row the columns that fn makes from its text.
 
     fn gets a chunk of texts (bytes; null is empty) and returns a column for each name of `schema`, a row for each text.
     """
     ship(df.sparkSession)
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].cast("string").alias("t"))
-    kept = ", ".join(f"k{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep)))
+    sent = [df[c].alias(f"_k{i}") for i, c in enumerate(keep)]
+    at = keep.index(text) if text in keep else len(keep)
+    source = df.select(*sent, *([df[text].cast("string").alias("_text")] if at == len(keep) else []))
+    names = [f"_k{i}" for i in range(len(keep))]
+    kept = ", ".join(f"_k{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in chunked(batch.column(len(keep))):
+            for lo, texts in chunked(batch.column(at)):
                 made = fn(texts)
                 part = batch.slice(lo, len(texts))
-                names = [*(f"k{i}" for i in range(len(keep))), *made]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made.values()], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made.values()], names=[*names, *made])
 
     out = source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
-    names = [c for c in out.columns if not c.startswith("k") or c[1:] not in map(str, range(len(keep)))]
-    return out.select(*[out[f"k{i}"].alias(c) for i, c in enumerate(keep)], *names)
+    made = out.columns[len(keep) :]
+    return out.select(*[out[f"_k{i}"].alias(c) for i, c in enumerate(keep)], *made)
+
+
+#: Tables of ids up to this size (a few MB) are broadcast, larger ones are shuffled.
+SMALL_ROWS = 400_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most SMALL_ROWS rows."""
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
 def learned_rows(labels: DataFrame, label: str) -> DataFrame:

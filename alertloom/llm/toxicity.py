@@ -169,8 +169,9 @@ def scored(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
 
     docs = docs.drop("toxic_score", "offences")
     return T.over_texts(
-        docs.withColumn("_text", docs["text"]),
-        "_text",
+        docs,
+        "text",
         run,
         "toxic_score double, offences array<struct<start:bigint,length:bigint,score:double>>",
+        docs.columns,
     )
