@@ -20,18 +20,25 @@ from alertloom.session import durable
 AT = 0.5
 
 
+def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
+    """(docs with own columns of these names renamed, expressions that give the columns of docs back)."""
+    renamed = {c: f"_own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or of sentence scores is below AT."""
     labels = learned_rows(table(spark, sf_dir, "labels"), "toxic").where(fold("doc_id", 5) != 0)
-    found = toxicity.scored(docs, toxicity.fit(docs, labels))
-    return found.where(F.col("toxic_score") < AT).select(*docs.columns)
+    rows, own = _aside(docs, ["toxic_score", "offences"])
+    return toxicity.scored(rows, toxicity.fit(docs, labels)).where(F.col("toxic_score") < AT).select(*own)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quadratic discriminant gives AT or more."""
     labels = learned_rows(table(spark, sf_dir, "labels"), "quality").where(fold("doc_id", 3) != 1)
-    known = durable(quality.with_statistics(docs.join(small(durable(labels)), "doc_id").select("doc_id", "text", "y")))
-    return quality.scored_texts(docs, quality.fit(known)).where(F.col("quality_score") >= AT).select(*docs.columns)
+    known = durable(quality.with_statistics(docs.select("doc_id", "text").join(small(durable(labels)), "doc_id")))
+    rows, own = _aside(docs, ["quality_score"])
+    return quality.scored_texts(rows, quality.fit(known)).where(F.col("quality_score") >= AT).select(*own)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         return kept
     first = W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    one = kept.join(small(again), "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).where("_turn = 1")
+    one = kept.join(small(again), "doc_id", "left_semi").withColumn("_turn_", F.row_number().over(first)).where("_turn_ = 1")
     return kept.join(small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
