@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.functions import text
+from alertloom.functions.vectors import l2_normalize
+from alertloom.session import durable
 
 DIMENSIONS = 384
 
@@ -18,13 +18,23 @@ def tag_alerts(cleaned: DataFrame) -> DataFrame:
 
 
 def text_vectors(tagged: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(vec_id, tagged, embedding): hashed term weights of each distinct text, of unit length."""
-    texts = tagged.select("vec_id", "tagged").distinct()
-    words = Tokenizer(inputCol="tagged", outputCol="words").transform(texts)
-    counts = HashingTF(inputCol="words", outputCol="tf", numFeatures=dimensions).transform(words)
-    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted)
-    return unit.select("vec_id", "tagged", vector_to_array("unit").alias("embedding"))
+    """(vec_id, tagged, embedding): hashed term weights of each distinct text, of unit length.
+
+    A term's weight is its count times 1 + ln((texts + 1) / (texts with its dimension + 1)), which is never 0: a text
+    has a zero vector, which links with nothing, only if it has no word.
+    """
+    texts = durable(tagged.select("vec_id", "tagged").distinct())
+    place = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
+    words = texts.select("vec_id", F.explode(F.split(F.lower("tagged"), " ")).alias("word")).where("word != ''")
+    terms = words.groupBy("vec_id", place.cast("int").alias("dim")).agg(F.count("*").alias("n"))
+    held = terms.groupBy("dim").agg(F.count("*").alias("df"))
+    rarity = 1 + F.log(F.lit(texts.count() + 1.0) / (F.col("df") + 1))
+    weighted = terms.join(held, "dim").groupBy("vec_id")  # at most one row a dimension
+    sparse = weighted.agg(F.map_from_entries(F.collect_list(F.struct("dim", (F.col("n") * rarity).alias("w")))).alias("w"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("w", d), F.lit(0.0)))
+    none = F.array_repeat(F.lit(0.0), dimensions)
+    vectors = texts.join(sparse, "vec_id", "left").withColumn("_v", F.when(F.col("w").isNull(), none).otherwise(dense))
+    return vectors.select("vec_id", "tagged", l2_normalize(F.col("_v")).alias("embedding"))
 
 
 def sync_check(alerts: DataFrame, vectors: DataFrame) -> DataFrame:

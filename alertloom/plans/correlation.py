@@ -30,11 +30,15 @@ def scored_members(
     max_gap_sec: float | None = None,
     max_span_sec: float | None = None,
 ) -> DataFrame:
-    """Alerts (alert_id, ts, ts_us, service, vec_id, ...) with component, figures and score."""
+    """Alerts (alert_id, ts, ts_us, service, vec_id, ...) with component, figures and score.
+
+    Components are cut in time if a largest gap or span is given; the other of the two then has its default.
+    """
     cells = C.component_cells(alerts, vectors, window_sec, threshold, cross_threshold)
-    if max_gap_sec is not None:
+    if max_gap_sec is not None or max_span_sec is not None:
         labelled = C.label_alerts(alerts, cells, window_sec)
-        cut = segments.segmented(labelled, max_gap_sec, max_span_sec or schema.MAX_SPAN_SEC)
+        gap = schema.MAX_GAP_SEC if max_gap_sec is None else max_gap_sec
+        cut = segments.segmented(labelled, gap, schema.MAX_SPAN_SEC if max_span_sec is None else max_span_sec)
         return I.score_members(cut, vectors)
     # Cells carry counts, so all figures come from them and alerts are joined once.
     figures = I.group_figures(cells, vectors)

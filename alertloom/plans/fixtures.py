@@ -13,9 +13,6 @@ from alertloom.functions.time import micros
 from alertloom.operators import alerts as A
 from alertloom.sources import faults as gt
 
-VECTORS = 8
-
-
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -28,7 +25,8 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
-def as_alerts(rows: DataFrame) -> DataFrame:
+def as_alerts(rows: DataFrame, n_vectors: int) -> DataFrame:
+    """Events as alerts; users share the vectors out, in turn."""
     error = F.col("event_type") == "error"
     source = F.when(F.col("user_id") % 3 == 0, "hdfs").when(F.col("user_id") % 3 == 1, "spark").otherwise("aiops")
     severity = (
@@ -45,12 +43,12 @@ def as_alerts(rows: DataFrame) -> DataFrame:
         _cat("svc", _s(F.col("user_id") % 12), "-", _s(F.col("event_id") % 3)).alias("service"),
         severity.alias("severity"),
         _cat(F.col("event_type"), " failed for blk_", _s("event_id"), " at 10.0.", _s(F.col("user_id") % 256), ".7:50010 ", F.col("props")).alias("message"),
-        (F.col("user_id") % VECTORS).alias("vec_id"),
+        (F.col("user_id") % n_vectors).alias("vec_id"),
     )
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    return as_alerts(events(spark, sf))
+    return as_alerts(events(spark, sf), vectors(spark, sf).count())
 
 
 def correlated_alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +56,21 @@ def correlated_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return A.with_cleaned_message(A.severity_filter(alerts(spark, sf)), unicode=False)
 
 
+def document_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as warnings, a minute apart, with their whole texts as messages."""
+    at = F.timestamp_seconds(F.col("doc_id") * 60 + 1_704_067_200).cast("timestamp_ntz")
+    rows = documents(spark, sf).select(
+        (-1 - F.col("doc_id")).alias("alert_id"),
+        at.alias("ts"),
+        micros(at).alias("ts_us"),
+        F.lit("aiops").alias("source"),
+        _cat(F.col("source"), "-", _s(F.col("doc_id") % 3)).alias("service"),
+        F.lit("WARN").alias("severity"),
+        F.col("text").alias("message"),
+    )
+    return A.with_cleaned_message(rows, unicode=False)
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
 
@@ -127,6 +140,11 @@ def service_logs(spark: SparkSession, sf: str) -> DataFrame:
     return structured.unionByName(free)
 
 
+def _service_or_none() -> Column:
+    """A service name, or null as CSV reads an empty field."""
+    return F.when(F.col("event_id") % 7 != 0, _cat("svc", _s(F.col("user_id") % 12), "-", _s(F.col("event_id") % 3)))
+
+
 def gateway_logs(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
     code = F.when(kind == "error", _s(F.col("user_id") % 4 + 500)).when(kind == "signup", "404").when(kind == "purchase", "301").otherwise("200")
@@ -134,7 +152,7 @@ def gateway_logs(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(
         _cat("g", _s("event_id")).alias("log_id"),
         _epoch_text().alias("timestamp"),
-        _cat("svc", _s(F.col("user_id") % 12), "-", _s(F.col("event_id") % 3)).alias("cmdb_id"),
+        _service_or_none().alias("cmdb_id"),
         F.lit("gateway").alias("log_name"),
         F.when(kind == "click", _cat("connection opened ", code)).otherwise(request).alias("value"),
     )
@@ -145,13 +163,13 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     millis = F.call_function("div", micros(F.col("ts")), F.lit(1000))
     return events(spark, sf).select(
         F.when(F.col("value") >= 150, "n/a").otherwise(_s(millis)).alias("timestamp"),
-        _cat("svc", _s(F.col("user_id") % 12), "-", _s(F.col("event_id") % 3)).alias("cmdb_id"),
-        _cat("s", _s("event_id")).alias("span_id"),
-        F.md5(_s("event_id")).alias("trace_id"),
+        _service_or_none().alias("cmdb_id"),
+        F.when(F.col("event_id") % 13 != 0, _cat("s", _s("event_id"))).alias("span_id"),
+        F.when(F.col("event_id") % 17 != 0, F.md5(_s("event_id"))).alias("trace_id"),
         _s(F.floor(F.col("value") * 100)).alias("duration"),
         F.lit("rpc").alias("type"),
         F.when(kind == "error", _s(F.col("user_id") % 3)).when(kind == "view", "x").otherwise("0").alias("status_code"),
-        _cat("shop/", kind).alias("operation_name"),
+        F.when(F.col("event_id") % 11 != 0, _cat("shop/", kind)).alias("operation_name"),
         F.lit("").alias("parent_span"),
     )
 
@@ -176,18 +194,18 @@ def _order(folder: int, file: str, at: Column) -> dict[str, Column]:
 
 
 def fault_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """One label row per click."""
-    rows = events(spark, sf).where("event_type = 'click'")
+    """One label row per event that is neither a view nor a purchase."""
+    rows = events(spark, sf).where("event_type NOT IN ('view', 'purchase')")
     columns = {**_fault_columns(), **_order(0, "faults.csv", F.col("event_id"))}
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def fault_json(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON object of parallel arrays per view; its second entry repeats the first with another level."""
+    """One JSON object of parallel arrays per view or purchase; its second entry repeats the first with another level."""
     columns = _fault_columns()
     twice = {n: F.array(c, F.lit("pod") if n == "level" else c) for n, c in columns.items()}
     text = F.to_json(F.struct(*[c.alias(n) for n, c in twice.items()]))
-    objects = events(spark, sf).where("event_type = 'view'").select(
+    objects = events(spark, sf).where("event_type IN ('view', 'purchase')").select(
         "event_id", F.from_json(text, schema.FAULT_JSON_SCHEMA).alias("o")
     )
     rows = gt.explode_arrays(objects.select("event_id", "o.*"))

@@ -108,6 +108,7 @@ BODY = """CASE event_type
     WHEN 'purchase' THEN 'Connection reset by 10.0.' || (user_id % 256) || '.7:50010'
     ELSE 'Verification succeeded for blk_' || event_id END"""
 SERVICE = "'svc' || (user_id % 12) || '-' || (event_id % 3)"
+SOME_SERVICE = f"CASE WHEN event_id % 7 <> 0 THEN {SERVICE} END"
 EPOCH = "CASE WHEN value >= 150 THEN 'n/a' WHEN value >= 120 THEN '' ELSE (epoch_us(ts) // 1000000)::VARCHAR END"
 KINDS = "[" + ", ".join(quote(k) for k in [*gt.FAILURE_TYPES, "unlisted fault"]) + "]"
 FAILURE_EN = (
@@ -138,7 +139,7 @@ CTES["alerts"] = f"""
         CASE WHEN event_type = 'error' AND value >= 150 THEN 'FATAL' WHEN event_type = 'error' THEN 'ERROR'
              WHEN event_type IN ('signup', 'purchase') THEN 'WARN' ELSE 'INFO' END AS severity,
         event_type || ' failed for blk_' || event_id || ' at 10.0.' || (user_id % 256) || '.7:50010 ' || props AS message,
-        user_id % 8 AS vec_id
+        user_id % (SELECT count(*) FROM embeddings) AS vec_id
     FROM events"""
 CTES["severe"] = "SELECT * FROM alerts WHERE severity IN ('WARN', 'ERROR', 'FATAL')"
 CTES["cleaned"] = f"SELECT *, {clean('message')} AS cleaned_message, {base('service')} AS base FROM severe"
@@ -182,12 +183,12 @@ CTES["service_graded"] = f"""
                 ELSE value END AS m
           FROM (SELECT *, {group(testbed.SEVERITY_FIELD, 1)} AS field FROM service_raw WHERE stamp <> ''))"""
 CTES["gateway_graded"] = f"""
-    SELECT {ts_of_seconds(whole('stamp'))} AS ts, 'aiops' AS source, cmdb_id AS service,
+    SELECT {ts_of_seconds(whole('stamp'))} AS ts, 'aiops' AS source, coalesce(cmdb_id, 'unknown') AS service,
         CASE WHEN code >= 500 THEN 'ERROR' ELSE 'WARN' END AS severity,
-        'HTTP ' || code || ' on ' || cmdb_id || ': ' || substring(value, 1, 150) AS message,
+        'HTTP ' || code || ' on ' || coalesce(cmdb_id, '') || ': ' || substring(value, 1, 150) AS message,
         log_id AS event_id, substring(value, 1, 200) AS raw_line
     FROM (SELECT *, TRY_CAST({group(testbed.GATEWAY_STATUS, 1)} AS INTEGER) AS code
-          FROM (SELECT 'g' || event_id AS log_id, {EPOCH} AS stamp, {SERVICE} AS cmdb_id,
+          FROM (SELECT 'g' || event_id AS log_id, {EPOCH} AS stamp, {SOME_SERVICE} AS cmdb_id,
                     CASE WHEN event_type = 'click' THEN 'connection opened 200'
                     ELSE '"POST /shop.' || event_type || '/Get HTTP/2" ' || CASE event_type WHEN 'error' THEN (500 + user_id % 4)::VARCHAR
                         WHEN 'signup' THEN '404' WHEN 'purchase' THEN '301' ELSE '200' END || ' - via_upstream ' || props END AS value
@@ -195,14 +196,16 @@ CTES["gateway_graded"] = f"""
           WHERE stamp <> '')
     WHERE code >= 400"""
 CTES["span_graded"] = f"""
-    SELECT make_timestamp({whole('stamp')} * 1000) AS ts, 'aiops' AS source, cmdb_id AS service,
+    SELECT make_timestamp({whole('stamp')} * 1000) AS ts, 'aiops' AS source, CASE WHEN cmdb_id = '' THEN 'unknown' ELSE cmdb_id END AS service,
         CASE WHEN code <> 0 THEN 'ERROR' ELSE 'WARN' END AS severity,
         CASE WHEN code <> 0 THEN 'Span error (code=' || code || ') on ' || op || ' [' || cmdb_id || '] duration=' || took || 'ms trace=' || substring(trace_id, 1, 16)
              ELSE 'Slow span (' || took || 'ms) on ' || op || ' [' || cmdb_id || '] trace=' || substring(trace_id, 1, 16) END AS message,
         span_id AS event_id,
         'trace=' || trace_id || ' span=' || span_id || ' op=' || op || ' status=' || code || ' dur=' || took AS raw_line
     FROM (SELECT CASE WHEN value >= 150 THEN 'n/a' ELSE (epoch_us(ts) // 1000)::VARCHAR END AS stamp,
-                {SERVICE} AS cmdb_id, 's' || event_id AS span_id, md5(event_id::VARCHAR) AS trace_id, 'shop/' || event_type AS op,
+                coalesce({SOME_SERVICE}, '') AS cmdb_id, CASE WHEN event_id % 13 <> 0 THEN 's' || event_id ELSE '' END AS span_id,
+                CASE WHEN event_id % 17 <> 0 THEN md5(event_id::VARCHAR) ELSE '' END AS trace_id,
+                CASE WHEN event_id % 11 <> 0 THEN 'shop/' || event_type ELSE '' END AS op,
                 CASE event_type WHEN 'error' THEN user_id % 3 WHEN 'view' THEN NULL ELSE 0 END AS code, floor(value * 100)::BIGINT AS took
           FROM events)
     WHERE code <> 0 OR took > {schema.SLOW_SPAN} AND code IS NOT NULL"""
@@ -211,7 +214,7 @@ CTES["fault_csv"] = f"""
         CASE user_id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'service' ELSE 'pod' END AS level,
         CASE WHEN user_id % 3 = 0 THEN 'node-' || (user_id % 6) ELSE {SERVICE} END AS cmdb_id,
         {KINDS}[event_id % 16 + 1] AS failure_type, 'faults.csv' AS source_file, 0 AS folder, event_id AS place
-    FROM events WHERE event_type = 'click'"""
+    FROM events WHERE event_type NOT IN ('view', 'purchase')"""
 CTES["fault_json"] = f"""
     SELECT timestamp_epoch, CASE WHEN i = 1 THEN 'pod' ELSE level END AS level, cmdb_id, failure_type,
         'faults.json' AS source_file, 2 AS folder, event_id * 2 + i AS place
@@ -219,7 +222,7 @@ CTES["fault_json"] = f"""
             CASE user_id % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'service' ELSE 'pod' END AS level,
             CASE WHEN user_id % 3 = 0 THEN 'node-' || (user_id % 6) ELSE {SERVICE} END AS cmdb_id,
             {KINDS}[event_id % 16 + 1] AS failure_type, unnest([0, 1]) AS i
-          FROM events WHERE event_type = 'view')"""
+          FROM events WHERE event_type IN ('view', 'purchase'))"""
 CTES["truth"] = f"""
     SELECT make_timestamp(timestamp_epoch * 1000000) AS ts, timestamp_epoch, level, cmdb_id, failure_type,
         {FAILURE_EN} AS failure_type_en, source_file
@@ -230,8 +233,8 @@ CTES["faults"] = """
 CTES["sims"] = """
     SELECT a.vec_id AS va, b.vec_id AS vb,
         CASE WHEN a.vec_id = b.vec_id THEN 1.0::DOUBLE ELSE list_dot_product(a.u, b.u) / (sqrt(list_dot_product(a.u, a.u)) * sqrt(list_dot_product(b.u, b.u))) END AS sim
-    FROM (SELECT vec_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id < 8) a,
-         (SELECT vec_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id < 8) b"""
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id IN (SELECT vec_id FROM cleaned)) a,
+         (SELECT vec_id, embedding::DOUBLE[] AS u FROM embeddings WHERE vec_id IN (SELECT vec_id FROM cleaned)) b"""
 
 
 def pairs(window_us: int | str, condition: str) -> str:
@@ -353,6 +356,49 @@ def matched(incidents_cte: str, services_cte: str) -> str:
 
 CTES["matched"] = matched("cross_incidents", "cross_services")
 
+# Texts to vectors: the same statements run over event alerts alone, and over events and documents.
+CTES["text_alerts"] = f"""
+    SELECT alert_id, ts, ts_us, source, service, severity, message, cleaned_message, base FROM cleaned
+    UNION ALL
+    SELECT -1 - doc_id, make_timestamp((doc_id * 60 + 1704067200) * 1000000), (doc_id * 60 + 1704067200) * 1000000, 'aiops',
+        source || '-' || (doc_id % 3), 'WARN', text, {clean('text')}, {base("source || '-' || (doc_id % 3)")} FROM documents"""
+
+
+def tagged(alerts_cte: str) -> str:
+    name = f"{base('service')}"
+    return f"""
+    SELECT * EXCLUDE (tagged), tagged, md5(tagged) AS text_id FROM (
+        SELECT *, CASE WHEN {name} IN ('', 'unknown') THEN cleaned_message ELSE {name} || ': ' || cleaned_message END AS tagged
+        FROM {alerts_cte})"""
+
+
+def terms(tagged_cte: str) -> str:
+    """(text_id, dim, x): weights of unit length."""
+    return f"""
+    SELECT text_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY text_id)) AS x FROM (
+        SELECT text_id, dim, n * (1 + ln((total + 1) / (count(*) OVER (PARTITION BY dim) + 1))) AS w FROM (
+            SELECT text_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS dim, count(*)::DOUBLE AS n
+            FROM (SELECT DISTINCT text_id, tagged FROM {tagged_cte}), unnest(string_split(lower(tagged), ' ')) AS t(word)
+            WHERE word <> '' GROUP BY 1, 2), (SELECT count(DISTINCT text_id) AS total FROM {tagged_cte}))"""
+
+
+CTES["event_tagged"] = tagged("cleaned")
+CTES["event_terms"] = terms("event_tagged")
+CTES["text_tagged"] = tagged("text_alerts")
+CTES["text_terms"] = terms("text_tagged")
+CTES["text_sims"] = """
+    SELECT va, vb, CASE WHEN va = vb THEN 1.0::DOUBLE ELSE sim END AS sim FROM (
+        SELECT a.text_id AS va, b.text_id AS vb, sum(a.x * b.x) AS sim FROM text_terms a JOIN text_terms b USING (dim) GROUP BY 1, 2)"""
+CTES["text_pairs"] = f"""
+    SELECT a.alert_id AS src, b.alert_id AS dst FROM text_tagged a JOIN text_tagged b
+        ON b.ts_us BETWEEN a.ts_us AND a.ts_us + {R.TEXT_WINDOW * 1_000_000} AND (b.ts_us, b.alert_id) > (a.ts_us, a.alert_id)
+    JOIN text_sims s ON s.va = a.text_id AND s.vb = b.text_id WHERE s.sim >= {R.TEXT_THRESHOLD}"""
+CTES["r_text_pairs"] = reach("text_pairs")
+CTES["text_labels"] = walk("r_text_pairs").replace("FROM cleaned", "FROM text_alerts")
+CTES["text_labelled"] = "SELECT * FROM text_tagged JOIN text_labels USING (alert_id)"
+CTES["text_members"] = members("text_labelled").replace("JOIN sims", "JOIN text_sims").replace("x.vec_id", "x.text_id").replace("y.vec_id", "y.text_id")
+CTES["text_incidents"] = incidents("text_members")
+
 RECURSIVE = {"r_pairs", "r_cross_pairs"}
 COUNTERS = """count(*) AS total, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE detected AND localized) AS service_matched_detected,
     count(*) FILTER (WHERE localized) AS localized, count(*) FILTER (WHERE root_localized) AS root_localized"""
@@ -532,6 +578,8 @@ def _statements() -> dict[str, str]:
     q["incidents"] = f"""
         SELECT {LIGHT}, candidates FROM incidents JOIN (
             SELECT component_id, string_agg(alert_id || ':' || share, '|' ORDER BY rn) AS candidates FROM top3 GROUP BY 1) USING (component_id)"""
+    q["text_vectors"] = "SELECT text_id AS vec_id, tagged, dim, round(x, 6) AS x FROM event_terms JOIN (SELECT DISTINCT text_id, tagged FROM event_tagged) USING (text_id)"
+    q["incidents_from_text"] = f"SELECT {LIGHT} FROM text_incidents"
     q["segmented_incidents"] = f"SELECT {LIGHT} FROM cross_incidents"
     q["incident_timeline"] = f"""
         SELECT incident_id, row::INTEGER AS row, strftime(ts, '%H:%M:%S') AS t, severity || ' · ' || {clip('message', 60)} AS d, alert_id = root_alert_id AS now

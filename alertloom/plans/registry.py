@@ -26,9 +26,10 @@ from alertloom.streaming import feeds
 from alertloom.streaming.live import LiveCorrelation
 
 # Settings of the registered queries; the test vectors are random, so the library's own would link little.
-WINDOW, THRESHOLD, CROSS = 1800, 0.12, 0.2
-GAP, SPAN = 900, 3600
-SWEEP = [(0, 900, 0.12), (1, 900, 0.25), (2, 1800, 0.12), (3, 1800, 0.25)]
+WINDOW, THRESHOLD, CROSS = 7200, 0.3, 0.4
+GAP, SPAN = 3600, 14400
+SWEEP = [(0, 3600, 0.3), (1, 3600, 0.4), (2, 7200, 0.3), (3, 7200, 0.4)]
+TEXT_WINDOW, TEXT_THRESHOLD = 1800, 0.62
 SAMPLE = 2000
 REPLAY = 3000
 
@@ -292,7 +293,8 @@ def embedding_sync_check(spark, sf):
 @query
 def text_vectors(spark, sf):
     tagged = embedding.tag_alerts(fx.correlated_alerts(spark, sf))
-    return embedding.text_vectors(tagged).select("vec_id", "tagged", F.size("embedding").alias("dims"))
+    one = embedding.text_vectors(tagged).select("vec_id", "tagged", F.posexplode("embedding").alias("dim", "x")).where("x != 0")
+    return one.select("vec_id", "tagged", F.col("dim").cast("long").alias("dim"), r6("x").alias("x"))
 
 
 @query
@@ -425,6 +427,13 @@ def incidents(spark, sf):
     )
 
 
+@query
+def incidents_from_text(spark, sf):
+    """Event alerts and whole documents, each from its text alone to ranked incidents."""
+    both = fx.correlated_alerts(spark, sf).drop("vec_id").unionByName(fx.document_alerts(spark, sf))
+    return correlation.correlate_text(both, window_sec=TEXT_WINDOW, threshold=TEXT_THRESHOLD).incidents.select(*serving.LIGHT_COLUMNS)
+
+
 @query
 def segmented_incidents(spark, sf):
     return found_segmented(spark, sf).incidents.select(*serving.LIGHT_COLUMNS)
@@ -567,7 +576,7 @@ def parameter_sweep(spark, sf):
 
 def stream(spark, sf) -> DataFrame:
     events = feeds.file_stream(spark, sf, fx.events(spark, sf), glob="events.parquet")
-    return fx.as_alerts(events).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return fx.as_alerts(events, fx.vectors(spark, sf).count()).withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
 @query

@@ -58,7 +58,7 @@ def graded_service_logs(logs: DataFrame) -> DataFrame:
 def graded_gateway_logs(logs: DataFrame) -> DataFrame:
     """Access log lines with status 400 and up."""
     value, code = F.col("_value"), F.col("_code")
-    service = F.coalesce("cmdb_id", F.lit("unknown"))
+    service, named = F.coalesce("cmdb_id", F.lit("unknown")), F.coalesce("cmdb_id", F.lit(""))
     filled = _stamped(logs, epoch_seconds(F.col("timestamp"))).withColumn("_value", F.coalesce("value", F.lit("")))
     return (
         text.computed_once(filled, _code=F.regexp_extract("_value", GATEWAY_STATUS, 1))
@@ -68,7 +68,7 @@ def graded_gateway_logs(logs: DataFrame) -> DataFrame:
             F.lit("aiops").alias("source"),
             service.alias("service"),
             F.when(code >= "500", "ERROR").otherwise("WARN").alias("severity"),
-            F.concat(F.lit("HTTP "), code, F.lit(" on "), service, F.lit(": "), F.substring(value, 1, 150)).alias("message"),
+            F.concat(F.lit("HTTP "), code, F.lit(" on "), named, F.lit(": "), F.substring(value, 1, 150)).alias("message"),
             F.col("log_id").alias("event_id"),
             F.substring(value, 1, 200).alias("raw_line"),
         )
@@ -78,17 +78,18 @@ def graded_gateway_logs(logs: DataFrame) -> DataFrame:
 def graded_spans(spans: DataFrame, slow: int = schema.SLOW_SPAN) -> DataFrame:
     """Spans that failed, or else took longer than `slow`."""
     code, took = whole_number(F.col("status_code")), whole_number(F.col("duration"))
-    service = F.coalesce("cmdb_id", F.lit("unknown"))
+    service, named = F.coalesce("cmdb_id", F.lit("unknown")), F.coalesce("cmdb_id", F.lit(""))
+    operation, trace, span = (F.coalesce(c, F.lit("")) for c in ("operation_name", "trace_id", "span_id"))
     failed = F.col("_code") != 0
-    short = F.substring("trace_id", 1, 16)
+    short = F.substring(trace, 1, 16)
     error = F.format_string(
         "Span error (code=%d) on %s [%s] duration=%dms trace=%s",
-        F.col("_code"), F.col("operation_name"), service, F.col("_took"), short,
+        F.col("_code"), operation, named, F.col("_took"), short,
     )
-    lag = F.format_string("Slow span (%dms) on %s [%s] trace=%s", F.col("_took"), F.col("operation_name"), service, short)
+    lag = F.format_string("Slow span (%dms) on %s [%s] trace=%s", F.col("_took"), operation, named, short)
     raw = F.format_string(
         "trace=%s span=%s op=%s status=%d dur=%d",
-        F.col("trace_id"), F.col("span_id"), F.col("operation_name"), F.col("_code"), F.col("_took"),
+        trace, span, operation, F.col("_code"), F.col("_took"),
     )
     return (
         _stamped(spans, epoch_millis(F.col("timestamp")))
@@ -101,7 +102,7 @@ def graded_spans(spans: DataFrame, slow: int = schema.SLOW_SPAN) -> DataFrame:
             service.alias("service"),
             F.when(failed, "ERROR").otherwise("WARN").alias("severity"),
             F.when(failed, error).otherwise(lag).alias("message"),
-            F.col("span_id").alias("event_id"),
+            span.alias("event_id"),
             raw.alias("raw_line"),
         )
     )
