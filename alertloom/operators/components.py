@@ -114,46 +114,17 @@ def component_cells(
         linking.runs(linking.cells(narrow, keys).join(units.select("vec_id"), "vec_id", "left_semi"), keys)
     )
     heads = run_heads(chained, keys, "first_id")
-    crowded = linking.crowded_epochs(chained)
-    crowded = None if crowded.isEmpty() else durable(crowded)
-    pairs = linking.similar_vectors(chained, units, loosest, crowded)
-    least = F.lit(float(loosest))
-    if sweep:
-        least = setting_threshold
-        pairs = (
-            durable(pairs)
-            .withColumn("setting", F.explode(F.array(*[F.lit(s) for s, _, _ in settings])))
-            .where(F.col("sim") >= setting_threshold)
-        )
+    least = setting_threshold if sweep else F.lit(float(loosest))
     placed = chained.join(heads.select(*keys, "run", "node"), [*keys, "run"])
     if cross_threshold is None:
-        edges = linking.touching_runs(heads, pairs, by)
-        if crowded is not None:
-            graded = placed.withColumn("min_sim", least)
-            edges = edges.unionByName(linking.crowded_links(graded, units, crowded, by))
+        edges = linking.cell_links(placed.withColumn("min_sim", least), units, by)
     else:
-        pairs = durable(pairs)
-        strong, weak = pairs.where(F.col("sim") >= cross_threshold), pairs.where(F.col("sim") < cross_threshold)
         # A service's run lies inside one run of its vector, found by any bucket of it.
         local_keys = [*by, "base", "vec_id"]
-        local = linking.runs(linking.cells(narrow, local_keys), local_keys).join(
-            placed.select(*keys, "bucket", "node"), [*keys, "bucket"]
-        )
-        inner = local.groupBy(*local_keys, "run").agg(
-            F.min("node").alias("node"),
-            F.min("first_us").alias("start_us"),
-            F.max("last_us").alias("end_us"),
-            F.first("window_us").alias("window_us"),
-        )
-        edges = linking.touching_runs(heads, strong, by).unionByName(
-            linking.touching_runs(inner, weak, [*by, "base"]).drop("base")
-        )
-        if crowded is not None:
-            any_service = placed.withColumn("min_sim", F.lit(float(cross_threshold)))
-            one_service = local.withColumn("min_sim", least)
-            edges = edges.unionByName(linking.crowded_links(any_service, units, crowded, by)).unionByName(
-                linking.crowded_links(one_service, units, crowded, [*by, "base"]).drop("base")
-            )
+        local = linking.cells(narrow, local_keys).join(placed.select(*keys, "bucket", "node"), [*keys, "bucket"])
+        any_service = linking.cell_links(placed.withColumn("min_sim", F.lit(float(cross_threshold))), units, by)
+        one_service = linking.cell_links(local.withColumn("min_sim", least), units, [*by, "base"])
+        edges = any_service.unionByName(one_service.drop("base"))
 
     def named(node: str) -> Column:
         return F.struct(*by, F.col(node).alias("id")) if sweep else F.col(node)

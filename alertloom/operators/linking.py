@@ -10,12 +10,12 @@ minute, so they are never written out:
   aggregation; a hot key costs one row per task.
 * Cells of a vector that follow each other within the window chain into *runs*.
   A vector has at most (time range / window) cells, however many rows it has.
-* Runs of two similar vectors touch when their intervals are at most a window
-  apart. On the common timeline of such a pair it is enough to compare each run
-  with the run before it that ends last: two runs of one vector are more than a
-  window apart, so nothing else can reach it. Runs that reach each other form
-  islands, and each run gets one edge, to the first run of its island: at most one
-  edge per run and similar vector, and the same components as all pairs.
+* Alerts a window or less apart lie in one bucket or in neighbouring ones. So each
+  bucket's cells are compared with each other and with those of the next bucket,
+  and with nothing else: vectors that are never active near each other never meet.
+  A bucket is cut into blocks of about BLOCK cells, and a task has one pair of blocks.
+* For components, a pair of blocks gives a spanning forest of its links, at most one
+  edge a cell. For the graph itself, it gives the similar vectors of each cell.
 """
 
 from __future__ import annotations
@@ -31,11 +31,8 @@ from alertloom.functions.time import bucket, long_lit
 from alertloom.functions.vectors import linkable
 from alertloom.operators.ordering import running_sum
 
-# Rows per side of one similarity block; bounds the memory of a task, not the result.
+# Cells per side of one comparison; bounds the memory of a task, not the result.
 BLOCK = 1024
-# Epochs with more distinct vectors than this are linked cell by cell, see crowded_links.
-CROWD = 4096
-EPOCH_US = 7 * 86_400 * 1_000_000
 
 
 def window_micros(window_sec: float) -> int:
@@ -71,80 +68,43 @@ def runs(cells_: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).drop("_start")
 
 
-def _block_pairs(threshold: float):
-    # Nothing of this package is named inside, so executors need not have it installed.
-    def compare(pair: pd.DataFrame) -> pd.DataFrame:
-        def units(rows: pd.DataFrame) -> np.ndarray:
-            matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-            return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-
-        low, high = pair["lo"].iloc[0], pair["hi"].iloc[0]
-        left, right = pair[pair["block"] == low], pair[pair["block"] == high]
-        if left.empty or right.empty:
-            return pd.DataFrame({"vec_a": [], "vec_b": [], "sim": []})
-        sims = units(left) @ units(right).T
-        i, j = np.nonzero(sims >= threshold)
-        a, b, sim = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j], sims[i, j]
-        keep = a < b if low == high else a != b
-        swap = a > b
-        both = pd.DataFrame({"vec_a": np.where(swap, b, a), "vec_b": np.where(swap, a, b), "sim": sim})
-        return both[keep]
-
-    return compare
-
+def _seated(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Cells with their vectors, once for each pair of blocks (i, j) of a bucket, `anchor`, that they take part in.
 
-def _epoch(bucket_: Column) -> Column:
-    """Epochs are whole numbers of buckets."""
-    per = F.greatest(F.ceil(long_lit(EPOCH_US) / F.col("window_us")), long_lit(1))
-    return bucket(bucket_, per)
-
-
-def _active(cells_: DataFrame) -> DataFrame:
-    """(window_us, epoch, vec_id): a link starts in its earlier bucket, so a cell also counts one bucket back."""
-    epochs = F.array_distinct(F.array(_epoch(F.col("bucket")), _epoch(F.col("bucket") - 1)))
-    return cells_.select("window_us", "vec_id", F.explode(epochs).alias("epoch")).distinct()
-
-
-def crowded_epochs(cells_: DataFrame) -> DataFrame:
-    counted = _active(cells_).groupBy("window_us", "epoch").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > CROWD).select("window_us", "epoch")
-
-
-def similar_vectors(
-    cells_: DataFrame, vectors: DataFrame, threshold: float, except_epochs: DataFrame | None = None
-) -> DataFrame:
-    """(vec_a, vec_b, sim) with vec_a < vec_b, for vectors that are active near each other in time.
-
-    Vectors are compared block by block inside each epoch they are active in.
-    Blocks come from the number of distinct vectors there, so a fuller epoch is
-    cut into more of them; every pair of blocks is one group of bounded size.
+    Block i holds cells of the bucket itself, block j such ones or, as `ahead`, cells of the next bucket.
     """
-    epoch = ["window_us", "epoch"]
-    active = _active(cells_)
-    if except_epochs is not None:
-        active = active.join(except_epochs, epoch, "left_anti")
-    blocks = active.groupBy(*epoch).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = (
-        active.join(blocks, epoch)
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    group = [*by, "window_us", "anchor"]
+    roles = F.array(
+        F.struct(F.col("bucket").alias("anchor"), F.lit(0).alias("ahead")),
+        F.struct((F.col("bucket") - 1).alias("anchor"), F.lit(1).alias("ahead")),
+    )
+    placed = cells_.select("*", F.inline(roles))
+    # A bucket without cells of its own has no left side.
+    blocks = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.min("ahead").alias("_left")).where("_left = 0")
+    spread = (
+        placed.join(blocks.drop("_left"), group)
         .join(vectors, "vec_id")
-        .withColumn("other", F.explode(F.sequence(long_lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
+        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+        .withColumn("k", F.explode(F.sequence(long_lit(0), F.col("blocks") - 1)))
     )
-    vec = vectors.schema["vec_id"].dataType.simpleString()
-    return (
-        placed.groupBy(*epoch, "lo", "hi")
-        .applyInPandas(_block_pairs(threshold), f"vec_a {vec}, vec_b {vec}, sim double")
-        .groupBy("vec_a", "vec_b")
-        .agg(F.max("sim").alias("sim"))
+    as_left = F.struct(F.col("block").alias("i"), F.col("k").alias("j"))
+    as_right = F.struct(F.col("k").alias("i"), F.col("block").alias("j"))
+    seats = (
+        F.when(F.col("ahead") == 1, F.array(as_right))
+        .when(F.col("k") < F.col("block"), F.array(as_left, as_right))
+        .otherwise(F.array(as_left))
     )
+    return spread.select("*", F.inline(seats))
 
 
-def _spanning_edges():
+def _compared():
     # Nothing of this package is named inside, so executors need not have it installed.
-    def link(group: pd.DataFrame) -> pd.DataFrame:
+    def sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+        """Cells of block i, cells of block j, and their similarities."""
+
         def units(rows: pd.DataFrame) -> np.ndarray:
+            if rows.empty:
+                return np.zeros((0, 0))
             matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
             return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
@@ -152,11 +112,26 @@ def _spanning_edges():
         own = group["ahead"] == 0
         left = group[own & (group["block"] == i)]
         right = group[(group["block"] == j) & (~own | (i <= j))]
+        if left.empty or right.empty:
+            return left, right, np.zeros((len(left), len(right)))
+        sims = units(left) @ units(right).T
+        # A vector is exactly like itself, whatever its rounding.
+        sims[left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None, :]] = 1.0
+        return left, right, sims
+
+    return sides
+
+
+def _spanning_edges():
+    sides = _compared()
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims = sides(group)
         if left.empty or right.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         gaps = right["first_us"].to_numpy()[None, :] - left["last_us"].to_numpy()[:, None]
         near = (right["ahead"].to_numpy() == 0)[None, :] | (gaps <= group["window_us"].iloc[0])
-        linked = near & (units(left) @ units(right).T >= group["min_sim"].iloc[0])
+        linked = near & (sims >= group["min_sim"].iloc[0])
         nodes, at = np.unique(np.concatenate([left["node"], right["node"]]), return_inverse=True)
         rows, cols = at[: len(left)], at[len(left) :]
         label = np.arange(len(nodes))
@@ -174,71 +149,50 @@ def _spanning_edges():
     return link
 
 
-def crowded_links(cells_: DataFrame, vectors: DataFrame, crowded: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Edges (by..., a, b) between the nodes of linked cells, for epochs with very many vectors.
+def _keyed(function, keys: Sequence[str], columns: list[str]):
+    """The function's rows with the group's key columns in front."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        made = function(rows)
+        for key in keys:
+            made[key] = rows[key].iloc[0]
+        return made[[*keys, *columns]]
+
+    return run
+
+
+def cell_links(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Edges (by..., a, b) between the nodes of linked cells: of each pair of blocks, a spanning forest.
 
-    There, the pairs of similar vectors could grow with the square of the vectors. A
-    bucket and the one after it are instead cut into blocks, and each pair of blocks
-    gives a spanning forest of its links: at most one edge per cell and block pair.
     `cells_`: by..., vec_id, bucket, first_us, last_us, window_us, min_sim, node.
     """
-    group = [*by, "window_us", "anchor"]
-    roles = F.array(
-        F.struct(F.col("bucket").alias("anchor"), F.lit(0).alias("ahead")),
-        F.struct((F.col("bucket") - 1).alias("anchor"), F.lit(1).alias("ahead")),
-    )
-    placed = (
-        cells_.select("*", F.inline(roles))
-        .withColumn("epoch", _epoch(F.col("anchor")))
-        .join(crowded, ["window_us", "epoch"], "left_semi")
-    )
-    blocks = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    spread = (
-        placed.join(blocks, group)
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        .withColumn("k", F.explode(F.sequence(long_lit(0), F.col("blocks") - 1)))
-    )
-    as_left = F.struct(F.col("block").alias("i"), F.col("k").alias("j"))
-    as_right = F.struct(F.col("k").alias("i"), F.col("block").alias("j"))
-    seats = (
-        F.when(F.col("ahead") == 1, F.array(as_right))
-        .when(F.col("k") < F.col("block"), F.array(as_left, as_right))
-        .otherwise(F.array(as_left))
-    )
-    seated = spread.select("*", F.inline(seats)).join(vectors, "vec_id")
     kinds = dict(cells_.dtypes)
-    link, keys = _spanning_edges(), list(by)
-
-    def with_keys(rows: pd.DataFrame) -> pd.DataFrame:
-        edges = link(rows)
-        for key in keys:
-            edges[key] = rows[key].iloc[0]
-        return edges[[*keys, "a", "b"]]
+    columns = ", ".join([*[f"{k} {kinds[k]}" for k in by], "a long", "b long"])
+    seated = _seated(cells_, vectors, by)
+    return seated.groupBy(*by, "window_us", "anchor", "i", "j").applyInPandas(_keyed(_spanning_edges(), list(by), ["a", "b"]), columns)
 
-    columns = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "a long", "b long"])
-    return seated.groupBy(*group, "i", "j").applyInPandas(with_keys, columns)
 
+def cell_pairs(cells_: DataFrame, vectors: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., vec_id, bucket, vec_b, sim): other vectors similar to a cell's, with a cell in its bucket or the next."""
+    sides = _compared()
 
-def touching_runs(runs_: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Edges (by..., a, b) between nodes of similar vectors whose runs are a window apart or less.
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims = sides(group)
+        i, j = np.nonzero(sims >= threshold)
+        a, b = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j]
+        same_bucket = right["ahead"].to_numpy()[j] == 0
+        # Inside a bucket both look for each other; one block against itself has each pair twice already.
+        back = same_bucket & (group["i"].iloc[0] != group["j"].iloc[0])
+        out = pd.DataFrame({"vec_id": np.concatenate([a, b[back]]), "vec_b": np.concatenate([b, a[back]]), "sim": np.concatenate([sims[i, j], sims[i, j][back]])})
+        out["bucket"] = group["anchor"].iloc[0]
+        return out[out["vec_id"] != out["vec_b"]]
 
-    `runs_`: by..., vec_id, node, start_us, end_us, window_us; `pairs`: vec_a, vec_b and any of `by`.
-    """
-    shared = [c for c in by if c in pairs.columns]
-    sides = pairs.select(
-        *shared, "vec_a", "vec_b", F.explode(F.array("vec_a", "vec_b")).alias("vec_id")
-    )
-    timeline = W.partitionBy(*by, "vec_a", "vec_b").orderBy("start_us", "node")
-    reach = F.max("end_us").over(timeline.rowsBetween(W.unboundedPreceding, -1))
-    apart = F.col("_reach").isNull() | (F.col("_reach") < F.col("start_us") - F.col("window_us"))
-    head = F.last(F.when(F.col("_apart"), F.col("node")), ignorenulls=True)
-    return (
-        runs_.join(sides, [*shared, "vec_id"])
-        .withColumn("_reach", reach)
-        .withColumn("_apart", apart)
-        .select(*by, head.over(timeline.rowsBetween(W.unboundedPreceding, 0)).alias("a"), F.col("node").alias("b"))
-        .where("a != b")
-    )
+    kinds = dict(cells_.dtypes)
+    vec = kinds["vec_id"]
+    columns = ", ".join([*[f"{k} {kinds[k]}" for k in by], f"vec_id {vec}, bucket long, vec_b {vec}, sim double"])
+    run = _keyed(pairs, list(by), ["vec_id", "bucket", "vec_b", "sim"])
+    found = _seated(cells_, vectors, by).groupBy(*by, "window_us", "anchor", "i", "j").applyInPandas(run, columns)
+    return found.groupBy(*by, "vec_id", "bucket", "vec_b").agg(F.max("sim").alias("sim"))
 
 
 def link_counts(
@@ -249,18 +203,15 @@ def link_counts(
     For an alert and a vector similar to its own (the same vector included), the
     later alerts it links to are consecutive among the alerts of that vector in
     (time, id) order. One row names the first and the last of them and their
-    number: (src, vec_b, sim, first_dst, last_dst, n_links). Rows grow with alerts
-    times similar vectors, not with the pairs; the sum of n_links is the number of
-    edges. Positions come from a running count that splits hot vectors.
+    number: (src, vec_b, sim, first_dst, last_dst, n_links). An alert looks for a
+    vector only if `pairs` has it for the alert's cell, so rows grow with alerts and
+    the vectors active near them, not with the pairs; the sum of n_links is the
+    number of edges. Positions come from a running count that splits hot vectors.
     `vecs` lists the linkable vectors; `within` is off when a vector's own alerts do not link.
     """
-    same = vecs.select(F.col("vec_id"), F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("sim"))
-    ways = F.array(
-        F.struct(F.col("vec_a").alias("vec_id"), F.col("vec_b").alias("vec_b"), "sim"),
-        F.struct(F.col("vec_b").alias("vec_id"), F.col("vec_a").alias("vec_b"), "sim"),
-    )
-    both = pairs.select(F.inline(ways))
-    asks = alerts.select("alert_id", "ts_us", "vec_id").join(same.unionByName(both), "vec_id")
+    narrow = with_bucket(alerts.select("alert_id", "ts_us", "vec_id"), long_lit(window_us))
+    same = narrow.join(vecs.select("vec_id"), "vec_id", "left_semi").withColumn("vec_b", F.col("vec_id")).withColumn("sim", F.lit(1.0))
+    asks = same.unionByName(narrow.join(pairs, ["vec_id", "bucket"]))
     # kind: 0 = an alert of vec_b, 1 = "how many up to me", 2 = "how many up to the end of my window".
     here, ahead = F.col("ts_us"), F.col("ts_us") + window_us
     own = F.col("vec_id") == F.col("vec_b")
@@ -306,7 +257,7 @@ def similarity_edges(alerts: DataFrame, vectors: DataFrame, window_sec: float, t
     units = linkable(vectors)
     window_us = window_micros(window_sec)
     grouped = cells(alerts.withColumn("window_us", long_lit(window_us)), ["vec_id"])
-    return link_counts(alerts, units, similar_vectors(grouped, units, threshold), window_us)
+    return link_counts(alerts, units, cell_pairs(grouped, units, threshold), window_us)
 
 
 def cross_service_edges(
@@ -321,26 +272,20 @@ def cross_service_edges(
         raise ValueError("need 0 < threshold <= cross_threshold <= 1")
     units = linkable(vectors)
     window_us = window_micros(window_sec)
-    grouped = cells(alerts.withColumn("window_us", long_lit(window_us)), ["vec_id"])
-    pairs = similar_vectors(grouped, units, threshold)
-    strong = link_counts(alerts, units, pairs.where(F.col("sim") >= cross_threshold), window_us)
+    tagged = alerts.withColumn("service", base_service(F.col("service"))).withColumn("window_us", long_lit(window_us))
+    strong = link_counts(alerts, units, cell_pairs(cells(tagged, ["vec_id"]), units, cross_threshold), window_us)
 
     # Inside one service the vector ids are qualified by it, so that the same packing applies.
     def qualified(vec: str) -> Column:
         return F.struct("service", F.col(vec).alias("vec_id"))
 
-    tagged = alerts.withColumn("service", base_service(F.col("service")))
-    services = tagged.select("service", "vec_id").distinct().join(units.select("vec_id"), "vec_id", "left_semi")
-    weak = (
-        pairs.where(F.col("sim") < cross_threshold)
-        .join(services.withColumnRenamed("vec_id", "vec_a"), "vec_a")
-        .join(services.withColumnRenamed("vec_id", "vec_b"), ["service", "vec_b"])
-        .select(qualified("vec_a").alias("vec_a"), qualified("vec_b").alias("vec_b"), "sim")
-    )
+    grouped = cells(tagged, ["service", "vec_id"])
+    weak = cell_pairs(grouped, units, threshold, ["service"]).where(F.col("sim") < cross_threshold)
+    services = grouped.select("service", "vec_id").distinct().join(units.select("vec_id"), "vec_id", "left_semi")
     local = link_counts(
         tagged.withColumn("vec_id", qualified("vec_id")),
         services.select(qualified("vec_id").alias("vec_id")),
-        weak,
+        weak.select(qualified("vec_id").alias("vec_id"), "bucket", qualified("vec_b").alias("vec_b"), "sim"),
         window_us,
         within=False,
     )

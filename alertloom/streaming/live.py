@@ -39,6 +39,8 @@ class LiveCorrelation:
         threshold: float = schema.SIMILARITY,
         delay_sec: float = 600,
     ):
+        if not 0 < threshold <= 1:
+            raise ValueError("threshold must be in (0, 1]")
         self.vectors = vectors
         self.root = root
         self.window_us = linking.window_micros(window_sec)
@@ -105,13 +107,8 @@ class LiveCorrelation:
         heads = run_heads(chained, ["vec_id"], "label")
         placed = chained.join(heads.select("vec_id", "run", "node"), ["vec_id", "run"])
         along = placed.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a != b")
-        crowded = linking.crowded_epochs(chained)
-        crowded = None if crowded.isEmpty() else durable(crowded)
-        pairs = linking.similar_vectors(chained, vectors, self.threshold, crowded)
-        edges = along.unionByName(linking.touching_runs(heads, pairs, []))
-        if crowded is not None:
-            graded = placed.withColumn("min_sim", F.lit(float(self.threshold)))
-            edges = edges.unionByName(linking.crowded_links(graded, vectors, crowded, []))
+        graded = placed.withColumn("min_sim", F.lit(float(self.threshold)))
+        edges = along.unionByName(linking.cell_links(graded, vectors, []))
         roots = components(edges)
         return (
             chained.drop("run")

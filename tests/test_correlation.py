@@ -53,7 +53,7 @@ def test_cross_service_threshold(spark, seed):
     assert counts == len(expected)
 
 
-def test_vector_blocks_split_a_crowded_epoch(spark, monkeypatch):
+def test_blocks_split_a_crowded_bucket(spark, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK", 7)
     rng = np.random.default_rng(0)
     vecs = [(v, [float(x) for x in rng.normal(size=3)]) for v in range(60)]
@@ -65,20 +65,19 @@ def test_vector_blocks_split_a_crowded_epoch(spark, monkeypatch):
 
 @pytest.fixture
 def crowded(monkeypatch):
-    """Every epoch counts as crowded, and blocks are tiny."""
-    monkeypatch.setattr(linking, "CROWD", 1)
+    """Blocks are tiny, so that every bucket takes several."""
     monkeypatch.setattr(linking, "BLOCK", 3)
 
 
 @pytest.mark.parametrize("seed,window,threshold", CASES[:3])
-def test_crowded_epochs_give_the_same_components(spark, crowded, seed, window, threshold):
+def test_small_blocks_give_the_same_components(spark, crowded, seed, window, threshold):
     rows, vecs, alerts, vectors = tables(spark, seed)
     got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, window, threshold).collect()}
     edges = [(a, b) for a, b, _, _ in brute_edges(rows, vecs, window, threshold)]
     assert got == union_find([r[0] for r in rows], edges)
 
 
-def test_crowded_epochs_with_services_and_settings(spark, crowded):
+def test_small_blocks_with_services_and_settings(spark, crowded):
     rows, vecs, alerts, vectors = tables(spark, 5)
     ids = [r[0] for r in rows]
     got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, 60, 0.1, 0.6).collect()}
@@ -92,7 +91,6 @@ def test_crowded_epochs_with_services_and_settings(spark, crowded):
 
 
 def test_many_distinct_vectors_link_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(linking, "CROWD", 50)
     monkeypatch.setattr(linking, "BLOCK", 40)
     rng = np.random.default_rng(0)
     vecs = [(v, [float(x) for x in rng.normal(size=3)]) for v in range(150)]
@@ -102,6 +100,55 @@ def test_many_distinct_vectors_link_in_blocks(spark, monkeypatch):
     assert got == union_find(range(150), [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 20, 0.97)])
 
 
+@pytest.mark.parametrize("seed", [1, 5])
+def test_small_blocks_give_the_same_edges(spark, crowded, seed):
+    rows, vecs, alerts, vectors = tables(spark, seed)
+    packed = linking.similarity_edges(alerts, vectors, 60, 0.3).collect()
+    assert sorted(unpack(rows, packed)) == sorted((a, b) for a, b, _, _ in brute_edges(rows, vecs, 60, 0.3))
+    counts = linking.cross_service_edges(alerts, vectors, 60, 0.1, 0.6).agg(F.sum("n_links")).first()[0]
+    assert counts == len(brute_edges(rows, vecs, 60, 0.1, cross=0.6))
+
+
+def test_vectors_that_never_meet_make_no_rows(spark, monkeypatch):
+    """Similar vectors, each active in 20 minutes of its own: what is written follows alerts and edges."""
+    written = []
+
+    def counted(df, *args):
+        out = keep(df, *args)
+        written.append(out.count())
+        return out
+
+    from alertloom.operators import ordering
+
+    keep = ordering.durable
+    monkeypatch.setattr(ordering, "durable", counted)
+    rows = [(i, (i // 20 * 1200 + i % 20 * 60) * SECOND, "s-1", "WARN", "m", i // 20) for i in range(2000)]
+    vecs = [(v, [1.0, 0.001 * v]) for v in range(100)]
+    packed = linking.similarity_edges(alerts_df(spark, rows), vectors_df(spark, vecs), 60, 0.9).collect()
+    assert sum(e.n_links for e in packed) == 2000 - 1
+    assert sum(written) <= 4 * (len(rows) + len(packed))
+
+
+def test_equal_texts_link(spark):
+    """A storm of one message is one incident, whatever its words' frequency."""
+    from alertloom.operators.alerts import with_cleaned_message
+
+    def incidents(messages):
+        rows = [(i, i * SECOND, "db-1", "ERROR", m, 0) for i, m in enumerate(messages)]
+        return correlation.correlate_text(with_cleaned_message(alerts_df(spark, rows).drop("vec_id")), window_sec=60, threshold=0.75).incidents.count()
+
+    assert incidents(["disk failed"] * 50) == 1
+    assert incidents(["disk failed", "failed disk"] * 20) == 1
+    assert incidents(["disk failed on write"] * 10 + ["user login rejected"] * 10) == 2
+
+
+def test_span_alone_bounds_incidents(spark):
+    rows = [(i, i * 30 * SECOND, "s-1", "WARN", "m", 0) for i in range(200)]
+    cut = correlation.scored_members(alerts_df(spark, rows), vectors_df(spark, [(0, [1.0, 0.0])]), 60, 0.5, max_span_sec=600)
+    spans = cut.groupBy("component_id").agg((F.max("ts_us") - F.min("ts_us")).alias("span")).collect()
+    assert len(spans) > 5 and max(r.span for r in spans) <= 600 * SECOND
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(0, 200)]
     star = [(1000, 1000 + i) for i in range(1, 300)]
