@@ -20,7 +20,7 @@ from alertloom.session import durable
 
 BLOCK = 64
 SHARD = 4096
-SLICE = 4096
+SLICE = 1024
 SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
@@ -33,7 +33,7 @@ def words_in(text: Column) -> Column:
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """(source, sid, source_size, target) of rows (source, size): one row a source, sid from 0 by code point, null last.
+    """(source, sid, source_size, docs, target) of rows (source, size): one row a source, sid from 0 by code point, null last.
 
     A source gets its weight's share of SHARE * all sizes, but MOST times its own size at most; what is above is shared
     anew by weight. In the order of cap / weight, the capped sources come first: a source is capped if its cap is at
@@ -41,7 +41,7 @@ def targets(rows: DataFrame) -> DataFrame:
     """
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("sid") % len(WEIGHTS) + 1).cast("int"))
-    own = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    own = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     own = own.withColumn("sid", F.row_number().over(by_name) - 1).withColumn("weight", weight.cast("double"))
     own = own.withColumn("cap", MOST * F.col("source_size").cast("double"))
     all_rows = W.partitionBy()
@@ -53,7 +53,7 @@ def targets(rows: DataFrame) -> DataFrame:
     free = F.min(F.when(F.col("cap") > F.col("rate") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "sid", "rate"))).over(all_rows)
     rate = F.coalesce(free["rate"], F.lit(0.0))
     own = own.withColumn("target", F.when(rate > 0, F.least(F.col("cap"), rate * F.col("weight"))).otherwise(F.lit(0.0)))
-    return own.select("source", "sid", "source_size", "target")
+    return own.select("source", "sid", "source_size", "docs", "target")
 
 
 def running(df: DataFrame, group: str, chunk: str, order: list[Column], value: str, out: str) -> DataFrame:
@@ -99,11 +99,10 @@ def placed(docs: DataFrame, carry: bool) -> DataFrame:
     kept = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     rows = durable(docs.select(docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), words_in(docs["text"]).alias("size"), *kept))
     plan = durable(targets(rows))
-    slices = max(1, -(-rows.count() // SLICE))
-    token = F.xxhash64("doc_id", "size", F.lit(11))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "size", F.lit(12)), F.lit(slices))).withColumn("token", token)
-    named = plan.select(F.col("source").alias("_name"), "sid", "source_size", "target")
-    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    slices = F.ceil(F.col("docs") / SLICE).cast("long").alias("slices")
+    named = plan.select(F.col("source").alias("_name"), "sid", "source_size", "target", slices)
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("_name"))).withColumn("token", F.xxhash64("doc_id", "size", F.lit(11)))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "size", F.lit(12)), F.col("slices"))).drop("_name", "slices")
     order = [F.col("token"), F.col("doc_id"), F.col("size")]
     if carry:
         rows = rows.withColumn("tie", F.xxhash64(F.col("row")["text"]))
@@ -141,15 +140,16 @@ def slots(plan: DataFrame) -> DataFrame:
     drawn = drawn.withColumn("cell", F.floor(F.col("u") * PICKS))
     ranges = plan.where("lo < hi").select("last", "sid", "lo", "hi")
     ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * PICKS), F.least(F.floor(F.col("hi") * PICKS), F.lit(PICKS - 1).cast("long")))))
-    picked = drawn.join(ranges, ["last", "cell"]).where("u >= lo and u < hi").select("sid", "shard")
+    # Rows that are spread from few grow with the mix, whatever their estimate: never broadcast.
+    picked = drawn.hint("merge").join(ranges, ["last", "cell"]).where("u >= lo and u < hi").select("sid", "shard")
     given = plan.where("given > 0").select("sid", "given", F.explode(F.sequence(F.col("first_shard"), F.col("first_shard") + F.col("shards") - 1)).alias("shard"))
     counts = picked.select("sid", "shard", F.lit(1).cast("long").alias("count")).unionByName(given.select("sid", "shard", F.col("given").alias("count")))
     counts = counts.groupBy("sid", "shard").agg(F.sum("count").alias("count")).withColumn("chunk", F.floor(F.col("shard") / SLICE))
     counts = running(durable(counts), "sid", "chunk", [F.col("shard")], "count", "from")
+    counts = counts.join(plan.groupBy("sid").agg(F.first("n").alias("n")), "sid")
 
-    one = counts.select("sid", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
-    sizes = plan.groupBy("sid").agg(F.first("n").alias("n"))
-    one = one.join(sizes, "sid").withColumn("pass", F.floor(F.col("k") / F.col("n"))).where(F.col("pass") < MOST)
+    one = counts.select("sid", "shard", "n", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
+    one = one.withColumn("pass", F.floor(F.col("k") / F.col("n"))).where(F.col("pass") < MOST)
     return one.select("sid", "shard", "pass", permuted(F.col("k") % F.col("n"), F.col("n"), F.xxhash64("sid", "pass")).alias("block"))
 
 
@@ -169,6 +169,11 @@ def _sources(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sid").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
 
 
+def met(rows: DataFrame) -> DataFrame:
+    """Parts of documents and the slots that take them, by block index; both sides grow with the words: shuffled."""
+    return cut(rows).hint("merge").join(slots(_sources(rows)).hint("merge"), ["sid", "block"])
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each row of docs (doc_id, text, source).
 
@@ -178,7 +183,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     rows = placed(docs, carry=False)
     key = ["sid", "slice", "number"]
-    took = cut(rows).join(slots(_sources(rows)), ["sid", "block"]).groupBy(*key).agg(F.sum("words").alias("taken"))
+    took = met(rows).groupBy(*key).agg(F.sum("words").alias("taken"))
     out = rows.join(took, key, "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
@@ -191,7 +196,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     rows = placed(docs, carry=True)
     key = ["sid", "slice", "number"]
-    parts = cut(rows).join(slots(_sources(rows)), ["sid", "block"])
+    parts = met(rows)
     parts = parts.groupBy(*key, "pass").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("parts"), F.sum("words").alias("taken"))
     out = rows.join(parts, key, "left").where("size = 0 or taken > 0")
     text = F.col("row")["text"]

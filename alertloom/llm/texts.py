@@ -38,6 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark context."""
     sc = spark.sparkContext
+    # Batches to Python are bounded in rows and bytes; texts stay whole.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     if getattr(sc, "_alertloom_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
