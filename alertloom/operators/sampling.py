@@ -110,6 +110,17 @@ def replay_sample(alerts: DataFrame, target: int = schema.REPLAY_TARGET) -> Data
     )
 
 
+def replay_envelope(replay: DataFrame, cursor: int = 0, limit: int = 50) -> DataFrame:
+    """One row: the page's `items` (at most `limit`), `next_cursor` (0 after the end) and `total`, for any cursor."""
+    cursor = max(0, cursor)
+    item = F.struct("row", "id", "ts", "severity", "service", "message")
+    inside = (F.col("row") >= cursor) & (F.col("row") < cursor + limit)
+    end = F.lit(cursor + limit).cast("long")
+    return replay.agg(
+        F.array_sort(F.collect_list(F.when(inside, item))).alias("items"), F.count("*").alias("total")
+    ).withColumn("next_cursor", F.when(end < F.col("total"), end).otherwise(F.lit(0).cast("long")))
+
+
 def replay_page(replay: DataFrame, cursor: int = 0, limit: int = 50) -> DataFrame:
     """Rows [cursor, cursor + limit) with the next cursor (0 after the end) and the total."""
     cursor = max(0, cursor)

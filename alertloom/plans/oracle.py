@@ -459,6 +459,9 @@ def _statements() -> dict[str, str]:
     q: dict[str, str] = {}
     line = "ts, source, service, severity, message, raw_line"
     q["parse_hdfs_lines"] = f"SELECT {line} FROM storage_parsed WHERE ts IS NOT NULL"
+    q["capped_lines"] = q["parse_hdfs_lines"]
+    q["testbed_folder"] = """
+        SELECT ts, service, severity, message, event_id, 'normal' AS dataset_type, 'day-1' AS label FROM service_graded WHERE ts IS NOT NULL"""
     q["parse_spark_lines"] = f"SELECT {line} FROM spark_parsed WHERE ts IS NOT NULL"
     q["parse_service_logs"] = f"SELECT {PARSED} FROM service_graded WHERE ts IS NOT NULL"
     q["parse_gateway_logs"] = f"SELECT {PARSED} FROM gateway_graded WHERE ts IS NOT NULL"
@@ -546,6 +549,10 @@ def _statements() -> dict[str, str]:
         SELECT * EXCLUDE (n), CASE WHEN 220 < n THEN 220 ELSE 0 END::BIGINT AS next_cursor, n AS total
         FROM (SELECT *, count(*) OVER () AS n FROM {replay}) WHERE row >= 100 AND row < 220"""
 
+    q["replay_envelopes"] = f"""
+        SELECT c AS cursor, coalesce(string_agg(id, ',' ORDER BY row) FILTER (WHERE row >= c AND row < c + 120), '') AS ids,
+            CASE WHEN c + 120 < count(*) THEN c + 120 ELSE 0 END AS next_cursor, count(*) AS total
+        FROM {replay}, (SELECT unnest([100, 1000000000])::BIGINT AS c) GROUP BY c"""
     q["l2_normalize_vectors"] = """
         SELECT vec_id, i - 1 AS dim, round(u[i] / CASE WHEN norm = 0 THEN 1 ELSE norm END, 6) AS x
         FROM (SELECT vec_id, u, sqrt(list_dot_product(u, u)) AS norm, unnest(range(1, len(u) + 1)) AS i

@@ -31,6 +31,7 @@ GAP, SPAN = 3600, 14400
 SWEEP = [(0, 3600, 0.3), (1, 3600, 0.4), (2, 7200, 0.3), (3, 7200, 0.4)]
 TEXT_WINDOW, TEXT_THRESHOLD = 1800, 0.62
 SAMPLE = 2000
+SLICES = 5
 REPLAY = 3000
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +61,27 @@ def parse_hdfs_lines(spark, sf):
     return logs.parse_storage_lines(fx.storage_lines(spark, sf)).select(LINE)
 
 
+@query
+def testbed_folder(spark, sf):
+    """Service logs written as the testbed's CSV files and read back from its folders."""
+    root = feeds.scratch(spark, "testbed")
+    layout = testbed.LAYOUTS["normal"].replace("*", "day-1")
+    fx.service_logs(spark, sf).write.option("header", True).option("escape", '"').csv(f"{root}/{layout}/{testbed.FILES['service']}")
+    rows = testbed.read_kind(spark, root, "service")
+    labels = rows.select("log_id", "dataset_type", "label")
+    return testbed.parse_service_logs(rows).select("ts", "service", "severity", "message", "event_id").join(
+        labels, F.col("event_id") == F.col("log_id")
+    ).drop("log_id")
+
+
+@query
+def capped_lines(spark, sf):
+    """Lines written as text and read back up to a cap that holds them all."""
+    root = feeds.scratch(spark, "lines")
+    fx.storage_lines(spark, sf).write.text(root)
+    return logs.parse_storage_lines(logs.read_lines(spark, root, 10**9)).select(LINE)
+
+
 @query
 def parse_spark_lines(spark, sf):
     return logs.parse_spark_lines(fx.spark_lines(spark, sf)).select(LINE)
@@ -276,6 +298,15 @@ def replay_page(spark, sf):
     return sampling.replay_page(sampling.replay_sample(A.severity_filter(fx.alerts(spark, sf)), REPLAY), 100, 120)
 
 
+@query
+def replay_envelopes(spark, sf):
+    """A page inside the feed, and one past its end."""
+    feed = durable(sampling.replay_sample(A.severity_filter(fx.alerts(spark, sf)), REPLAY))
+    pages = [sampling.replay_envelope(feed, cursor, 120).withColumn("cursor", F.lit(cursor).cast("long")) for cursor in (100, 10**9)]
+    ids = F.array_join(F.transform("items", lambda i: i["id"]), ",")
+    return pages[0].unionByName(pages[1]).select("cursor", ids.alias("ids"), "next_cursor", "total")
+
+
 # --- vectors and the graph ---------------------------------------------------------------------
 
 
@@ -575,7 +606,10 @@ def parameter_sweep(spark, sf):
 
 
 def stream(spark, sf) -> DataFrame:
-    events = feeds.file_stream(spark, sf, fx.events(spark, sf), glob="events.parquet")
+    """The events, arriving in SLICES stretches of time, each a batch of its own."""
+    events = fx.events(spark, sf)
+    folder = feeds.in_slices(events, "ts", SLICES, feeds.scratch(spark, "arrivals"))
+    events = feeds.file_stream(spark, folder, events, files_per_batch=feeds.SLICE_FILES)
     return fx.as_alerts(events, fx.vectors(spark, sf).count()).withColumn("event_time", F.col("ts").cast("timestamp"))
 
 

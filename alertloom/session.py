@@ -32,13 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_dir(spark)}/alertloom/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has stored below the shared folder; call it when the results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage, so that a lost executor can neither change nor undo what was
-    computed, and gives later joins a real size to plan with. The folder may be
-    emptied once the results built on it are stored.
+    computed, and gives later joins a real size to plan with. `release` empties the
+    folder once the results built on it are stored.
     """
-    path = f"{shared_dir(df.sparkSession)}/alertloom/{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

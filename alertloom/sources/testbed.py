@@ -153,25 +153,39 @@ def parse_stats(service: DataFrame, gateway: DataFrame, spans: DataFrame) -> Dat
     )
 
 
+def _with_open_quotes(spark: SparkSession, path: str) -> list[str]:
+    """Files of which a line has an odd number of quotes: a field goes on in the next line. At most all file names."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return [r["file"] for r in lines.where(quotes % 2 == 1).select("file").distinct().collect()]
+
+
+def _read_csv(spark: SparkSession, columns, path: str) -> DataFrame:
+    """CSV rows with their `file`. Files are split among tasks; those with line feeds inside fields are read whole."""
+    whole = _with_open_quotes(spark, path)
+    reader = spark.read.schema(columns).option("header", True).option("escape", '"')
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    if not whole:
+        return rows
+    odd = reader.option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("file"))
+    return rows.where(~F.col("file").isin(whole)).unionByName(odd.where(F.col("file").isin(whole)))
+
+
 def read_kind(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     """All CSV files of one kind below the root, tagged with `dataset_type` and `label`."""
     columns = schema.SPAN_SCHEMA if kind == "trace" else schema.LOG_SCHEMA
     found = None
     for dataset, layout in LAYOUTS.items():
         try:
-            rows = (
-                spark.read.schema(columns)
-                .option("header", True)
-                .option("multiLine", True)
-                .option("escape", '"')
-                .csv(f"{root}/{layout}/{FILES[kind]}")
-            )
+            rows = _read_csv(spark, columns, f"{root}/{layout}/{FILES[kind]}")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
         depth = -4 if dataset == "training_faults" else -5
-        folder = F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), depth)
-        rows = rows.select("*", F.lit(dataset).alias("dataset_type"), folder.alias("label"))
+        # A large table may be a folder of parts, below the name of the file.
+        folder = F.element_at(F.split(F.regexp_replace(F.url_decode("file"), r"(\.csv)/.*$", "$1"), "/"), depth)
+        tags = [F.lit(dataset).alias("dataset_type"), folder.alias("label")]
+        rows = rows.select(*[c for c in rows.columns if c != "file"], *tags)
         found = rows if found is None else found.unionByName(rows)
     return found

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from alertloom.session import shared_dir
+from alertloom.session import run_dir
 
 
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 100, glob: str | None = None) -> DataFrame:
@@ -19,6 +19,23 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_bat
     return reader.parquet(folder)
 
 
+#: Files of one slice, and so of one batch, in `in_slices`.
+SLICE_FILES = 4
+
+
+def in_slices(rows: DataFrame, ts: str, slices: int, folder: str) -> str:
+    """Write rows as files that arrive slice by slice, in even stretches of `ts`; returns the folder."""
+    at = F.col(ts).cast("timestamp").cast("double")
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        rows.write.parquet(folder)
+        return folder
+    number = F.least(F.floor((at - F.lit(lo)) * slices / F.lit(max(hi - lo, 1.0))), F.lit(slices - 1))
+    for n in range(slices):
+        rows.where(number == n).repartition(SLICE_FILES).write.mode("append").parquet(folder)
+    return folder
+
+
 def without_copies(alerts: DataFrame, key: Sequence[str] = ("ts", "service", "message"), delay: str = "10 minutes") -> DataFrame:
     """The first arrival of each key. State is kept for `delay` of event time; later copies count as late."""
     return alerts.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(key))
@@ -36,7 +53,7 @@ def rates(alerts: DataFrame, width: str = "1 minute", slide: str | None = None,
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/alertloom/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_to_end(query: StreamingQuery) -> None:
