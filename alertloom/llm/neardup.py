@@ -39,6 +39,7 @@ PLACES = CHUNKS * CHUNK
 FAR = 43
 LEADER_ROUNDS = 3
 BLOCK = 2048
+COMPARED = 1 << 15  # pairs that are compared at once
 
 _rng = np.random.default_rng(75)
 _ODD = _rng.integers(0, 2**31, CHUNKS * CHUNK, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -126,59 +127,71 @@ def _first_key(same: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(percent: int):
-    """Pairs of one bucket, of different roots, whose sizes and signatures allow a link."""
+def _close(left: np.ndarray, right: np.ndarray, rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, right) of different roots whose sizes and signatures allow a link; a row is no pair with itself."""
+    root, n, places = rows["root"], rows["n"], rows["places"]
+    step = max(1, COMPARED // max(1, len(right)))
+    found = []
+    for at in range(0, len(left), step):
+        a = left[at : at + step]
+        low, high = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
+        i, j = np.nonzero((root[a][:, None] != root[right]) & (100 * low >= percent * high))
+        close = (places[a[i]] == places[right[j]]).sum(axis=1) >= PLACES - FAR
+        found.append((a[i[close]], right[j[close]]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
 
-    def compare(key: int, rows: dict[str, np.ndarray], cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((rows["id"], rows["block"]))
-        ids, n, root, places, block = (rows[c][order] for c in ("id", "n", "root", "places", "block"))
+def _near(percent: int):
+    """Candidates among rows that come sorted by cell: pairs of one block of a bucket, or of two."""
+    cell = ("key", "low", "high")
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: table[c].to_numpy() for c in (*cell, "id", "n", "root", "block")}
+        rows["places"] = _places(table["signature"].combine_chunks())
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in cell:
+            change |= rows[c][1:] != rows[c][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        split = int(np.searchsorted(block, block[0], "right")) if cross else 0
-        for i in range(split if cross else len(ids) - 1):
-            j = np.arange(split if cross else i + 1, len(ids))
-            j = j[(root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-            if len(j):
-                same = places[j] == places[i]
-                close = same.sum(axis=1) >= PLACES - FAR
-                j, same = j[close], same[close]
-            if len(j):
-                own = _first_key(same, places[j]).view(np.int64) == key
-                found.append((np.full(int(own.sum()), ids[i]), ids[j[own]]))
+        for x, y in itertools.pairwise(cuts):
+            if y - x < 2:
+                continue
+            at = np.arange(x, y)
+            if rows["low"][x] == rows["high"][x]:
+                a, b = _close(at, at, rows, percent)
+                found.append((a[a < b], b[a < b]))
+            else:
+                low = rows["block"][x:y] == rows["low"][x]
+                if low.any() and not low.all():
+                    found.append(_close(at[low], at[~low], rows, percent))
         if not found:
-            return (np.zeros(0, np.int64),) * 2
+            return
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
+        for lo in range(0, len(a), COMPARED):
+            i, j = a[lo : lo + COMPARED], b[lo : lo + COMPARED]
+            # A pair may share many keys; its first one speaks for it.
+            same = rows["places"][i] == rows["places"][j]
+            own = _first_key(same, rows["places"][i]).view(np.int64) == rows["key"][i]
+            x, y = rows["id"][i[own]], rows["id"][j[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if not table.num_rows:
-                return
-            low, high, key = (table[c].to_numpy() for c in ("low", "high", "key"))
-            rows = {c: table[c].to_numpy() for c in ("id", "n", "root", "block")}
-            rows["places"] = _places(table["signature"].combine_chunks())
-            change = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(key)]
-            left, right = [], []
-            for x, y in itertools.pairwise(cuts):
-                if y - x > 1 and (low[x] == high[x] or len(np.unique(rows["block"][x:y])) > 1):
-                    a, b = compare(int(key[x]), {c: v[x:y] for c, v in rows.items()}, bool(low[x] != high[x]))
-                    left.append(a), right.append(b)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-        # Rows come sorted by cell; the last cell of a batch may go on in the next.
         for batch in batches:
-            table = pa.Table.from_batches([*held, batch])
-            at = table.num_rows
-            last = tuple(table[c][at - 1].as_py() for c in ("key", "low", "high")) if at else None
-            while at and tuple(table[c][at - 1].as_py() for c in ("key", "low", "high")) == last:
-                at -= 1
-            yield from done(table.slice(0, at))
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            # The last cell may go on in the next batch.
+            last = np.ones(table.num_rows, bool)
+            for c in cell:
+                values = table[c].to_numpy()
+                last &= values == values[-1]
+            at = int(np.argmax(last))
+            if at:
+                yield from pairs(table.slice(0, at).combine_chunks())
             held = table.slice(at).combine_chunks().to_batches()
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
