@@ -17,7 +17,7 @@ from alertloom import schema
 from alertloom.functions import text
 from alertloom.functions.time import clock, from_micros
 from alertloom.functions.vectors import dot, unit_vectors
-from alertloom.operators.ordering import position, top_per_group
+from alertloom.operators.ordering import ranked, top_per_group
 from alertloom.session import durable
 
 GROUP_COLUMNS = ["start_us", "end_us", "members", "cohesion"]
@@ -167,7 +167,7 @@ def incident_heads(members: DataFrame) -> DataFrame:
 
 def number_incidents(heads: DataFrame) -> DataFrame:
     """Number incidents by first alert, from 1, without sorting them in one task."""
-    numbered = position(heads, ["start_us", "component_id"], "_idx")
+    numbered = ranked(heads, ["start_us", "component_id"], "_idx")
     number = F.col("_idx") + 1
     return numbered.withColumn("incident_no", number).withColumn("incident_id", incident_id(number)).drop("_idx")
 

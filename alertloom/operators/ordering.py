@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from alertloom.session import durable
 
 
+# Most rows of a slab, on average: what a window task sorts.
+SLAB_ROWS = 2_000_000
+
+
 def running_sum(
     df: DataFrame,
     group: Sequence[str],
@@ -26,8 +30,7 @@ def running_sum(
 
     `order` has to tell the rows of a group apart. Group columns must not be NULL.
     """
-    spark = df.sparkSession
-    slabs = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slabs = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLAB_ROWS))
     keys = list(group) or ["_all"]
     # The slab number is only meaningful while the partitioning is pinned, hence durable().
     pinned = durable(
@@ -56,6 +59,19 @@ def position(df: DataFrame, order: Sequence[str], out: str = "idx", group: Seque
     return running_sum(df, group, order, F.lit(1), out).withColumn(out, F.col(out) - 1)
 
 
+def ranked(df: DataFrame, order: Sequence[str], out: str = "idx", group: Sequence[str] = (), keep: Column | None = None) -> DataFrame:
+    """As position, for wide rows: only group and order columns are sorted and stored, then joined back.
+
+    `keep` is a condition on `out` that is applied before the join. `order` has to tell the rows apart.
+    """
+    keys = [*group, *order]
+    narrow = position(df.select(*keys), order, out, group)
+    narrow = narrow if keep is None else narrow.where(keep)
+    narrow = narrow.select(*[F.col(c).alias(f"_{c}") for c in keys], out)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return df.join(narrow, same).drop(*[f"_{c}" for c in keys])
+
+
 def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """The first k rows of each group, numbered from 1.
 

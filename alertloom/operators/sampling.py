@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from alertloom import schema
 from alertloom.functions.time import from_micros, micros
 from alertloom.operators.alerts import per_minute
-from alertloom.operators.ordering import position
+from alertloom.operators.ordering import position, ranked
 
 MINUTE_US = 60_000_000
 
@@ -73,17 +73,20 @@ def stratified_sample(
     quotas = sizes.select(
         "cleaned_message", F.least(F.col("_n"), F.greatest(F.lit(1), share)).alias("_quota")
     )
+    # Templates are texts: they are ranked by their hashes.
+    key = F.md5("cleaned_message")
+    narrow = inside.select("ts", "alert_id", key.alias("_template"))
     picked = (
-        position(inside, ["ts", "alert_id"], "_pos", group=["cleaned_message"])
-        .join(quotas, "cleaned_message")
+        position(narrow, ["ts", "alert_id"], "_pos", group=["_template"])
+        .join(quotas.select(key.alias("_template"), "_quota"), "_template")
         .where(F.col("_pos") < F.col("_quota"))
     )
+    picked = inside.join(picked.select("ts", "alert_id"), ["ts", "alert_id"], "left_semi")
     return kept.unionByName(picked.select(*kept.columns))
 
 
 def even_sample(alerts: DataFrame, k: int) -> DataFrame:
     """Rows floor(i * n / k) for i < k of the time-ordered table; all rows when n <= k."""
-    indexed = position(alerts, ["ts", "alert_id"])
     total = alerts.agg(F.count("*")).scalar()
     step = total.cast("double") / F.lit(float(k))
     near = F.floor(F.col("idx") / step)
@@ -91,14 +94,13 @@ def even_sample(alerts: DataFrame, k: int) -> DataFrame:
     def is_row(i):
         return (i < k) & (F.floor(i.cast("double") * step) == F.col("idx"))
 
-    return indexed.where((total <= k) | is_row(near) | is_row(near + 1))
+    return ranked(alerts, ["ts", "alert_id"], keep=(total <= k) | is_row(near) | is_row(near + 1))
 
 
 def replay_sample(alerts: DataFrame, target: int = schema.REPLAY_TARGET) -> DataFrame:
     """Every n-th alert in time order, numbered densely for the replay feed."""
-    indexed = position(alerts, ["ts", "alert_id"])
     step = F.greatest(F.lit(1), F.floor(alerts.agg(F.count("*")).scalar() / target))
-    kept = indexed.withColumn("_step", step).where(F.col("idx") % F.col("_step") == 0)
+    kept = ranked(alerts, ["ts", "alert_id"], keep=F.col("idx") % step == 0).withColumn("_step", step)
     row = F.call_function("div", F.col("idx"), F.col("_step"))
     return kept.select(
         row.alias("row"),

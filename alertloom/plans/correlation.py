@@ -36,10 +36,15 @@ def scored_members(
     """
     cells = C.component_cells(alerts, vectors, window_sec, threshold, cross_threshold)
     if max_gap_sec is not None or max_span_sec is not None:
-        labelled = C.label_alerts(alerts, cells, window_sec)
+        # Cut on narrow rows, stored once; the alerts themselves are read and joined a single time.
+        narrow = durable(C.label_alerts(alerts.select("alert_id", "ts_us", "vec_id"), cells, window_sec))
         gap = schema.MAX_GAP_SEC if max_gap_sec is None else max_gap_sec
-        cut = segments.segmented(labelled, gap, schema.MAX_SPAN_SEC if max_span_sec is None else max_span_sec)
-        return I.score_members(cut, vectors)
+        cut = durable(segments.segmented(narrow, gap, schema.MAX_SPAN_SEC if max_span_sec is None else max_span_sec))
+        counts = cut.groupBy("component_id", "vec_id").agg(
+            F.count("*").alias("n"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")
+        )
+        labelled = alerts.join(cut.select("alert_id", "component_id"), "alert_id")
+        return I.score_members(labelled, vectors, I.group_figures(counts, vectors))
     # Cells carry counts, so all figures come from them and alerts are joined once.
     figures = I.group_figures(cells, vectors)
     scored = cells.join(figures, ["component_id", "vec_id"])

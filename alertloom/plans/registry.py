@@ -554,8 +554,9 @@ def reduction_metrics(spark, sf):
 
 def matched(spark, sf) -> DataFrame:
     both = found_segmented(spark, sf)
-    cases = both.incidents.join(I.member_services(both.members), "component_id")
-    return E.fault_match(fx.faults(spark, sf), cases)
+    # Both are read twice.
+    cases = durable(both.incidents.join(I.member_services(both.members), "component_id"))
+    return E.fault_match(durable(fx.faults(spark, sf)), cases)
 
 
 @query
