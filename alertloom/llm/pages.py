@@ -53,9 +53,10 @@ BAD_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu "
     "breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent notice notices gdpr alert popup modal overlay comment comments "
     "commentlist reply replies disqus respond form login signup subscribe newsletter share sharing social related recommended widget copyright legal "
-    "pagination pager hidden".split()
+    "pagination pager hidden adsbygoogle adbox adslot adverts disclaimer".split()
 )
 GOOD_NAMES = frozenset("article content main post entry story text body".split())
+ABOUT_OTHERS = frozenset("no has with without".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
 
@@ -77,6 +78,16 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
+def _names(given: str) -> set[str]:
+    """Lower-case words of class names and ids; names such as `no-sidebar` and `has-menu` tell of others, not of themselves."""
+    found: set[str] = set()
+    for name in given.split():
+        own = [n.lower() for n in _NAME.findall(name)]
+        if own and own[0] not in ABOUT_OTHERS:
+            found.update(own)
+    return found
+
+
 def _inside(tag: str, attributes: str, parent: Node | None) -> Node:
     evidence, known = (parent.evidence, parent.known) if parent else (0.0, 0)
     seen = (parent.seen if parent else True) and tag not in UNSEEN
@@ -88,7 +99,9 @@ def _inside(tag: str, attributes: str, parent: Node | None) -> Node:
         evidence += 1
     if attributes and not attributes.isspace():
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        names = {n.lower() for n in _NAME.findall(given.get("class", "") + " " + given.get("id", ""))}
+        names = _names(given.get("class", "") + " " + given.get("id", ""))
+        if known > 0 and tag != "header":
+            names.discard("header")  # the headline's surroundings
         role = given.get("role", "").lower()
         if names & BAD_NAMES and tag not in ("body", "html") or role in BAD_ROLES:
             evidence, known = evidence - 10, -1
