@@ -20,10 +20,11 @@ minute, so they are never written out:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from alertloom.functions.text import base_service
@@ -97,70 +98,104 @@ def _seated(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFra
     return spread.select("*", F.inline(seats))
 
 
-def _compared():
+def _by_cell(function, keys: Sequence[str], names: Sequence[str]):
+    """Run function on the rows of each key, for rows that come sorted by the keys; its rows get the columns `names`.
+
+    The function gets a dictionary of arrays and returns a list of arrays. Small groups cost little this way, and a
+    task holds one batch and the group that goes on from it.
+    """
     # Nothing of this package is named inside, so executors need not have it installed.
-    def sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-        """Cells of block i, cells of block j, and their similarities."""
+    keys, names = list(keys), list(names)
+
+    def run(batches):
+        def handled(frame: pd.DataFrame, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+            columns = {c: frame[c].to_numpy() for c in frame.columns}
+            made = [[] for _ in [*keys, *names]]
+            for x, y in zip(cuts, cuts[1:]):
+                found = function({c: v[x:y] for c, v in columns.items()})
+                if len(found[0]):
+                    for at, k in enumerate(keys):
+                        made[at].append(np.repeat(columns[k][x : x + 1], len(found[0])))
+                    for at, values in enumerate(found):
+                        made[len(keys) + at].append(values)
+            if made[-1]:
+                whole = [np.concatenate(v) for v in made]
+                arrays = [pa.array(v.tolist() if v.dtype == object else v) for v in whole]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *names])
+
+        held = None
+        for batch in batches:
+            frame = batch.to_pandas()
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            change = np.zeros(max(0, len(frame) - 1), bool)
+            for c in [*keys, "window_us", "anchor", "i", "j"]:
+                values = frame[c].to_numpy()
+                change |= values[1:] != values[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            if len(cuts) > 1:
+                yield from handled(frame, cuts)
+            held = frame.iloc[cuts[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from handled(held, [0, len(held)])
+
+    return run
+
+
+def _compare(cells_: DataFrame, vectors: DataFrame, by: Sequence[str], function, names: Sequence[str], schema: str) -> DataFrame:
+    cell = [*by, "window_us", "anchor", "i", "j"]
+    seated = _seated(cells_, vectors, by).repartition(*cell).sortWithinPartitions(*cell)
+    return seated.mapInArrow(_by_cell(function, by, names), schema)
+
 
-        def units(rows: pd.DataFrame) -> np.ndarray:
-            if rows.empty:
-                return np.zeros((0, 0))
-            matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+def _sides():
+    def sides(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the cells of block i and of block j are, and their similarities."""
+
+        def units(at: np.ndarray) -> np.ndarray:
+            matrix = np.stack(rows["embedding"][at]).astype(np.float64)
             return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        own = group["ahead"] == 0
-        left = group[own & (group["block"] == i)]
-        right = group[(group["block"] == j) & (~own | (i <= j))]
-        if left.empty or right.empty:
+        i, j = rows["i"][0], rows["j"][0]
+        own = rows["ahead"] == 0
+        left = np.flatnonzero(own & (rows["block"] == i))
+        right = np.flatnonzero((rows["block"] == j) & (~own | (i <= j)))
+        if not len(left) or not len(right):
             return left, right, np.zeros((len(left), len(right)))
         sims = units(left) @ units(right).T
         # A vector is exactly like itself, whatever its rounding.
-        sims[left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None, :]] = 1.0
+        sims[rows["vec_id"][left][:, None] == rows["vec_id"][right][None, :]] = 1.0
         return left, right, sims
 
     return sides
 
 
 def _spanning_edges():
-    sides = _compared()
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(group)
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        gaps = right["first_us"].to_numpy()[None, :] - left["last_us"].to_numpy()[:, None]
-        near = (right["ahead"].to_numpy() == 0)[None, :] | (gaps <= group["window_us"].iloc[0])
-        linked = near & (sims >= group["min_sim"].iloc[0])
-        nodes, at = np.unique(np.concatenate([left["node"], right["node"]]), return_inverse=True)
-        rows, cols = at[: len(left)], at[len(left) :]
+    sides = _sides()
+
+    def link(rows: dict) -> list[np.ndarray]:
+        left, right, sims = sides(rows)
+        if not sims.size:
+            return [np.zeros(0, np.int64)] * 2
+        gaps = rows["first_us"][right][None, :] - rows["last_us"][left][:, None]
+        near = (rows["ahead"][right] == 0)[None, :] | (gaps <= rows["window_us"][0])
+        linked = near & (sims >= rows["min_sim"][0])
+        nodes, at = np.unique(np.concatenate([rows["node"][left], rows["node"][right]]), return_inverse=True)
+        a, b = at[: len(left)], at[len(left) :]
         label = np.arange(len(nodes))
         while True:
             lower = label.copy()
-            np.minimum.at(lower, rows, np.where(linked, label[cols][None, :], len(nodes)).min(axis=1))
-            np.minimum.at(lower, cols, np.where(linked, label[rows][:, None], len(nodes)).min(axis=0))
+            np.minimum.at(lower, a, np.where(linked, label[b][None, :], len(nodes)).min(axis=1))
+            np.minimum.at(lower, b, np.where(linked, label[a][:, None], len(nodes)).min(axis=0))
             lower = lower[lower]
             if (lower == label).all():
                 break
             label = lower
         moved = label != np.arange(len(nodes))
-        return pd.DataFrame({"a": nodes[label[moved]], "b": nodes[moved]})
+        return [nodes[label[moved]], nodes[moved]]
 
     return link
 
 
-def _keyed(function, keys: Sequence[str], columns: list[str]):
-    """The function's rows with the group's key columns in front."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = function(rows)
-        for key in keys:
-            made[key] = rows[key].iloc[0]
-        return made[[*keys, *columns]]
-
-    return run
-
-
 def cell_links(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
     """Edges (by..., a, b) between the nodes of linked cells: of each pair of blocks, a spanning forest.
 
@@ -168,30 +203,27 @@ def cell_links(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> Data
     """
     kinds = dict(cells_.dtypes)
     columns = ", ".join([*[f"{k} {kinds[k]}" for k in by], "a long", "b long"])
-    seated = _seated(cells_, vectors, by)
-    return seated.groupBy(*by, "window_us", "anchor", "i", "j").applyInPandas(_keyed(_spanning_edges(), list(by), ["a", "b"]), columns)
+    return _compare(cells_, vectors, by, _spanning_edges(), ["a", "b"], columns)
 
 
 def cell_pairs(cells_: DataFrame, vectors: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """(by..., vec_id, bucket, vec_b, sim): other vectors similar to a cell's, with a cell in its bucket or the next."""
-    sides = _compared()
+    sides = _sides()
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        left, right, sims = sides(group)
+    def pairs(rows: dict) -> list[np.ndarray]:
+        left, right, sims = sides(rows)
         i, j = np.nonzero(sims >= threshold)
-        a, b = left["vec_id"].to_numpy()[i], right["vec_id"].to_numpy()[j]
-        same_bucket = right["ahead"].to_numpy()[j] == 0
+        a, b, sim = rows["vec_id"][left[i]], rows["vec_id"][right[j]], sims[i, j]
         # Inside a bucket both look for each other; one block against itself has each pair twice already.
-        back = same_bucket & (group["i"].iloc[0] != group["j"].iloc[0])
-        out = pd.DataFrame({"vec_id": np.concatenate([a, b[back]]), "vec_b": np.concatenate([b, a[back]]), "sim": np.concatenate([sims[i, j], sims[i, j][back]])})
-        out["bucket"] = group["anchor"].iloc[0]
-        return out[out["vec_id"] != out["vec_b"]]
+        back = (rows["ahead"][right[j]] == 0) & (rows["i"][0] != rows["j"][0])
+        x, y, sim = np.concatenate([a, b[back]]), np.concatenate([b, a[back]]), np.concatenate([sim, sim[back]])
+        other = x != y
+        return [x[other], np.repeat(rows["anchor"][:1], int(other.sum())), y[other], sim[other]]
 
     kinds = dict(cells_.dtypes)
     vec = kinds["vec_id"]
     columns = ", ".join([*[f"{k} {kinds[k]}" for k in by], f"vec_id {vec}, bucket long, vec_b {vec}, sim double"])
-    run = _keyed(pairs, list(by), ["vec_id", "bucket", "vec_b", "sim"])
-    found = _seated(cells_, vectors, by).groupBy(*by, "window_us", "anchor", "i", "j").applyInPandas(run, columns)
+    found = _compare(cells_, vectors, by, pairs, ["vec_id", "bucket", "vec_b", "sim"], columns)
     return found.groupBy(*by, "vec_id", "bucket", "vec_b").agg(F.max("sim").alias("sim"))
 
 
