@@ -14,7 +14,10 @@ A document's set holds its distinct shingles of WIDTH words (A-Z lower-cased). T
    components are asked for. So a crowd of near copies is linked through leaders: every bucket of a key names one, each
    class is checked against the nearest leader it meets, and after a few such rounds what is left - classes of one
    bucket, but of different components - is compared signature by signature, all of it, inside tasks that hold at most
-   two blocks of BLOCK rows of one bucket. Only pairs within FAR leave a task, each from one bucket alone.
+   two blocks of BLOCK rows of one bucket. Each pair counts in the first bucket that it shares. Where a bucket's pairs
+   within FAR are few, they leave the task and are confirmed one by one; where they outnumber its rows, the rows do,
+   with their sets, and are confirmed inside a task, which names only links that join components. So nothing that is
+   written or moved grows with the square of a bucket.
 
 Each class has as many keys as all others, so a bucket holds at most a share of 1 / (CHUNKS * masks) of the keyed rows,
 however many near copies there are. No task holds a class or component.
@@ -40,6 +43,7 @@ FAR = 43
 LEADER_ROUNDS = 3
 BLOCK = 2048
 COMPARED = 1 << 15  # pairs that are compared at once
+CELL = ("key", "low", "high")  # a bucket and two of its blocks
 
 _rng = np.random.default_rng(75)
 _ODD = _rng.integers(0, 2**31, CHUNKS * CHUNK, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -141,39 +145,40 @@ def _close(left: np.ndarray, right: np.ndarray, rows: dict[str, np.ndarray], per
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _near(percent: int):
-    """Candidates among rows that come sorted by cell: pairs of one block of a bucket, or of two."""
-    cell = ("key", "low", "high")
-
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = {c: table[c].to_numpy() for c in (*cell, "id", "n", "root", "block")}
-        rows["places"] = _places(table["signature"].combine_chunks())
-        change = np.zeros(max(0, table.num_rows - 1), bool)
-        for c in cell:
-            change |= rows[c][1:] != rows[c][:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for x, y in itertools.pairwise(cuts):
-            if y - x < 2:
-                continue
-            at = np.arange(x, y)
-            if rows["low"][x] == rows["high"][x]:
-                a, b = _close(at, at, rows, percent)
-                found.append((a[a < b], b[a < b]))
-            else:
-                low = rows["block"][x:y] == rows["low"][x]
-                if low.any() and not low.all():
-                    found.append(_close(at[low], at[~low], rows, percent))
-        if not found:
-            return
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        for lo in range(0, len(a), COMPARED):
-            i, j = a[lo : lo + COMPARED], b[lo : lo + COMPARED]
-            # A pair may share many keys; its first one speaks for it.
-            same = rows["places"][i] == rows["places"][j]
-            own = _first_key(same, rows["places"][i]).view(np.int64) == rows["key"][i]
-            x, y = rows["id"][i[own]], rows["id"][j[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def _cells(table: pa.Table) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
+    """(columns, row ranges of cells) of rows sorted by cell; `places` are the unpacked signatures."""
+    rows = {c: table[c].to_numpy() for c in (*CELL, "id", "n", "root", "block")}
+    rows["places"] = _places(table["signature"].combine_chunks())
+    change = np.zeros(max(0, table.num_rows - 1), bool)
+    for c in CELL:
+        change |= rows[c][1:] != rows[c][:-1]
+    return rows, list(itertools.pairwise([0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]))
+
+
+def _candidates(rows: dict[str, np.ndarray], x: int, y: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a cell, rows x to y, that are close; of one block of a bucket, or of two."""
+    none = np.zeros(0, np.int64)
+    if y - x < 2:
+        return none, none
+    at = np.arange(x, y)
+    if rows["low"][x] == rows["high"][x]:
+        a, b = _close(at, at, rows, percent)
+        a, b = a[a < b], b[a < b]
+    else:
+        low = rows["block"][x:y] == rows["low"][x]
+        a, b = _close(at[low], at[~low], rows, percent) if low.any() and not low.all() else (none, none)
+    own = [none]
+    for lo in range(0, len(a), COMPARED):
+        # A pair may share many keys; its first one speaks for it.
+        i, j = a[lo : lo + COMPARED], b[lo : lo + COMPARED]
+        first = _first_key(rows["places"][i] == rows["places"][j], rows["places"][i])
+        own.append(lo + np.flatnonzero(first.view(np.int64) == rows["key"][x]))
+    own = np.concatenate(own)
+    return a[own], b[own]
+
+
+def _streamed(handle):
+    """Run handle on tables of whole cells, of batches that come sorted by cell; a task holds one batch and one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -181,21 +186,101 @@ def _near(percent: int):
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            # The last cell may go on in the next batch.
-            last = np.ones(table.num_rows, bool)
-            for c in cell:
+            last = np.ones(table.num_rows, bool)  # the last cell may go on in the next batch
+            for c in CELL:
                 values = table[c].to_numpy()
                 last &= values == values[-1]
             at = int(np.argmax(last))
             if at:
-                yield from pairs(table.slice(0, at).combine_chunks())
+                yield from handle(table.slice(0, at).combine_chunks())
             held = table.slice(at).combine_chunks().to_batches()
         if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+            yield from handle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _near(percent: int):
+    """What a cell has to confirm: its candidate pairs, or, where those are more, the rows that are in any.
+
+    A pair is a row with both ids and no key, a row of a cell has its key and blocks. So the output is at most as long
+    as the input, however dense a bucket is.
+    """
+    names = ["a", "b", *CELL, "block"]
+
+    def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, cells = _cells(table)
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        dense: list[np.ndarray] = []
+        for x, y in cells:
+            a, b = _candidates(rows, x, y, percent)
+            if not len(a):
+                continue
+            members = np.unique(np.concatenate([a, b]))
+            if len(members) < 2 * len(a):
+                dense.append(members)
+            else:
+                pairs.append((a, b))
+        if pairs:
+            a, b = (rows["id"][np.concatenate(x)] for x in zip(*pairs, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
+        if dense:
+            at = np.concatenate(dense)
+            cell = [pa.array(rows[c][at].astype(np.int64)) for c in (*CELL, "block")]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["id"][at]), pa.nulls(len(at), pa.int64()), *cell], names=names)
+
+    return _streamed(handle)
+
+
+def _linked(percent: int):
+    """Links of dense cells, confirmed on full sets: (a, b), at most one less than the cell has components."""
+
+    def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, cells = _cells(table)
+        lists = table["shingles"].combine_chunks()
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        values = np.asarray(lists.values)
+        out: list[tuple[int, int]] = []
+        for x, y in cells:
+            a, b = _candidates(rows, x, y, percent)
+            if not len(a):
+                continue
+            own = bounds[x : y + 1] - bounds[x]
+            _, codes = np.unique(values[bounds[x] : bounds[y]], return_inverse=True)
+            here = np.zeros(int(codes.max()) + 1, bool)
+            size = np.diff(own)
+            root = {r: r for r in np.unique(rows["root"][x:y]).tolist()}
+
+            def find(r: int) -> int:
+                while root[r] != r:
+                    root[r] = root[root[r]]
+                    r = root[r]
+                return r
+
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            for lo, hi in itertools.pairwise(cuts):
+                i, others = int(a[lo]) - x, b[lo:hi] - x
+                here[codes[own[i] : own[i + 1]]] = True
+                length = size[others]
+                begin = np.cumsum(length) - length
+                at = np.repeat(own[others] - begin, length) + np.arange(length.sum())
+                both = np.add.reduceat(here[codes[at]].astype(np.int64), begin)
+                here[codes[own[i] : own[i + 1]]] = False
+                for j in others[100 * both >= percent * (size[i] + length - both)].tolist():
+                    r, t = find(int(rows["root"][x + i])), find(int(rows["root"][x + j]))
+                    if r != t:
+                        root[max(r, t)] = min(r, t)
+                        out.append((int(rows["id"][x + i]), int(rows["id"][x + j])))
+        if out:
+            pairs = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+    return _streamed(handle)
+
+
 def _sets(chunk: list[bytes]) -> dict[str, pa.Array]:
     h, first = shingle_hashes(chunk)
     own = [np.unique(h[a:b]) for a, b in itertools.pairwise(first)]
@@ -272,11 +357,15 @@ def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     own = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
     rest = rows.join(heads, "id").select("key", "id", "n", "root", "signature", blocks.alias("blocks"), own.alias("block"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = ["key", "low", "high"]
     rest = rest.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "root", "signature", "block")
-    rest = rest.repartition(*cell).sortWithinPartitions(*cell)
-    pairs = rest.mapInArrow(_near(percent), "a long, b long").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    return checked.unionByName(durable(_confirmed(durable(pairs), sets, percent))).where("linked").select("a", "b")
+    arranged = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
+    asked = durable(arranged(rest).mapInArrow(_near(percent), "a long, b long, key long, low long, high long, block long"))
+    pairs = durable(asked.where("b is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    crowds = asked.where("b is null").select(F.col("a").alias("id"), *CELL, "block")
+    known = rows.select("id", "root").distinct().join(heads, "id").join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
+    dense = arranged(crowds.join(known, "id")).mapInArrow(_linked(percent), "a long, b long")
+    found = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
+    return durable(checked.where("linked").select("a", "b").unionByName(found).unionByName(dense))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -112,3 +112,20 @@ def test_pairs_within_the_guaranteed_distance_share_a_key():
 @pytest.mark.parametrize("text,count", [("a b c d e f", 2), ("a b", 1), ("", 0), ("x" * 100000, 1)])
 def test_shingle_counts(text, count):
     assert len(neardup.shingle_hashes([text.encode()])[0]) == count
+
+
+def test_dense_buckets_are_confirmed_in_their_tasks(spark, monkeypatch):
+    """A cloud of copies around one text: most pairs are no links, and the links that join must all be found."""
+    monkeypatch.setattr(neardup, "LEADER_ROUNDS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            copy[rng.randrange(150)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "", 0))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    right = {i: root for i, (_, root) in expected(rows).items()}
+    assert got == right and 1 < len(set(right.values())) < 150
