@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from alertloom.operators.ordering import top_per_group
+from alertloom.plans import registry
 from oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +22,8 @@ SAMPLE = [
     "alert_counts",
     "densest_window",
     "even_sample",
+    "replay_envelopes",
+    "text_vectors",
     "similarity_edges",
     "incidents",
     "fault_match",
@@ -39,7 +42,7 @@ def test_query_equals_duckdb(spark, duck, name):
 
 def test_every_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"text_vectors"}
+    assert set(registry.QUERIES) <= set(entry.oracle_sql())
 
 
 def plan(df) -> str:
@@ -62,3 +65,10 @@ def test_top_k_is_cut_before_the_shuffle(spark, k):
 def test_no_cross_products(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_segmented_members_scan_the_events_once(spark):
+    text = plan(registry.found_segmented(spark, SF).members)
+    assert text.count("FileScan") == 1  # stored members
+    narrow = plan(registry.correlation.scored_members(registry.fx.correlated_alerts(spark, SF), registry.fx.vectors(spark, SF), 7200, 0.3, max_span_sec=3600))
+    assert narrow.count("events.parquet") == 1
