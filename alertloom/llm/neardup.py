@@ -40,7 +40,7 @@ PERCENT = 75
 CHUNKS, CHUNK, ERRORS = 16, 5, 1
 PLACES = CHUNKS * CHUNK
 FAR = 43
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 BLOCK = 2048
 COMPARED = 1 << 15  # pairs that are compared at once
 CELL = ("key", "low", "high")  # a bucket and two of its blocks

@@ -6,7 +6,7 @@ document labels only, and the same sentence scores then say where the offence is
 
 Sentences end at `.`, `!`, `?` or a line feed; words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
 lower-cased. Fitting reads a sample of at most SAMPLE documents of each label, the first by a hash of the id; its
-hashed words are the only thing the driver sees.
+driver sees counts by hashed word, and of the documents only their telling words.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm import texts as T
+from alertloom.session import durable
 
 SAMPLE = 4000
 BUCKETS = 1 << 18
@@ -62,31 +63,22 @@ def noisy_or(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return -np.expm1(T.per_text(np.log1p(-np.minimum(p, 1 - 1e-12)), first))
 
 
-def _telling(buckets: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets that toxic documents hold more often than chance explains (G-test, corrected for the number tried)."""
-    pairs = np.unique(buckets.astype(np.int64) * len(y) + doc)
-    toxic = y[pairs % len(y)] == 1
-    held, hits = (np.bincount(x // len(y), minlength=BUCKETS) for x in (pairs, pairs[toxic]))
-    n, k = len(y), int((y == 1).sum())
-    g = np.zeros(BUCKETS)
+def telling(held: np.ndarray, hits: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Buckets that toxic documents hold more often than chance explains (G-test, corrected for the number tried).
+
+    held and hits count the documents, and the toxic ones, with each bucket; n and k count all of them.
+    """
+    g = np.zeros(len(held))
     for seen, total in ((hits, held * k / n), (held - hits, held * (n - k) / n), (k - hits, (n - held) * k / n), (n - k - held + hits, (n - held) * (n - k) / n)):
         with np.errstate(divide="ignore", invalid="ignore"):
             g += 2 * np.where(seen > 0, seen * np.log(seen / total), 0.0)
     return (hits * n > held * k) & (g > 2 * np.log(max(2, (held > 0).sum())) + 3)
 
 
-def fit_bags(buckets, first_word, first_sentence, y, weight) -> Model:
-    """Proximal Adam on the noisy-or likelihood; weight is each document's share in the loss."""
+def fit_bags(words, first_word, first_sentence, y, weight, n: int) -> tuple[np.ndarray, float]:
+    """Proximal Adam on the noisy-or likelihood over n words; weight is each document's share in the loss."""
     sentences = np.diff(first_word)
     owner = np.repeat(np.arange(len(y)), np.diff(first_sentence))
-    doc_of_word = np.repeat(owner, sentences)
-    known = _telling(buckets, doc_of_word, y)
-    code = np.cumsum(known) - 1
-    counted = known[buckets]
-    words = code[buckets[counted]]
-    first_word = np.concatenate([[0], np.cumsum(counted)])[first_word]
-    sentences = np.diff(first_word)
-    n = int(known.sum())
     l1 = L1 * weight[y == 1].mean()
     w, b = np.zeros(n), -4.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
@@ -104,19 +96,33 @@ def fit_bags(buckets, first_word, first_sentence, y, weight) -> Model:
         w = w - scale * m / a
         w = np.sign(w) * np.maximum(np.abs(w) - scale * l1, 0)
         b -= RATE * (mb / a) / (np.sqrt(vb / c) + 1e-8)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[known] = w
-    return Model(weights, float(b))
+    return w, float(b)
 
 
-def _sampled(chunk: list[bytes]) -> dict[str, pa.Array]:
+def _distinct(chunk: list[bytes]) -> dict[str, pa.Array]:
+    """The buckets of each text, once each."""
     buckets, first_word, first_sentence, _, _ = bags(chunk)
-    words = np.diff(first_word).astype(np.int32)
     per_doc = first_word[first_sentence]
-    return {
-        "words": pa.ListArray.from_arrays(pa.array(per_doc.astype(np.int32)), pa.array(buckets)),
-        "sizes": pa.ListArray.from_arrays(pa.array(first_sentence.astype(np.int32)), pa.array(words)),
-    }
+    own = [np.unique(buckets[a:b]) for a, b in zip(per_doc[:-1], per_doc[1:], strict=True)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32))
+    return {"bucket": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(own)))}
+
+
+def _counted(code: np.ndarray):
+    """Of each text, how many telling words its sentences have, and those words by their code (-1: not telling)."""
+
+    def run(chunk: list[bytes]) -> dict[str, pa.Array]:
+        buckets, first_word, first_sentence, _, _ = bags(chunk)
+        known = code[buckets] >= 0
+        words = code[buckets[known]]
+        first_word = np.concatenate([[0], np.cumsum(known)])[first_word]
+        per_doc = first_word[first_sentence]
+        return {
+            "words": pa.ListArray.from_arrays(pa.array(per_doc.astype(np.int32)), pa.array(words)),
+            "sizes": pa.ListArray.from_arrays(pa.array(first_sentence.astype(np.int32)), pa.array(np.diff(first_word).astype(np.int32))),
+        }
+
+    return run
 
 
 def sample(docs: DataFrame, labelled: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
@@ -129,21 +135,28 @@ def sample(docs: DataFrame, labelled: DataFrame, most: int) -> tuple[DataFrame,
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model from the documents whose id is in labels (doc_id, y); every text is clean to it if there are none."""
     rows, counts = sample(docs.select(docs["doc_id"], docs["text"]), labels, most)
-    got = T.over_texts(rows, "text", _sampled, "words array<int>, sizes array<int>", ["doc_id", "y"]).toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    got = got.take(pa.array(order)).combine_chunks()
-    y = got["y"].to_numpy().astype(np.int64)
-    if not (y == 1).any():
+    rows = durable(rows)  # read twice: what tells is counted first, and only that is gathered
+    spread = T.over_texts(rows, "text", _distinct, "bucket array<int>", ["y"]).select("y", F.explode("bucket").alias("bucket"))
+    seen = spread.groupBy("bucket").agg(F.count("*").alias("held"), F.sum("y").alias("hits")).toArrow()
+    held, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    held[seen["bucket"].to_numpy()], hits[seen["bucket"].to_numpy()] = seen["held"].to_numpy(), seen["hits"].to_numpy()
+    of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not of.get(1):
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
+    known = telling(held, hits, sum(of.values()), of[1])
+    code = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
+    got = T.over_texts(rows, "text", _counted(code), "words array<int>, sizes array<int>", ["doc_id", "y"]).toArrow()
+    got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
+    y = got["y"].to_numpy().astype(np.int64)
     flat = lambda name: np.asarray(pa.chunked_array(got[name]).combine_chunks().flatten())
-    lengths = lambda name: np.asarray(pc.list_value_length(got[name])).astype(np.int64)
-    words, sizes = flat("words"), flat("sizes")
-    first_word = np.concatenate([[0], np.cumsum(sizes)])
-    first_sentence = np.concatenate([[0], np.cumsum(lengths("sizes"))])
-    held = np.bincount(y, minlength=2)
-    share = np.array([counts.get(c, 0) / max(held[c], 1) for c in (0, 1)])
+    first_word = np.concatenate([[0], np.cumsum(flat("sizes"))])
+    first_sentence = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(got["sizes"])).astype(np.int64))])
+    share = np.array([counts.get(c, 0) / max(of.get(c, 0), 1) for c in (0, 1)])
     weight = share[y] / share[y].sum()
-    return fit_bags(words, first_word, first_sentence, y, weight)
+    found, bias = fit_bags(flat("words"), first_word, first_sentence, y, weight, int(known.sum()))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[known] = found
+    return Model(weights, bias)
 
 
 def scored(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
