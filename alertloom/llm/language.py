@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from alertloom.llm import texts as T
+from alertloom.session import durable
 
 SAMPLE = 1500
 ORDER = 3
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # Ranked by id alone, so that no text is moved but the sample's.
     ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most)
-    picked = rows.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    picked = rows.join(T.small(durable(ids.select("doc_id", "lang").distinct())), ["doc_id", "lang"], "left_semi")
     counted = T.over_texts(picked, "text", _counted, "gram array<long>, times array<long>", ["lang"])
     pairs = counted.select("lang", F.explode(F.arrays_zip("gram", "times")).alias("g")).groupBy("lang", "g.gram")
     got = pairs.agg(F.sum("g.times").alias("times")).toArrow().combine_chunks()
