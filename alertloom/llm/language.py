@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from alertloom.llm import texts as T
 from alertloom.session import durable
 
-SAMPLE = 1500
+SAMPLE = 1000
 ORDER = 3
 UNKNOWN = "und"
 
