@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x09-\x0D\x20]"
 SENTENCE_END = rf"[.!?]+{BLANKS}+|\n[\x09\x0B-\x0D\x20]*\n{BLANKS}*"
-LINE_END = r"[\x0A\x0D]+"
+#: A line also begins after `copyright`, a year, a holder and the word all, so that `rights reserved` is left of it.
+LINE_END = r"[\x0A\x0D]+|(?i:copyright|\(c\)|©)[^\x0A\x0D]{0,200}?[0-9]{4}[^\x0A\x0D]{0,200}?[^a-zA-Z0-9\x0A\x0D](?i:all)[\x09\x20]+"
 OTHER = "-"
 
 #: A known sentence holds one of these (in its normalised form and in the text, A-Z in any case).
-HINTS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain")
+HINTS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "rights reserved")
 
 #: Known licence sentences by identifier, normalised (fixed values).
 SENTENCES = {
@@ -68,6 +69,8 @@ SENTENCES = {
     "spdx_gpl2": "spdx license identifier gpl 2 0 only",
     "spdx_bsd3": "spdx license identifier bsd 3 clause",
     "all_rights": "this text may not be copied without written permission of the copyright holder",
+    "all_rights_reserved": "all rights reserved",
+    "rights_reserved": "rights reserved",
 }
 
 #: Rules in the order in which they are matched (fixed values).
@@ -113,6 +116,8 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("Unlicense", ["unlicense"]),
     ("All-rights-reserved", ["all_rights"]),
+    ("All-rights-reserved", ["all_rights_reserved"]),
+    ("All-rights-reserved", ["rights_reserved"]),
 ]
 
 _NUMBER = {name: i + 1 for i, name in enumerate(SENTENCES)}

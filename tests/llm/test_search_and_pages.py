@@ -111,3 +111,56 @@ def test_licences(spark):
     assert {d: (names, n) for d, names, n in con.sql(licences.oracle_sql()).select("doc_id, licences, n_matches").fetchall()} == got
     assert licences.recognised(table.where("false")).collect() == []
     assert all(any(h in s for h in licences.HINTS) for s in licences.SENTENCES.values())
+
+
+def scanned(spark, texts):
+    """(licences, n_matches) of each text, after a comparison with DuckDB."""
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (",".join(r.licences), r.n_matches) for r in licences.recognised(table).collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    assert {d: (names, n) for d, names, n in con.sql(licences.oracle_sql()).select("doc_id, licences, n_matches").fetchall()} == got
+    return [got[i] for i in range(len(texts))]
+
+
+def test_all_rights_reserved(spark):
+    found = [
+        "All rights reserved.", "word word.\nALL RIGHTS RESERVED\nword", "Copyright (c) 2019 Jane Doe. All rights reserved.",
+        "Copyright 2001-2020, Example Inc., all rights reserved", "foo\n© 2011 Example GmbH | All Rights Reserved.\nbar",
+        "# Copyright (C) 1999 by A. Person\n# All rights reserved.\nimport x", "This text may not be copied without written permission of the copyright holder.",
+    ]
+    none = ["Some rights reserved.", "All rights are reserved for later.", "Copyright 2020 by all authors.", "All seats reserved."]
+    assert scanned(spark, found + none) == [("All-rights-reserved", 1)] * len(found) + [("", 0)] * len(none)
+
+
+#: One text a rule of a single sentence, as such lines are written in files.
+LINES = """MIT|Released under the MIT License.
+MIT|Licensed under the MIT license
+MIT|This project is licensed under the MIT License.
+MIT|// SPDX-License-Identifier: MIT
+Apache-2.0|Licensed under the Apache License, Version 2.0.
+Apache-2.0|Licensed under the Apache License, Version 2.0 (the "License");
+Apache-2.0|# SPDX-License-Identifier: Apache-2.0
+GPL-3.0-or-later|SPDX-License-Identifier: GPL-3.0-or-later
+GPL-3.0-only|This work is licensed under the GNU General Public License, version 3.
+GPL-2.0-only|This work is licensed under the GNU General Public License, version 2.
+GPL-2.0-only|/* SPDX-License-Identifier: GPL-2.0-only */
+LGPL-3.0-only|This work is licensed under the GNU Lesser General Public License, version 3.
+AGPL-3.0-only|This work is licensed under the GNU Affero General Public License, version 3.
+BSD-3-Clause|SPDX-License-Identifier: BSD-3-Clause
+BSD|Released under the BSD License.
+MPL-2.0|This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+CC-BY-4.0|Licensed under CC BY 4.0.
+CC-BY-4.0|This work is licensed under a Creative Commons Attribution 4.0 International License.
+CC-BY-SA-4.0|Licensed under CC BY-SA 4.0.
+CC-BY-NC-4.0|Licensed under CC BY-NC 4.0.
+CC-BY-ND-4.0|Licensed under CC BY-ND 4.0.
+CC-BY-NC-SA-4.0|Licensed under CC BY-NC-SA 4.0.
+CC-BY-NC-ND-4.0|Licensed under CC BY-NC-ND 4.0.
+CC0-1.0|This work is dedicated to the public domain.
+Unlicense|This is free and unencumbered software released into the public domain."""
+
+
+def test_licence_lines(spark):
+    names, texts = zip(*[line.split("|") for line in LINES.splitlines()], strict=True)
+    assert scanned(spark, [f"A first line\n{t}\n\nMore words." for t in texts]) == [(n, 1) for n in names]
