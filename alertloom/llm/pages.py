@@ -56,7 +56,18 @@ BAD_NAMES = frozenset(
     "pagination pager hidden adsbygoogle adbox adslot adverts disclaimer".split()
 )
 GOOD_NAMES = frozenset("article content main post entry story text body".split())
-ABOUT_OTHERS = frozenset("no has with without".split())
+#: Words after these tell of other elements, as in `page-with-sidebar`.
+ABOUT_OTHERS = frozenset("no not has with without hide show".split())
+#: Names that end so tell of a state of the page, as in `sidebar-open`.
+STATES = frozenset("open opened closed collapsed expanded enabled toggled".split())
+#: `hidden` is a name's own meaning alone or after the first words, and before no word for some screens only.
+HIDDEN = frozenset("is js u visually".split())
+SCREENS = frozenset("xs sm md lg xl xxl phone mobile tablet desktop print".split())
+#: Names for a sidebar that hold one of these are of what surrounds it and the content, as in `content-sidebar-wrap`.
+LAYOUTS = frozenset("layout layouts".split())
+WRAPS = frozenset("wrap wrapper wrappers container grid row columns group holder".split())
+#: Names of places whose article elements are comments and teasers.
+OF_OTHERS = frozenset("comment comments commentlist reply replies respond disqus related recommended".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
 
@@ -68,6 +79,9 @@ class Node:
     evidence: float
     known: int  # 1 in an element for content, -1 in one for boilerplate, else 0
     seen: bool
+    plain: float = 0.0  # evidence without the marks that only a class or id gave
+    firm: bool = False  # in an element for boilerplate by its tag, role or being hidden
+    named: frozenset[str] = frozenset()  # bad words of the class names and ids around
 
 
 @dataclass
@@ -78,42 +92,79 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
+def _is_mark(word: str, own: list[str]) -> bool:
+    """Whether a bad word of a name is what the element itself is."""
+    if word == "hidden":
+        at = own.index(word)
+        return HIDDEN.issuperset(own[:at]) and SCREENS.isdisjoint(own[at + 1 :])
+    if own[-1] in STATES:
+        return False
+    if word in ("sidebar", "side"):
+        after = own[own.index(word) + 1 :]
+        both = "content" in own or "article" in own or "page" in after
+        return LAYOUTS.isdisjoint(own) and not (both and own[-1] in WRAPS)
+    return True
+
+
 def _names(given: str) -> set[str]:
-    """Lower-case words of class names and ids; names such as `no-sidebar` and `has-menu` tell of others, not of themselves."""
+    """Lower-case words of class names and ids, bad ones only where they are the element's own role.
+
+    Names such as `no-sidebar`, `page-with-menu`, `content-sidebar-wrap` and `overflow-hidden` tell of others.
+    """
     found: set[str] = set()
     for name in given.split():
         own = [n.lower() for n in _NAME.findall(name)]
-        if own and own[0] not in ABOUT_OTHERS:
-            found.update(own)
+        own = own[: next((i for i, n in enumerate(own) if n in ABOUT_OTHERS), len(own))]
+        found.update(n for n in own if n not in BAD_NAMES or _is_mark(n, own))
     return found
 
 
-def _inside(tag: str, attributes: str, parent: Node | None) -> Node:
+def _inside(tag: str, attributes: str, parent: Node | None, inner: bool) -> Node:
     evidence, known = (parent.evidence, parent.known) if parent else (0.0, 0)
+    plain, firm, named = (parent.plain, parent.firm, parent.named) if parent else (0.0, False, frozenset())
     seen = (parent.seen if parent else True) and tag not in UNSEEN
+    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes and not attributes.isspace() else {}
+    role = given.get("role", "").lower()
+    main = tag == "main" or role == "main"
     if tag in BOILERPLATE or (tag == "header" and known <= 0):
-        evidence, known = evidence - 12, -1
-    elif tag in CONTENT and known >= 0:
-        evidence, known = max(evidence, evidence + 6 if known == 0 else evidence), 1
+        evidence, known, plain, firm = evidence - 12, -1, plain - 12, True
+    elif tag in CONTENT or main:
+        if known < 0 and not firm and (main or inner and named.isdisjoint(OF_OTHERS)):
+            evidence, known, named = plain, 0, frozenset()  # class names and ids around are of layout
+        if known >= 0:
+            evidence, known = max(evidence, evidence + 6 if known == 0 else evidence), 1
+            plain = evidence
     elif re.fullmatch("h[1-6]", tag):
-        evidence += 1
-    if attributes and not attributes.isspace():
-        given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+        evidence, plain = evidence + 1, plain + 1
+    if given:
         names = _names(given.get("class", "") + " " + given.get("id", ""))
         if known > 0 and tag != "header":
             names.discard("header")  # the headline's surroundings
-        role = given.get("role", "").lower()
-        if names & BAD_NAMES and tag not in ("body", "html") or role in BAD_ROLES:
-            evidence, known = evidence - 10, -1
+        bad = names & BAD_NAMES if tag not in ("body", "html") and not main else frozenset()
+        if role in BAD_ROLES:
+            evidence, known, plain, firm = evidence - 10, -1, plain - 10, True
+        elif bad:
+            evidence, known, named = evidence - 10, -1, named | bad
         elif names & GOOD_NAMES or role in ("main", "article"):
-            evidence += 2
+            evidence, plain = evidence + 2, plain + 2
         if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            evidence, known = evidence - 10, -1
-    return Node(tag, parent, parent.depth + 1 if parent else 0, evidence, known, seen)
+            evidence, known, plain, firm = evidence - 10, -1, plain - 10, True
+    return Node(tag, parent, parent.depth + 1 if parent else 0, evidence, known, seen, plain, firm, named)
 
 
 def blocks(page: str) -> list[Block]:
-    """Visible blocks with text, in order; references decoded, white space made single spaces."""
+    """Visible blocks with text, in order; references decoded, white space made single spaces.
+
+    A main element is content whatever the class names and ids around it. So is an article, on pages without any other
+    element for content, unless the names around it are those of comments or teasers.
+    """
+    found = _blocks(page, False)
+    if any(b.node.known > 0 for b in found) or not any(b.node.named for b in found):
+        return found
+    return _blocks(page, True)
+
+
+def _blocks(page: str, inner: bool) -> list[Block]:
     root = node = Node("", None, 0, 0.0, 0, True)
     found: list[Block] = []
     parts: list[str] = []
@@ -180,7 +231,7 @@ def blocks(page: str) -> list[Block]:
             node = last.parent if last else node
             if last:
                 links = 0
-        node = _inside(tag, attributes, node)
+        node = _inside(tag, attributes, node, inner)
         links += tag == "a"
         if tag in VERBATIM and not attributes.rstrip().endswith("/"):
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)

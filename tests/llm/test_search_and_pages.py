@@ -94,6 +94,33 @@ def test_unmarked_page():
     assert prose.strip() in found[1] and not any("cookies" in t or "post" in t or "Side" in t for t in found)
 
 
+STORY = ["A headline of the story", "The first paragraph of the story, which says, in some words, what it is about.", "It goes on here, and ends."]
+INNER = f"<h1>{STORY[0]}</h1><p>{STORY[1]}</p><p>{STORY[2]}</p>"
+AROUND = '<div class="sidebar"><p>Side text, long enough to look like prose.</p></div><div id="comments"><article class="comment-body"><p>Nice post, thank you.</p></article></div><footer>End</footer>'
+WRAPPERS = """class="content-sidebar-wrap"|class="page-with-sidebar"|class="overflow-hidden"|id="page-no-menu"|class="row md:hidden-none overflow-x-hidden"|class="sidebar"
+class="site sidebar-open"|class="layout-sidebar"|class="sidebar-page-container"|id="banner"|class="modal-overlay"|class="hidden-xs"|class='widget nav-wrap'"""
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS.replace("\n", "|").split("|"))
+def test_article_in_layout_wrappers(wrapper):
+    for opened, closed in [("<main><article>", "</article></main>"), ("<article>", "</article>"), ("<div role=main>", "</div>")]:
+        page = f"<body><nav><a href=a>A</a></nav><div {wrapper}>{opened}{INNER}{closed}</div>{AROUND}</body>"
+        assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, (wrapper, opened)
+
+
+def test_marked_elements_stay_out_of_the_text():
+    side = "<p>This is a longer text of the side, with commas, and it ends like prose does.</p>"
+    names = "sidebar sidebar-wrapper nav-wrap main-menu-container content-sidebar is-hidden comments-wrapper post-comments-wrap related-posts footer-content-wrap".split()
+    for name in names:
+        for inner in (side, f"<article>{side}</article>"):
+            page = f"<body><main>{INNER}</main><div class='{name}'>{inner}</div></body>"
+            assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, (name, inner)
+    hidden = f"<body><div class=a hidden><main>{INNER}</main></div><aside><article>{side}</article></aside></body>"
+    assert pages.extract(hidden, pages.PLAIN_SHAPE) == []
+    comments = f"<body><div>{INNER}</div><div id=comments><article>{side}</article></div></body>"
+    assert not any("side" in t for t in pages.extract(comments, pages.PLAIN_SHAPE))
+
+
 def test_licences(spark):
     rows = [
         (1, "x foo\nReleased under the MIT License.\nbar", "MIT", 1),
