@@ -6,7 +6,8 @@ for everything else. Ordered rules, each a licence and a sequence of identifiers
 all places where its identifiers follow each other, and what is taken is not there for the rules after it. Longer
 rules come before the shorter ones they hold, so that a full licence text is one match.
 
-Sentences end at `.`, `!` or `?` before white space, or at a blank line. A sentence that is unknown as a whole is
+Sentences end at `.`, `!` or `?` before white space, or at a line without words. The number of a list item, after such
+an end or after `:` or `;`, is no part of a sentence, nor is `neither the name of ... nor`, which holds a name. A sentence that is unknown as a whole is
 looked up line by line, so wrapped licence texts and licence lines after unfinished lines are both found. All of it is
 column expressions; a word filter that every known sentence passes spares the others their normalisation.
 """
@@ -17,7 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x09-\x0D\x20]"
-SENTENCE_END = rf"[.!?]+{BLANKS}+|\n[\x09\x0B-\x0D\x20]*\n{BLANKS}*"
+#: White space and the signs that begin comment lines and list items.
+SIGNS = r"[\x09-\x0D\x20*#/;%-]"
+NUMBER = rf"\(?(?:[0-9]{{1,2}}|[a-zA-Z]|[ivx]{{2,4}})[.)]+{BLANKS}+"
+NEITHER = rf"(?i:neither{SIGNS}+the{SIGNS}+names?{SIGNS}+of){SIGNS}[^!?]{{1,200}}?{SIGNS}(?i:nor){SIGNS}+"
+SENTENCE_END = (
+    rf"(?:[.!?]+{BLANKS}{SIGNS}*|\n[\x09\x0B-\x0D\x20*#/;%-]*\n{SIGNS}*)(?:{NUMBER})?(?:{NEITHER})?"
+    rf"|[:;]{BLANKS}{SIGNS}*{NUMBER}(?:{NEITHER})?"
+)
 #: A line also begins after `copyright`, a year, a holder and the word all, so that `rights reserved` is left of it.
 LINE_END = r"[\x0A\x0D]+|(?i:copyright|\(c\)|©)[^\x0A\x0D]{0,200}?[0-9]{4}[^\x0A\x0D]{0,200}?[^a-zA-Z0-9\x0A\x0D](?i:all)[\x09\x20]+"
 OTHER = "-"
@@ -39,6 +47,16 @@ SENTENCES = {
     "apache_short": "licensed under the apache license version 2 0 the license",
     "apache_comply": "you may not use this file except in compliance with the license",
     "apache_obtain": "you may obtain a copy of the license at http www apache org licenses license 2 0",
+    "apache_joined": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache_asf": "the asf licenses this file to you under the apache license version 2 0 the license you may not use this file except in compliance with the license",
+    "apache_obtain_https": "you may obtain a copy of the license at https www apache org licenses license 2 0",
+    "apache_obtain_at": "you may obtain a copy of the license at",
+    "apache_url": "http www apache org licenses license 2 0",
+    "apache_url_https": "https www apache org licenses license 2 0",
+    "apache_obtain_unless": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_obtain_https_unless": "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_url_unless": "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_url_https_unless": "https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache_as_is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache_see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3_name": "this work is licensed under the gnu general public license version 3",
@@ -47,11 +65,25 @@ SENTENCES = {
     "gpl2_terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl_see": "see the gnu general public license for more details",
+    "lgpl3_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3_library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl21_library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl2_library": "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl3_terms": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "library_hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl_see": "see the gnu lesser general public license for more details",
+    "library_see": "see the gnu library general public license for more details",
+    "agpl_see": "see the gnu affero general public license for more details",
     "lgpl_name": "this work is licensed under the gnu lesser general public license version 3",
     "agpl_name": "this work is licensed under the gnu affero general public license version 3",
     "bsd_redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_joined": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd_names": "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_other_names": "the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd_author": "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd_name": "released under the bsd license",
     "mpl_name": "this source code form is subject to the terms of the mozilla public license v",
     "cc_by": "licensed under cc by 4 0",
@@ -73,14 +105,31 @@ SENTENCES = {
     "rights_reserved": "rights reserved",
 }
 
+#: Ways in which the parts of notices are wrapped (fixed values).
+APACHE_HEADS = [["apache_joined"], ["apache_short", "apache_comply"], ["apache_asf"]]
+APACHE_TERMS = [
+    ["apache_obtain", "apache_as_is"], ["apache_obtain_at", "apache_url", "apache_as_is"], ["apache_obtain_unless"], ["apache_obtain_at", "apache_url_unless"],
+    ["apache_obtain_https", "apache_as_is"], ["apache_obtain_at", "apache_url_https", "apache_as_is"], ["apache_obtain_https_unless"], ["apache_obtain_at", "apache_url_https_unless"],
+]
+BSD_HEADS = [
+    [*rights, *head, "bsd_binary"] for rights in (["all_rights_reserved"], ["rights_reserved"], []) for head in (["bsd_redistribution", "bsd_source"], ["bsd_joined"])
+]
+
 #: Rules in the order in which they are matched (fixed values).
 RULES = [
     ("MIT", ["mit_grant", "as_is"]),
     ("MIT", ["mit_permission", "mit_notice", "as_is"]),
-    ("Apache-2.0", ["apache_short", "apache_comply", "apache_obtain", "apache_as_is", "apache_see"]),
+    *[("Apache-2.0", [*head, *terms, "apache_see"]) for head in APACHE_HEADS for terms in APACHE_TERMS],
     ("GPL-3.0-or-later", ["gpl3_terms", "gpl_hope", "gpl_see"]),
     ("GPL-2.0-or-later", ["gpl2_terms", "gpl_hope", "gpl_see"]),
-    ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
+    ("LGPL-3.0-or-later", ["lgpl3_program", "gpl_hope", "lgpl_see"]),
+    ("LGPL-3.0-or-later", ["lgpl3_library", "library_hope", "lgpl_see"]),
+    ("LGPL-2.1-or-later", ["lgpl21_program", "gpl_hope", "lgpl_see"]),
+    ("LGPL-2.1-or-later", ["lgpl21_library", "library_hope", "lgpl_see"]),
+    ("LGPL-2.0-or-later", ["lgpl2_library", "library_hope", "library_see"]),
+    ("AGPL-3.0-or-later", ["agpl3_terms", "gpl_hope", "agpl_see"]),
+    *[("BSD-3-Clause", [*head, last]) for head in BSD_HEADS for last in ("bsd_names", "bsd_other_names", "bsd_author")],
+    *[("BSD-2-Clause", head) for head in BSD_HEADS],
     ("ISC", ["isc_permission", "as_is"]),
     ("MIT", ["mit_permission", "mit_notice"]),
     ("MIT", ["mit_grant"]),
@@ -89,8 +138,12 @@ RULES = [
     ("MIT", ["mit_under"]),
     ("MIT", ["mit_project"]),
     ("MIT", ["spdx_mit"]),
-    ("Apache-2.0", ["apache_short", "apache_comply"]),
+    *[("Apache-2.0", head) for head in APACHE_HEADS],
     ("Apache-2.0", ["apache_short"]),
+    ("Apache-2.0", ["apache_as_is", "apache_see"]),
+    *[("Apache-2.0", [*terms, *see]) for terms in APACHE_TERMS if terms[-1] != "apache_as_is" for see in (["apache_see"], [])],
+    ("Apache-2.0", ["apache_as_is"]),
+    ("Apache-2.0", ["apache_see"]),
     ("Apache-2.0", ["apache_name"]),
     ("Apache-2.0", ["spdx_apache"]),
     ("GPL-3.0-or-later", ["gpl3_terms"]),
@@ -99,10 +152,15 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl2_terms"]),
     ("GPL-2.0-only", ["gpl2_name"]),
     ("GPL-2.0-only", ["spdx_gpl2"]),
+    *[("LGPL-3.0-or-later", [terms]) for terms in ("lgpl3_program", "lgpl3_library")],
+    *[("LGPL-2.1-or-later", [terms]) for terms in ("lgpl21_program", "lgpl21_library")],
+    ("LGPL-2.0-or-later", ["lgpl2_library"]),
+    ("AGPL-3.0-or-later", ["agpl3_terms"]),
     ("LGPL-3.0-only", ["lgpl_name"]),
     ("AGPL-3.0-only", ["agpl_name"]),
     ("BSD-3-Clause", ["spdx_bsd3"]),
     ("BSD", ["bsd_redistribution"]),
+    ("BSD", ["bsd_joined"]),
     ("BSD", ["bsd_name"]),
     ("ISC", ["isc_permission"]),
     ("MPL-2.0", ["mpl_name"]),

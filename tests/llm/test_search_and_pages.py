@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -191,3 +192,68 @@ Unlicense|This is free and unencumbered software released into the public domain
 def test_licence_lines(spark):
     names, texts = zip(*[line.split("|") for line in LINES.splitlines()], strict=True)
     assert scanned(spark, [f"A first line\n{t}\n\nMore words." for t in texts]) == [(n, 1) for n in names]
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+THIRD = """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+LAST = """
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+GNU = """This SUBJECT is free software: you can redistribute it and/or modify it under the terms of the GNU KIND General Public License as published by the Free Software Foundation, either version NUMBER of the License, or (at your option) any later version.
+
+This SUBJECT is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU KIND General Public License for more details.
+
+You should have received a copy of the GNU KIND General Public License along with this SUBJECT."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+OWNER = "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n"
+
+
+def gnu(subject, kind, number):
+    return GNU.replace("SUBJECT", subject).replace("KIND ", f"{kind} ".lstrip()).replace("NUMBER", number)
+
+
+def layouts(text):
+    """A text in several widths, as comments, and in one line."""
+    parts = text.split("\n\n")
+    for width in (40, 66, 72, 79, 1000):
+        yield "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in parts)
+    filled = "\n\n".join(textwrap.fill(p, 70) for p in parts)
+    for sign in ("//", " *", "#"):
+        yield "x = 1;\n\n" + "".join(f"{sign} {line}".rstrip() + "\n" for line in filled.split("\n"))
+    yield " ".join(text.split())
+
+
+def test_whole_licence_texts_in_several_wrappings(spark):
+    texts = {
+        APACHE: "Apache-2.0", APACHE.replace("http:", "https:"): "Apache-2.0", MIT: "MIT",
+        BSD2 + LAST: "BSD-2-Clause", BSD2 + THIRD + LAST: "BSD-3-Clause", OWNER + BSD2 + THIRD + LAST: "BSD-3-Clause", OWNER + BSD2 + LAST: "BSD-2-Clause",
+        BSD2 + THIRD.replace("the copyright holder", "Example Inc.") + LAST: "BSD-3-Clause",
+        gnu("program", "", "3"): "GPL-3.0-or-later", gnu("program", "", "2"): "GPL-2.0-or-later", gnu("program", "Affero", "3"): "AGPL-3.0-or-later",
+        gnu("library", "Lesser", "2.1"): "LGPL-2.1-or-later", gnu("program", "Lesser", "3"): "LGPL-3.0-or-later", gnu("library", "Lesser", "3"): "LGPL-3.0-or-later",
+        gnu("library", "Library", "2"): "LGPL-2.0-or-later",
+    }
+    rows = [(name, way) for text, name in texts.items() for way in layouts(text)]
+    for marks in ("(1) |(2) |(3) ", "a) |b) |c) ", "* |* |* ", "- |- |- "):
+        listed = BSD2 + THIRD
+        for old, new in zip(("1. ", "2. ", "3. "), marks.split("|"), strict=True):
+            listed = listed.replace(old, new)
+        rows += [("BSD-3-Clause", listed), ("BSD-3-Clause", listed.replace("\n\n", "\n"))]
+    rows += [("Apache-2.0", APACHE[APACHE.index("Unless") :]), ("BSD", BSD2.split("\n\n")[0])]
+    got = scanned(spark, [text for _, text in rows])
+    assert [(name, text) for (name, text), found in zip(rows, got, strict=True) if found != (name, 1)] == []
