@@ -7,14 +7,16 @@ all others go through the whole tokenizer.
 
 Packing: pieces are dealt into groups of about GROUP by a hash, whatever their document, so groups are even and each
 fits one task; a group leaves at most a few sequences underfull. In a group, best-fit decreasing makes the first
-packing. Then a local search works on the underfull bins: it takes the emptiest and hands its documents on, by moving
-one, by exchanging one for one smaller, two for one, or one for two smaller, always into a fuller bin with room, so
-that the sum of squared fills grows with every step and bins run empty. A step that helps is found by array operations
-over all documents of underfull bins. The search ends at the fewest bins that the tokens need, or when no step is left.
+packing. Then a local search works on the underfull bins: it takes the emptiest and hands its documents on, one or two
+for none, one or two of a bin that is at least as full and has room for the difference, so that the sum of squared
+fills grows with every step and bins run empty. The step of the largest gain is looked up by the total given back, over
+all such choices of all underfull bins. The search ends at the fewest bins that the tokens need, or when a whole pass
+over the underfull bins finds no step.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 import unicodedata
@@ -151,67 +153,124 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return bins
 
 
-def _step(own: np.ndarray, others: np.ndarray, room: np.ndarray, same: np.ndarray) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """The largest gain for fuller bins: (tokens handed on, indexes into own, indexes into others).
-
-    own: sizes in the bin to be emptied; others: sizes in the other underfull bins, with their bin's room and number.
-    """
-    best: tuple[int, np.ndarray, np.ndarray] | None = None
-
-    def offer(gain: np.ndarray, give, take) -> None:
-        nonlocal best
-        if len(gain):
-            i = int(gain.argmax())
-            if gain[i] > (best[0] if best else 0):
-                best = (int(gain[i]), np.atleast_1d(give(i)), np.atleast_1d(take(i)))
-
-    ones = [(int(s), np.array([i])) for i, s in enumerate(own)]
-    twos = [(int(own[a] + own[b]), np.array([a, b])) for a, b in itertools.islice(itertools.combinations(range(len(own)), 2), 64)]
-    for size, given in ones + twos:
-        gain = size - others  # one or two for one
-        offer(np.where((gain > 0) & (gain <= room), gain, 0), lambda i, g=given: g, lambda i: i)
-    # One for two neighbours of a bin.
-    pair = np.flatnonzero(same[1:] == same[:-1])
-    for size, given in ones:
-        gain = size - (others[pair] + others[pair + 1])
-        offer(np.where((gain > 0) & (gain <= room[pair]), gain, 0), lambda i, g=given: g, lambda i: np.array([pair[i], pair[i] + 1]))
-    # A move into a bin with room.
-    for size, given in ones:
-        offer(np.where(room >= size, size, 0), lambda i, g=given: g, lambda i: -1 - i)
-    return best
-
-
-def local_search(sizes: np.ndarray, bins: np.ndarray, length: int, steps: int = 4000) -> np.ndarray:
-    """Empty bins by handing documents of the emptiest underfull bin on to fuller ones."""
-    bins = bins.copy()
-    n = int(bins.max()) + 1 if len(bins) else 0
-    fill = np.bincount(bins, sizes, n).astype(np.int64)
-    fewest = -(-int(sizes.sum()) // length)
-    stuck = np.zeros(n, bool)
-    while steps and (fill > 0).sum() > fewest:
-        free = (fill > 0) & (fill < length)
-        able = np.flatnonzero(free & ~stuck)
-        if len(able) < 1 or free.sum() < 2:
-            break
-        victim = int(able[fill[able].argmin()])
-        mine = np.flatnonzero(bins == victim)
-        rest = np.flatnonzero(free[bins] & (bins != victim) & (fill[bins] >= fill[victim]))
-        rest = rest[np.argsort(bins[rest], kind="stable")]
-        step = _step(sizes[mine], sizes[rest], length - fill[bins[rest]], bins[rest]) if len(rest) else None
-        steps -= 1
-        if step is None:
-            stuck[victim] = True
-            continue
-        gain, give, take = step
-        moved = take[0] < 0
-        into = int(bins[rest[-1 - take[0]]] if moved else bins[rest[take[0]]])
-        bins[mine[give]] = into
-        if not moved:
-            bins[rest[take]] = victim
-        fill[into] += gain
-        fill[victim] -= gain
-        stuck[into] = stuck[into] and not moved
-    return bins
+def _sums(own: list[int], most: int) -> list[int]:
+    """The distinct totals of none, one and two of these sizes, up to `most`."""
+    own = sorted(own)
+    kinds = sorted(set(own))
+    twice = {2 * a for a, b in itertools.pairwise(own) if a == b}
+    found = {0, *kinds, *twice, *(a + b for a, b in itertools.combinations(kinds, 2))}
+    return [x for x in found if x <= most]
+
+
+def _chosen(own: list[int], sizes: list[int], total: int) -> list[int]:
+    """At most two of the pieces `own` with this total."""
+    if not total:
+        return []
+    seen: dict[int, int] = {}
+    pair = None
+    for i in own:
+        if sizes[i] == total:
+            return [i]
+        if pair is None and total - sizes[i] in seen:
+            pair = [seen[total - sizes[i]], i]
+        seen[sizes[i]] = i
+    return pair
+
+
+class _Partners:
+    """Underfull bins by what they can give back: for each total of none, one or two of their pieces, the most room."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.reach = np.full(length + 1, -1, np.int64)  # by total given back: the most that can be taken for it
+        self.bin = [-1] * (length + 1)
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(length + 1)]
+        self.totals: dict[int, list[int]] = {}
+        self.version: dict[int, int] = {}
+
+    def add(self, b: int, room: int, own: list[int]) -> None:
+        version = self.version[b] = self.version.get(b, 0) + 1
+        self.totals[b] = _sums(own, self.length)
+        for total in self.totals[b]:
+            heapq.heappush(self.heaps[total], (-room, b, version))
+            if total + room > self.reach[total]:
+                self.reach[total], self.bin[total] = total + room, b
+
+    def drop(self, b: int) -> None:
+        self.version[b] += 1
+        for total in self.totals.pop(b):
+            if self.bin[total] == b:
+                heap = self.heaps[total]
+                while heap and heap[0][2] != self.version[heap[0][1]]:
+                    heapq.heappop(heap)
+                self.reach[total], self.bin[total] = (total - heap[0][0], heap[0][1]) if heap else (-1, -1)
+
+    def best(self, given: np.ndarray) -> tuple[int, int, int] | None:
+        """(total given, total given back, bin) of the largest gain for a bin."""
+        # The least that any bin gives back for a total is where the running maximum gets to it.
+        back = np.searchsorted(np.maximum.accumulate(self.reach), given)
+        gain = np.where(back <= self.length, given - back, 0)
+        i = int(gain.argmax())
+        return (int(given[i]), int(back[i]), self.bin[int(back[i])]) if gain[i] > 0 else None
+
+
+def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray:
+    """Empty bins by handing documents of the emptiest underfull bins on to fuller ones, until no step is left."""
+    size, bins = sizes.tolist(), bins.tolist()
+    n = max(bins, default=-1) + 1
+    own: list[list[int]] = [[] for _ in range(n)]
+    fill = [0] * n
+    for i, b in enumerate(bins):
+        own[b].append(i)
+        fill[b] += size[i]
+    used = sum(f > 0 for f in fill)
+    fewest = -(-sum(size) // length)
+    helped = True
+    while helped and used > fewest:
+        helped = False
+        partners = _Partners(length)
+        turns = [(f, b) for b, f in enumerate(fill) if 0 < f < length]
+        heapq.heapify(turns)
+        for f, b in turns:
+            partners.add(b, length - f, [size[i] for i in own[b]])
+        stuck: list[int] = []  # bins without a step that are as full as the next ones, so that those may hand on to them
+        while turns and used > fewest:
+            f, victim = heapq.heappop(turns)
+            if f != fill[victim]:  # it was handed something
+                if fill[victim] < length:
+                    heapq.heappush(turns, (fill[victim], victim))
+                continue
+            for b in [b for b in stuck if fill[b] < f]:
+                partners.drop(b)
+                stuck.remove(b)
+            partners.drop(victim)  # all others are at least as full
+            while fill[victim]:
+                found = partners.best(np.array(_sums([size[i] for i in own[victim]], length)))
+                if found is None:
+                    break
+                given, back, into = found
+                helped = True
+                give, take = _chosen(own[victim], size, given), _chosen(own[into], size, back)
+                own[victim] = [i for i in own[victim] if i not in give] + take
+                own[into] = [i for i in own[into] if i not in take] + give
+                fill[victim] -= given - back
+                fill[into] += given - back
+                partners.drop(into)
+                again = into in stuck
+                if again:
+                    stuck.remove(into)
+                if fill[into] < length:
+                    if again:
+                        heapq.heappush(turns, (fill[into], into))
+                    partners.add(into, length - fill[into], [size[i] for i in own[into]])
+            used -= not fill[victim]
+            if fill[victim]:
+                partners.add(victim, length - fill[victim], [size[i] for i in own[victim]])
+                stuck.append(victim)
+    out = np.empty(len(size), np.int64)
+    for b, members in enumerate(own):
+        out[members] = b
+    return out
 
 
 def packed(parts: DataFrame, length: int = SEQUENCE, group: int = GROUP) -> DataFrame:

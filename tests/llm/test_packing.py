@@ -76,3 +76,39 @@ def test_local_search_empties_bins_and_never_overfills(low, high):
 def test_search_finds_the_exchange_that_best_fit_misses():
     sizes = np.array([6, 4, 4, 3, 3])  # 6 + 4 and 4 + 3 + 3 fill two bins of 10
     assert len(set(packing.local_search(sizes, np.array([0, 1, 0, 1, 2]), 10).tolist())) == 2
+
+
+def steps_left(sizes, bins, length):
+    """Whether handing one or two pieces of some bin on, for none, one or two, helps a bin that is at least as full."""
+    own = defaultdict(list)
+    for z, b in zip(sizes.tolist(), bins.tolist(), strict=True):
+        own[b].append(z)
+    own = [x for x in own.values() if sum(x) < length]
+    totals = [sorted({0, *x, *(a + b for i, a in enumerate(x) for b in x[:i])}) for x in own]
+    owner = np.repeat(np.arange(len(own)), [len(t) for t in totals])
+    back, fill = np.concatenate([np.array(t) for t in totals]), np.array([sum(x) for x in own])
+    for v, given in enumerate(totals):
+        others = (fill[owner] >= fill[v]) & (owner != v)
+        for g in given:
+            gain = g - back[others]
+            if ((gain > 0) & (gain <= length - fill[owner[others]])).any():
+                return True
+    return False
+
+
+@pytest.mark.parametrize("low,high,most", [(500, 1100, 6716), (600, 760, 5570), (300, 800, 4415)])
+def test_search_of_a_whole_group_ends_without_a_step_left(low, high, most):
+    sizes = np.random.default_rng(low).integers(low, high + 1, packing.GROUP)
+    after = packing.local_search(sizes, packing.best_fit(sizes, 2048), 2048)
+    fill = np.bincount(after, sizes)
+    assert fill.max() <= 2048 and fill.sum() == sizes.sum() and (fill > 0).sum() <= most
+    assert not steps_left(sizes, after, 2048)
+
+
+def test_search_on_small_tables_ends_without_a_step_left():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sizes = rng.integers(1, rng.integers(2, 30), rng.integers(1, 60))
+        after = packing.local_search(sizes, packing.best_fit(sizes, 30), 30)
+        fill = np.bincount(after, sizes)
+        assert fill.max() <= 30 and ((fill > 0).sum() == -(-sizes.sum() // 30) or not steps_left(sizes, after, 30))
