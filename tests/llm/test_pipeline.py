@@ -63,3 +63,24 @@ def test_empty_tables(spark, stages):
 def test_registered():
     names = list(entry.queries())
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_texts_of_one_id_are_judged_one_by_one(spark):
+    def words(seed):
+        return " ".join(f"w{(seed * 7919 + i * i * 31 + i) % 100_003}" for i in range(120))
+
+    near = lambda text: text.replace(text.split()[60], "changed", 1)
+    rows = [
+        (1, words(1)), (5, near(words(1))), (5, words(2)),  # a near copy of a smaller id, and a text of its own
+        (6, words(3)), (6, words(4)), (6, words(4)),  # two texts, one of them twice
+        (7, words(5)), (7, words(6) + " more"), (9, near(words(5))), (3, near(words(6))),  # copies of one in greater and smaller ids
+        (8, words(7)), (8, near(words(7)) + " longer text"), (10, None), (10, words(8)), (11, words(9)), (None, words(9)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = pipeline.drop_near_duplicates(spark, docs, "").collect()
+    gone = [rows[1], rows[5], rows[7], rows[8], rows[10]]
+    left = list(rows)
+    for r in gone:
+        left.remove(r)
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in got], key=key) == sorted(left, key=key)
