@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from alertloom.llm import language, licences, mixing, neardup, packing, pages, quality, rules, topk, toxicity
+from alertloom.llm import divergence, infill, language, licences, mixing, neardup, packing, pages, prefixes, quality, rules, topk, toxicity
 from alertloom.llm.texts import fold, learned_rows, table
 
 #: The tokenizer file of op2 in the `tokenizers` format, by the package that installs it.
 TOKENIZER = "word_bpe_49k.json"
 
+#: The tokenizer file of op12.
+COUNTED = "byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,10 +34,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +99,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_matches")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restored(infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.counted(table(spark, sf_dir, "documents"), tokenizer_path(COUNTED))
+    over = F.col("n_tokens") > prefixes.LIMIT
+    return found.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"), "limit_chars")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH usable AS (
   SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
@@ -124,9 +150,14 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_html_extraction": op9_html_extraction,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_counts": op12_token_counts,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
     "op8_exact_topk": OP8_SQL,
     "op10_license_scan": licences.oracle_sql(),
+    "op11_fill_in_middle": infill.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
