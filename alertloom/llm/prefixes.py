@@ -6,9 +6,12 @@ of what they spell together. So every prefix of a word has one last token, and
     last(i)  = the token t that ends at byte i and is a valid neighbour of last(i - |t|)
     count(i) = count(i - |t|) + 1
 
-give the exact count of all prefixes of a word from left to right, without encoding any of them. Validity is asked of the
-tokenizer's own merge model, once for each pair of tokens. Words are the pieces of the tokenizer's split pattern; the
-steps of a word's counts, one for each character, are made once per worker and kept in a table bounded in bytes.
+give the exact count of all prefixes of a word from left to right, without encoding any of them. The tokens that end at a
+byte come from an Aho-Corasick automaton of the vocabulary. Two tokens are valid neighbours if no merge joins what stands
+at their border before each side has been merged on: on the left the last parts of the left token, on the right the first
+parts of the right one, each from when it is made until the merge that takes it up. Words are the pieces of the
+tokenizer's split pattern; the steps of a word's counts, one for each character, are made once per worker and kept in a
+table bounded in bytes.
 
 A text's counts are the running total of its words' steps. A prefix may end inside what the whole text splits otherwise:
 
@@ -24,8 +27,10 @@ tokens allows (the last k with counts[k] <= budget, whatever the ups and downs b
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
-import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertloom.llm import texts as T
 
 LIMIT = 512
-TABLE_BYTES = 48 << 20  # of the words that a worker keeps
-PAIRS = 300_000  # token pairs whose validity a worker keeps
+TABLE_BYTES = 128 << 20  # of the words that a worker keeps, about
+PAIRS = 500_000  # token pairs whose validity a worker keeps
 SLICE = 1 << 16  # characters split at once, if the text has a single space to part at
 
 #: White space and byte letters of the tokenizer (fixed values).
@@ -77,6 +82,7 @@ def splitter(pre_tokenizer, most: int):
     ).findall
 
 
+_BELOW = bytes(range(0xCC))  # bytes of characters below U+0300
 _RUN = re.compile(f"[{_SPACES}]{{2,}}(?=[^{_SPACES}])").finditer
 _PART = re.compile(f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])").search
 
@@ -85,60 +91,96 @@ class Prefixes(dict):
     """The steps of a word's counts (int16, one for each character), made when first asked for."""
 
     def __init__(self, path: str):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.model = tokenizer.model
         self.split = functools.cache(functools.partial(splitter, tokenizer.pre_tokenizer))
         self.letters = _letters()
-        own = {letter: byte for byte, letter in self.letters.items()}
         special = {token.content for token in tokenizer.get_added_tokens_decoder().values()}
-        spelled = {word: i for word, i in tokenizer.get_vocab().items() if word not in special}
-        self.vocabulary = {bytes(map(own.__getitem__, word)): i for word, i in spelled.items()}
-        self.word = {i: word for word, i in spelled.items()}
-        self.longest = max(map(len, self.vocabulary))
+        ids = {word: i for word, i in tokenizer.get_vocab().items() if word not in special}
+        self.word = {i: word for word, i in ids.items()}
+        self.ending = ahocorasick.Automaton()
+        for word, i in ids.items():
+            self.ending.add_word(word, (i, len(word)))
+        self.ending.make_automaton()
+        # Merges by rank: (left, right) joined, and what each token is made of.
+        self.rank: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        for rank, merge in enumerate(merges):
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            a, b = ids[left], ids[right]
+            self.rank[a << 32 | b] = rank
+            self.parts[ids[left + right]] = (a, b, rank)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.size = 0
         self.valid: dict[int, bool] = {}
         self.gaps: dict[str, int] = {}
+        self._edge = functools.cache(self._edge)
+        self._whole = functools.cache(self._whole)
+
+    def _whole(self, token: int) -> bool:
+        """Whether a token is the encoding of what it spells."""
+        return [t.id for t in self.model.tokenize(self.word[token])] == [token]
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(part, rank of the merge that takes it up) of what stands at a token's end (side 1) or begin (0)."""
+        out = [(token, len(self.rank))]
+        while token in self.parts:
+            rank = self.parts[token][2]
+            token = self.parts[token][side]
+            out.append((token, rank))
+        return out
 
     def _neighbours(self, left: int, right: int) -> bool:
-        """Whether two tokens are the encoding of what they spell; left is -1 at a word's begin."""
-        pair = (left + 1) << 32 | right
-        known = self.valid.get(pair)
-        if known is None:
-            spelled = (self.word[left] if left >= 0 else "") + self.word[right]
-            known = [t.id for t in self.model.tokenize(spelled)] == ([left, right] if left >= 0 else [right])
-            if len(self.valid) >= PAIRS:
-                self.valid.clear()
-            self.valid[pair] = known
-        return known
-
-    def counts(self, word: str) -> np.ndarray:
+        """Whether a token, itself whole, and the next one are the encoding of what they spell; left is -1 at a begin."""
+        if not self._whole(right):
+            return False
+        if left < 0:
+            return True
+        for a, taken in self._edge(left, 1):
+            for b, used in self._edge(right, 0):
+                # Of equal merges the leftmost comes first.
+                rank = self.rank.get(a << 32 | b)
+                if rank is not None and rank < taken and rank <= used:
+                    return False
+        return True
+
+    def counts(self, word: str) -> list[int]:
         """Tokens of the first k characters of a word, for k from 0."""
-        data = word.encode()
-        last, count = [-1], [0]
-        for i in range(1, len(data) + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = self.vocabulary.get(data[i - size : i])
-                if token is not None and self._neighbours(last[i - size], token):
-                    last.append(token)
-                    count.append(count[i - size] + 1)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {i} of a word: the vocabulary lacks bytes or is no byte-pair encoding")
+        plain = word.isascii() and word.lstrip(" ").isprintable()
+        data = word.replace(" ", self.letters[32]) if plain else "".join(map(self.letters.__getitem__, word.encode()))
+        last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        for end, (token, size) in self.ending.iter(data):
+            at = end + 1
+            if not count[at]:
+                left = last[at - size]
+                pair = left << 32 | token
+                known = self.valid.get(pair)
+                if known is None:
+                    if len(self.valid) >= PAIRS:
+                        self.valid.clear()
+                    known = self.valid[pair] = self._neighbours(left, token)
+                if known:
+                    last[at], count[at] = token, count[at - size] + 1
+        if not all(count[1:]):
+            raise ValueError("a byte of a word ends no token: the vocabulary lacks bytes or is no byte-pair encoding")
         if len(word) == len(data):
-            return np.array(count, np.int64)
-        ends = np.flatnonzero((np.frombuffer(data + b"a", np.uint8) & 0xC0) != 0x80)
-        return np.array(count, np.int64)[ends]
+            return count
+        ends = itertools.accumulate((len(c.encode()) for c in word), initial=0)
+        return [count[i] for i in ends]
 
     def __missing__(self, word: str) -> bytes:
-        steps = np.diff(self.counts(word))
+        counts = self.counts(word)
+        steps = [b - a for a, b in itertools.pairwise(counts)]
         if word in ("'re", "'ve", "'ll"):
-            steps = np.array([1, 1, int(steps.sum()) - 2])
-        made = steps.astype("<i2").tobytes()
+            steps = [1, 1, counts[-1] - 2]
+        made = array("h", steps).tobytes()
         if len(word) <= 100:
-            self.size += 2 * sys.getsizeof(word)
+            self.size += 200 + 4 * len(word)
             if self.size > TABLE_BYTES:
                 self.clear()
                 self.size = 0
@@ -146,7 +188,7 @@ class Prefixes(dict):
         return made
 
     def _total(self, word: str) -> int:
-        return int(np.frombuffer(self[word], "<i2").sum()) if word else 0
+        return int(np.frombuffer(self[word], np.int16).sum()) if word else 0
 
     def _gap(self, run: str) -> int:
         """What white space at the end of a text has more than its parts before a word."""
@@ -166,7 +208,7 @@ class Prefixes(dict):
             cut = _PART(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
             steps = b"".join(map(self.__getitem__, split(text[at:end] if at or cut else text)))
-            out[at + 1 : end + 1] = np.frombuffer(steps, "<i2")
+            out[at + 1 : end + 1] = np.frombuffer(steps, np.int16)
             at = end
         np.cumsum(out, out=out)
         for run in _RUN(text):
@@ -176,7 +218,7 @@ class Prefixes(dict):
     def of(self, data: bytes) -> np.ndarray:
         """Tokens of the first k characters of a text in UTF-8, for k from 0."""
         text = data.decode()
-        most = max(data, default=0)
+        most = 0 if data.isascii() else max(data.translate(None, _BELOW), default=0)
         split = self.split(0x10FFFF if most >= 0xF0 else 0xFFFF if most >= 0xCC else 0x2FF)
         parts = []
         at = base = 0
