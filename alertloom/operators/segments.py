@@ -1,10 +1,13 @@
 """Cut components in time, so that a chronic error stream does not become one incident.
 
 Gap: a component splits where neighbouring members are more than `max_gap` apart.
-Span: a piece that lasts longer than `max_span` is cut at multiples of `max_span`
-from its first alert, so that no segment lasts longer and a piece within the bound
-is never cut. (A cut that restarts the clock at each segment's own first alert
-would need one ordered pass over a whole component in one task.)
+Span: a segment ends where the next alert would make it last longer than
+`max_span`, and that alert begins the next one. Taken literally this is one
+ordered pass over a component. Here every alert time points to the first one that
+its own segment would not hold, and pointers are doubled: after k rounds the first
+2^k segments of every piece have their begins, and pointers skip 2^k segments. A
+round is an equality join, so a long component is spread over tasks, and it takes
+as many rounds as the logarithm of its segments. Pieces within the bound take none.
 
 Gaps are found on (component, bucket) cells, at most (time range / max_gap) per
 component; alerts only look their cell up.
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from alertloom import schema
 from alertloom.functions.time import bucket, long_lit
 from alertloom.operators.linking import window_micros
+from alertloom.operators.ordering import running_sum
+from alertloom.session import durable
 
 
 def gap_segments(labelled: DataFrame, max_gap_sec: float = schema.MAX_GAP_SEC) -> DataFrame:
@@ -40,17 +45,51 @@ def gap_segments(labelled: DataFrame, max_gap_sec: float = schema.MAX_GAP_SEC) -
     return bucketed.join(pieces, ["component_id", "_cell"]).drop("_cell")
 
 
+PIECE = ["component_id", "gap_no"]
+
+
+def segment_begins(times: DataFrame, span_us: int) -> DataFrame:
+    """(component_id, gap_no, ts_us, pos, begins): distinct alert times of a piece, and whether a segment begins there."""
+    marks = F.array(
+        F.struct(F.col("ts_us").alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col("ts_us") + span_us).alias("at"), F.lit(1).alias("kind")),
+    )
+    marked = times.select(*PIECE, "ts_us", F.inline(marks))
+    # kind: 0 = a time, 1 = "how many times up to the end of my segment".
+    counted = running_sum(marked, PIECE, ["at", "kind", "ts_us"], F.when(F.col("kind") == 0, 1).otherwise(0), "upto")
+    upto = [F.max(F.when(F.col("kind") == k, F.col("upto"))) for k in (0, 1)]
+    placed = durable(counted.groupBy(*PIECE, "ts_us").agg(upto[0].alias("pos"), (upto[1] + 1).alias("next")))
+    sizes = placed.groupBy(*PIECE).agg(F.max("pos").alias("_n"))
+    jumps = durable(placed.join(sizes, PIECE).where(F.col("next") <= F.col("_n")).select(*PIECE, "pos", "next"))
+    begins = sizes.select(*PIECE, F.lit(1).cast("long").alias("pos"))
+    while True:
+        found = durable(begins.join(jumps, [*PIECE, "pos"]).select(*PIECE, F.col("next").alias("pos")))
+        if found.isEmpty():
+            break
+        begins = begins.unionByName(found)
+        beyond = jumps.select(*PIECE, F.col("pos").alias("next"), F.col("next").alias("_next"))
+        jumps = durable(jumps.join(beyond, [*PIECE, "next"]).select(*PIECE, "pos", F.col("_next").alias("next")))
+    marked = placed.select(*PIECE, "ts_us", "pos").join(begins.withColumn("begins", F.lit(1)), [*PIECE, "pos"], "left")
+    return marked.withColumn("begins", F.coalesce("begins", F.lit(0)))
+
+
 def span_segments(
     labelled: DataFrame,
     max_gap_sec: float = schema.MAX_GAP_SEC,
     max_span_sec: float = schema.MAX_SPAN_SEC,
 ) -> DataFrame:
-    """Add `gap_no`, `span_no` and the segment's `segment` struct key."""
+    """Add `gap_no`, `gap_start_us` and `span_no` (from 0 in each piece)."""
     span = window_micros(max_span_sec)
-    offset = F.col("ts_us") - F.col("gap_start_us")
-    # (0, span] is the first stretch, (span, 2 span] the second; the first alert itself is at 0.
-    number = F.greatest(F.call_function("div", offset + long_lit(span - 1), long_lit(span)) - 1, F.lit(0).cast("long"))
-    return gap_segments(labelled, max_gap_sec).withColumn("span_no", number)
+    gapped = durable(gap_segments(labelled, max_gap_sec))
+    long = gapped.groupBy(*PIECE).agg((F.max("ts_us") - F.min("ts_us")).alias("_lasts")).where(F.col("_lasts") > span)
+    times = durable(gapped.join(long.select(*PIECE), PIECE, "left_semi").select(*PIECE, "ts_us").distinct())
+    none = F.lit(0).cast("long")
+    if times.isEmpty():
+        return gapped.withColumn("span_no", none)
+    numbered = running_sum(segment_begins(times, span), PIECE, ["ts_us"], F.col("begins"), "span_no")
+    numbers = numbered.select(*PIECE, "ts_us", (F.col("span_no") - 1).alias("span_no"))
+    found = gapped.join(numbers, [*PIECE, "ts_us"], "left")
+    return found.select(*gapped.columns, F.coalesce("span_no", none).alias("span_no"))
 
 
 def segmented(labelled: DataFrame, max_gap_sec: float, max_span_sec: float) -> DataFrame:

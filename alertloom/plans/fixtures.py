@@ -96,10 +96,14 @@ def _no_log_line() -> Column:
     return _cat("  at frame ", _s("event_id"))
 
 
-def storage_lines(spark: SparkSession, sf: str) -> DataFrame:
+def storage_lines(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
+    """Storage log lines; given a number of files, dealt to as many partitions in order of the events."""
+    rows = events(spark, sf)
+    if files:
+        rows = rows.repartitionByRange(files, "event_id").sortWithinPartitions("event_id")
     level = F.when(F.col("event_type") == "view", "WARN").otherwise("INFO")
     line = _cat(F.date_format("ts", "yyMMdd HHmmss"), " ", _s("user_id"), " ", level, " dfs.node", _s(F.col("user_id") % 12), ": ", _body())
-    return events(spark, sf).select(
+    return rows.select(
         F.when(F.col("value") >= 100, _no_log_line())
         .when(F.col("value") >= 80, F.regexp_replace(line, r"^(\d\d)\d\d", "$113"))
         .otherwise(line)

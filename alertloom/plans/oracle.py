@@ -160,6 +160,8 @@ CTES["storage_parsed"] = f"""
         {storage_severity(group(logs.STORAGE_LINE, 4), group(logs.STORAGE_LINE, 6))} AS severity,
         {group(logs.STORAGE_LINE, 6)} AS message, '' AS event_id, value AS raw_line
     FROM storage_lines WHERE regexp_matches(value, {quote(logs.STORAGE_LINE)})"""
+CTES["first_lines"] = CTES["storage_lines"].replace("FROM events)", f"FROM (SELECT * FROM events ORDER BY event_id LIMIT {R.CAP}))")
+CTES["first_parsed"] = CTES["storage_parsed"].replace("FROM storage_lines", "FROM first_lines")
 CTES["spark_parsed"] = f"""
     SELECT try_strptime({group(logs.SPARK_LINE, 1)} || ' ' || {group(logs.SPARK_LINE, 2)}, '%y/%m/%d %H:%M:%S') AS ts,
         'spark' AS source, {group(logs.SPARK_LINE, 4)} AS service, {group(logs.SPARK_LINE, 3)} AS severity,
@@ -281,14 +283,24 @@ CTES["gapped"] = f"""
 CTES["cross_gapped"] = CTES["gapped"].replace("FROM labelled", "FROM (SELECT * FROM cleaned JOIN cross_labels USING (alert_id))")
 
 
-def spanned(gapped: str) -> str:
-    return f"""
-    SELECT *, greatest((ts_us - min(ts_us) OVER w + {SPAN_US - 1}) // {SPAN_US} - 1, 0) AS span_no FROM {gapped}
-    WINDOW w AS (PARTITION BY component_id, gap_no)"""
+def spanned(gapped: str) -> None:
+    """Greedy cuts: each segment starts at the first alert that the one before it does not hold."""
+    CTES[f"t_{gapped}"] = f"SELECT DISTINCT component_id, gap_no, ts_us FROM {gapped}"
+    CTES[f"n_{gapped}"] = f"""
+    SELECT a.component_id, a.gap_no, a.ts_us, min(b.ts_us) AS next_us FROM t_{gapped} a JOIN t_{gapped} b
+        ON a.component_id = b.component_id AND a.gap_no = b.gap_no AND b.ts_us > a.ts_us + {SPAN_US} GROUP BY ALL"""
+    CTES[f"begins_{gapped}"] = f"""
+    SELECT component_id, gap_no, min(ts_us) AS begin_us FROM t_{gapped} GROUP BY ALL
+    UNION ALL
+    SELECT r.component_id, r.gap_no, n.next_us FROM begins_{gapped} r JOIN n_{gapped} n
+        ON r.component_id = n.component_id AND r.gap_no = n.gap_no AND r.begin_us = n.ts_us"""
+    CTES[gapped.replace("gapped", "spanned")] = f"""
+    SELECT g.*, dense_rank() OVER (PARTITION BY g.component_id, g.gap_no ORDER BY r.begin_us) - 1 AS span_no
+    FROM {gapped} g ASOF JOIN begins_{gapped} r ON g.component_id = r.component_id AND g.gap_no = r.gap_no AND g.ts_us >= r.begin_us"""
 
 
-CTES["spanned"] = spanned("gapped")
-CTES["cross_spanned"] = spanned("cross_gapped")
+spanned("gapped")
+spanned("cross_gapped")
 CTES["cross_labelled"] = """
     SELECT * EXCLUDE (component_id), min(alert_id) OVER (PARTITION BY component_id, gap_no, span_no) AS component_id
     FROM cross_spanned"""
@@ -426,7 +438,9 @@ def with_ctes(body: str, extra: dict[str, str] | None = None, needed_extra: tupl
     if not needed:
         return body
     parts = [
-        f"{name}(node, reached) AS ({sql})" if name in RECURSIVE or name.startswith("r_") else f"{name} AS MATERIALIZED ({sql})"
+        f"{name}(node, reached) AS ({sql})"
+        if name in RECURSIVE or name.startswith("r_")
+        else f"{name} AS {'' if name.startswith('begins_') else 'MATERIALIZED '}({sql})"
         for name, sql in known.items()
         if name in needed
     ]
@@ -459,7 +473,7 @@ def _statements() -> dict[str, str]:
     q: dict[str, str] = {}
     line = "ts, source, service, severity, message, raw_line"
     q["parse_hdfs_lines"] = f"SELECT {line} FROM storage_parsed WHERE ts IS NOT NULL"
-    q["capped_lines"] = q["parse_hdfs_lines"]
+    q["capped_lines"] = f"SELECT {line} FROM first_parsed WHERE ts IS NOT NULL"
     q["testbed_folder"] = """
         SELECT ts, service, severity, message, event_id, 'normal' AS dataset_type, 'day-1' AS label FROM service_graded WHERE ts IS NOT NULL"""
     q["parse_spark_lines"] = f"SELECT {line} FROM spark_parsed WHERE ts IS NOT NULL"

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -188,14 +189,54 @@ def test_segments_respect_their_bounds(spark, gap, span):
         for t, s in members:
             stretches.setdefault(s, []).append(t)
         assert all(max(ts) - min(ts) <= span * SECOND for ts in stretches.values())
-        if times[-1] - times[0] <= span * SECOND:
-            assert set(stretches) == {0}
+        # Greedy, by a plain loop over the times.
+        begin, number, right = times[0], 0, {}
+        for t in times:
+            if t - begin > span * SECOND:
+                begin, number = t, number + 1
+            right.setdefault(number, []).append(t)
+        assert {n: sorted(ts) for n, ts in stretches.items()} == right
     for parts in by_component.values():
         parts.sort()
         assert [p[0] for p in parts] == list(range(len(parts)))
         assert all(b[1] - a[2] > gap * SECOND for a, b in zip(parts, parts[1:]))
 
 
+def test_a_long_component_is_cut_in_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    stored = segments.durable
+    monkeypatch.setattr(segments, "durable", lambda df: rounds.append(df) or stored(df))
+    rng = random.Random(4)
+    times = sorted({rng.randrange(0, 2_000_000) for _ in range(20_000)})
+    rows = spark.createDataFrame([(i, 1, t * 1000) for i, t in enumerate(times)], "alert_id long, component_id long, ts_us long")
+    cut = {r.alert_id: r.span_no for r in segments.span_segments(rows, 60, 3).collect()}
+    begin, number = times[0], 0
+    for i, t in enumerate(times):
+        if t - begin > 3000:
+            begin, number = t, number + 1
+        assert cut[i] == number
+    assert number > 500 and len(rounds) <= 4 + 2 * 11  # 2^10 segments
+
+
+def test_first_lines_over_files_and_splits(spark, tmp_path):
+    from alertloom.sources import logs
+
+    names = ["b.log", "a.log", "c c.log", "empty.log", "d.log"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_text("" if name == "empty.log" else "".join(f"{name} {i} {'x' * (i % 40)}\n" for i in range(50 + 30 * k)))
+    right = [line for name in sorted(names) for line in (tmp_path / name).read_text().splitlines()]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for most in (1, 49, 50, 51, 130, 333, len(right), len(right) + 1):
+            got = logs.read_lines(spark, str(tmp_path), most)
+            assert sorted(r.value for r in got.collect()) == sorted(right[:most]), most
+            assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+        assert logs.read_lines(spark, str(tmp_path), 0).count() == len(right)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def brute_incidents(rows, vecs, labels):
     sim = similarity(vecs)
     rank = {"FATAL": 4, "ERROR": 3, "WARN": 2}
