@@ -17,18 +17,20 @@ def tag_alerts(cleaned: DataFrame) -> DataFrame:
     return cleaned.withColumn("tagged", tagged).withColumn("vec_id", F.md5("tagged"))
 
 
-def text_vectors(tagged: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(vec_id, tagged, embedding): hashed term weights of each distinct text, of unit length.
+def term_counts(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(vec_id, dim, n): how often a text's words fall on each dimension."""
+    place = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
+    words = texts.select("vec_id", F.explode(F.split(F.lower("tagged"), " ")).alias("word")).where("word != ''")
+    return words.groupBy("vec_id", place.cast("int").alias("dim")).agg(F.count("*").alias("n"))
+
+
+def weighted_vectors(texts: DataFrame, terms: DataFrame, held: DataFrame, n_texts: int, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(vec_id, tagged, embedding) of texts with their terms, given how many of n_texts texts have each dimension (dim, df).
 
     A term's weight is its count times 1 + ln((texts + 1) / (texts with its dimension + 1)), which is never 0: a text
     has a zero vector, which links with nothing, only if it has no word.
     """
-    texts = durable(tagged.select("vec_id", "tagged").distinct())
-    place = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dimensions
-    words = texts.select("vec_id", F.explode(F.split(F.lower("tagged"), " ")).alias("word")).where("word != ''")
-    terms = words.groupBy("vec_id", place.cast("int").alias("dim")).agg(F.count("*").alias("n"))
-    held = terms.groupBy("dim").agg(F.count("*").alias("df"))
-    rarity = 1 + F.log(F.lit(texts.count() + 1.0) / (F.col("df") + 1))
+    rarity = 1 + F.log(F.lit(n_texts + 1.0) / (F.col("df") + 1))
     weighted = terms.join(held, "dim").groupBy("vec_id")  # at most one row a dimension
     sparse = weighted.agg(F.map_from_entries(F.collect_list(F.struct("dim", (F.col("n") * rarity).alias("w")))).alias("w"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.element_at("w", d), F.lit(0.0)))
@@ -37,6 +39,14 @@ def text_vectors(tagged: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return vectors.select("vec_id", "tagged", l2_normalize(F.col("_v")).alias("embedding"))
 
 
+def text_vectors(tagged: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(vec_id, tagged, embedding): hashed term weights of each distinct text, of unit length (see weighted_vectors)."""
+    texts = durable(tagged.select("vec_id", "tagged").distinct())
+    terms = term_counts(texts, dimensions)
+    held = terms.groupBy("dim").agg(F.count("*").alias("df"))
+    return weighted_vectors(texts, terms, held, texts.count(), dimensions)
+
+
 def sync_check(alerts: DataFrame, vectors: DataFrame) -> DataFrame:
     """Alerts without a vector, vectors without an alert, and the range of dimensions."""
     used = alerts.groupBy("vec_id").agg(F.count("*").alias("n"))

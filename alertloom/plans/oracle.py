@@ -384,12 +384,15 @@ def tagged(alerts_cte: str) -> str:
         FROM {alerts_cte})"""
 
 
+DIM = "('0x' || substr(md5(word), 1, 8))::BIGINT % 384"
+
+
 def terms(tagged_cte: str) -> str:
     """(text_id, dim, x): weights of unit length."""
     return f"""
     SELECT text_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY text_id)) AS x FROM (
         SELECT text_id, dim, n * (1 + ln((total + 1) / (count(*) OVER (PARTITION BY dim) + 1))) AS w FROM (
-            SELECT text_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 384 AS dim, count(*)::DOUBLE AS n
+            SELECT text_id, {DIM} AS dim, count(*)::DOUBLE AS n
             FROM (SELECT DISTINCT text_id, tagged FROM {tagged_cte}), unnest(string_split(lower(tagged), ' ')) AS t(word)
             WHERE word <> '' GROUP BY 1, 2), (SELECT count(DISTINCT text_id) AS total FROM {tagged_cte}))"""
 
@@ -411,6 +414,28 @@ CTES["text_labelled"] = "SELECT * FROM text_tagged JOIN text_labels USING (alert
 CTES["text_members"] = members("text_labelled").replace("JOIN sims", "JOIN text_sims").replace("x.vec_id", "x.text_id").replace("y.vec_id", "y.text_id")
 CTES["text_incidents"] = incidents("text_members")
 
+# Templates of a stream: a text's weights are those of the slice of time that it first appears in.
+CTES["live_tagged"] = tagged("cleaned")
+CTES["live_first"] = f"""
+    SELECT text_id, tagged, min(slice) AS slice FROM (
+        SELECT t.*, least(floor((t.ts_us / 1e6 - lo) * {R.SLICES} / greatest(hi - lo, 1.0)), {R.SLICES - 1}) AS slice
+        FROM live_tagged t, (SELECT min(epoch_us(ts)) / 1e6 AS lo, max(epoch_us(ts)) / 1e6 AS hi FROM events)) GROUP BY ALL"""
+CTES["live_words"] = f"""
+    SELECT text_id, slice, {DIM} AS dim, count(*) AS n FROM (SELECT text_id, slice, unnest(string_split(lower(tagged), ' ')) AS word FROM live_first)
+    WHERE word <> '' GROUP BY ALL"""
+CTES["live_held"] = """
+    SELECT s.slice, w.dim, count(*) AS df FROM (SELECT DISTINCT slice FROM live_first) s JOIN live_words w ON w.slice <= s.slice GROUP BY ALL"""
+CTES["live_texts"] = """
+    SELECT s.slice, count(*) AS texts FROM (SELECT DISTINCT slice FROM live_first) s JOIN live_first f ON f.slice <= s.slice GROUP BY ALL"""
+CTES["live_terms"] = """
+    SELECT text_id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY text_id)) AS x FROM (
+        SELECT text_id, w.dim, n * (1 + ln((texts + 1.0::DOUBLE) / (df + 1))) AS w
+        FROM live_words w JOIN live_held USING (slice, dim) JOIN live_texts USING (slice))"""
+CTES["live_sims"] = CTES["text_sims"].replace("text_terms", "live_terms")
+CTES["live_pairs"] = CTES["text_pairs"].replace("text_tagged", "live_tagged").replace("text_sims", "live_sims").replace(str(R.TEXT_THRESHOLD), str(R.LIVE_THRESHOLD))
+CTES["r_live_pairs"] = reach("live_pairs")
+CTES["live_labels"] = walk("r_live_pairs")
+
 RECURSIVE = {"r_pairs", "r_cross_pairs"}
 COUNTERS = """count(*) AS total, count(*) FILTER (WHERE detected) AS detected, count(*) FILTER (WHERE detected AND localized) AS service_matched_detected,
     count(*) FILTER (WHERE localized) AS localized, count(*) FILTER (WHERE root_localized) AS root_localized"""
@@ -682,6 +707,8 @@ def _statements() -> dict[str, str]:
         SELECT date_trunc('minute', ts) - i * INTERVAL 1 MINUTE AS window_start,
             date_trunc('minute', ts) - i * INTERVAL 1 MINUTE + INTERVAL 60 MINUTE AS window_end, count(*) AS n
         FROM alerts, range(60) r(i) GROUP BY 1, 2"""
+    q["live_densest_window"] = q["densest_window"]
+    q["live_text_components"] = "SELECT alert_id, component_id FROM live_labels"
     q["live_components"] = q["connected_components"]
     return q
 

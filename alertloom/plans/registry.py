@@ -23,6 +23,7 @@ from alertloom.plans import correlation, fixtures as fx
 from alertloom.session import durable, prepare
 from alertloom.sources import faults as gt, logs, testbed
 from alertloom.streaming import feeds
+from alertloom.streaming.densest import live_densest_window as live_densest
 from alertloom.streaming.live import LiveCorrelation
 
 # Settings of the registered queries; the test vectors are random, so the library's own would link little.
@@ -30,6 +31,7 @@ WINDOW, THRESHOLD, CROSS = 7200, 0.3, 0.4
 GAP, SPAN = 3600, 14400
 SWEEP = [(0, 3600, 0.3), (1, 3600, 0.4), (2, 7200, 0.3), (3, 7200, 0.4)]
 TEXT_WINDOW, TEXT_THRESHOLD = 1800, 0.62
+LIVE_THRESHOLD = 0.7
 SAMPLE = 2000
 SLICES = 5
 REPLAY = 3000
@@ -639,6 +641,23 @@ def live_sliding_rates(spark, sf):
     return feeds.latest_all(sliding, ["window_start", "window_end"], feeds.scratch(spark, "sliding"))
 
 
+@query
+def live_densest_window(spark, sf):
+    return live_densest(stream(spark, sf), feeds.scratch(spark, "densest"), 60, "hdfs")
+
+
+def text_stream(spark, sf) -> DataFrame:
+    return A.with_cleaned_message(A.severity_filter(stream(spark, sf)).drop("event_time", "vec_id"))
+
+
+@query
+def live_text_components(spark, sf):
+    """Alerts correlated as they arrive, with vectors made from the templates that each batch brings."""
+    live = LiveCorrelation(None, feeds.scratch(spark, "live-text"), TEXT_WINDOW, LIVE_THRESHOLD)
+    live.run(text_stream(spark, sf))
+    return live.components(spark)
+
+
 @query
 def live_components(spark, sf):
     live = LiveCorrelation(fx.vectors(spark, sf), feeds.scratch(spark, "live"), WINDOW, THRESHOLD)

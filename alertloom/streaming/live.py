@@ -7,7 +7,8 @@ the cells, links cells as the batch plan does, and writes
 * `labels/<batch>`  (alert_id, label), once per arriving alert;
 * `merges/<batch>`  (label, root), components that turned out to be one;
 * `open/<batch>`    the cells that later alerts can still link to;
-* `late/<batch>`    how many alerts came after the watermark and were left out.
+* `late/<batch>`    how many alerts came after the watermark and were left out;
+* `vectors/<batch>` and `held/<batch>`, where vectors are made from text (see LiveVectors).
 
 Every batch reads the state of the one before and writes folders of its own, so a
 batch that is run again after a failure replaces what it wrote. State grows with
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from alertloom import schema
 from alertloom.functions.time import bucket, long_lit
 from alertloom.functions.vectors import linkable
-from alertloom.operators import linking
+from alertloom.operators import embedding, linking
 from alertloom.operators.components import components, run_heads
 from alertloom.session import durable
 from alertloom.streaming.feeds import each_batch
@@ -30,10 +31,57 @@ from alertloom.streaming.feeds import each_batch
 CELL = ["vec_id", "bucket", "first_us", "last_us", "label", "window_us"]
 
 
+class LiveVectors:
+    """Vectors of templates, made when they are first seen in a stream.
+
+    A batch counts the new texts' dimensions into the document frequencies of all texts so far (`held/<batch>`, at most
+    one row a dimension and one for the number of texts) and writes the new texts' vectors by them (`vectors/<batch>`).
+    A text keeps the vector of its first batch, so whatever was linked by it stays linked. A batch reads what earlier
+    batches wrote, never its own folders, and so may be run again.
+    """
+
+    def __init__(self, root: str, dimensions: int = embedding.DIMENSIONS):
+        self.root = root
+        self.dimensions = dimensions
+
+    def _held(self, spark: SparkSession, number: int) -> DataFrame:
+        """(dim, df) of all texts before a batch; the row without dimension counts the texts."""
+        if number > 0:
+            return spark.read.parquet(f"{self.root}/held/{number - 1}")
+        return spark.createDataFrame([], "dim int, df long")
+
+    def upto(self, spark: SparkSession, number: int) -> DataFrame:
+        """(vec_id, tagged, embedding, batch) of all texts of the batches before `number`."""
+        schema_ = "vec_id string, tagged string, embedding array<double>, batch int"
+        if number == 0:
+            return spark.createDataFrame([], schema_)
+        return spark.read.schema(schema_).parquet(*[f"{self.root}/vectors/{n}" for n in range(number)])
+
+    def add(self, tagged: DataFrame, number: int) -> DataFrame:
+        """The vectors of all texts up to and including this batch's `tagged` (vec_id, tagged)."""
+        spark = tagged.sparkSession
+        known = self.upto(spark, number)
+        new = durable(tagged.select("vec_id", "tagged").distinct().join(known.select("vec_id"), "vec_id", "left_anti"))
+        terms = durable(embedding.term_counts(new, self.dimensions))
+        own = terms.groupBy("dim").agg(F.count("*").alias("df")).unionByName(new.agg(F.count("*").alias("df")).withColumn("dim", F.lit(None).cast("int")))
+        held = self._held(spark, number).unionByName(own).groupBy("dim").agg(F.sum("df").alias("df"))
+        held.write.mode("overwrite").parquet(f"{self.root}/held/{number}")
+        held = self._held(spark, number + 1)
+        texts = held.where("dim IS NULL").first().df
+        made = embedding.weighted_vectors(new, terms, held.where("dim IS NOT NULL"), texts, self.dimensions)
+        made.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{self.root}/vectors/{number}")
+        return self.upto(spark, number + 1)
+
+
 class LiveCorrelation:
+    """Live correlation with a table of vectors or, without one, with vectors that are made as templates appear.
+
+    In the second case alerts have `service` and `cleaned_message` instead of `vec_id`.
+    """
+
     def __init__(
         self,
-        vectors: DataFrame,
+        vectors: DataFrame | None,
         root: str,
         window_sec: float = schema.WINDOW_SEC,
         threshold: float = schema.SIMILARITY,
@@ -42,13 +90,14 @@ class LiveCorrelation:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
         self.vectors = vectors
+        self.made = LiveVectors(root) if vectors is None else None
         self.root = root
         self.window_us = linking.window_micros(window_sec)
         self.delay_us = linking.window_micros(delay_sec)
         self.threshold = threshold
 
     def run(self, alerts: DataFrame) -> None:
-        """Correlate the stream (alert_id, ts_us, vec_id, ...) over all data present."""
+        """Correlate the stream (alert_id, ts_us, vec_id or service and cleaned_message) over all data present."""
         each_batch(alerts, self.batch, self.root)
 
     def _state(self, spark: SparkSession, number: int) -> DataFrame | None:
@@ -57,7 +106,10 @@ class LiveCorrelation:
     def batch(self, arrived: DataFrame, number: int) -> None:
         spark = arrived.sparkSession
         open_cells = self._state(spark, number)
-        alerts = durable(arrived.select("alert_id", "ts_us", "vec_id"))
+        if self.made is None:
+            alerts = durable(arrived.select("alert_id", "ts_us", "vec_id"))
+        else:
+            alerts = durable(embedding.tag_alerts(arrived).select("alert_id", "ts_us", "vec_id", "tagged"))
         # The watermark is stored with the state, in a row of its own.
         newest = None
         if open_cells is not None:
@@ -69,7 +121,7 @@ class LiveCorrelation:
         alerts = alerts.where(~late)
 
         window = long_lit(self.window_us)
-        vectors = linkable(self.vectors)
+        vectors = linkable(self.vectors if self.made is None else self.made.add(alerts, number).select("vec_id", "embedding"))
         fresh = (
             linking.cells(alerts.withColumn("window_us", window), ["vec_id"])
             .join(vectors.select("vec_id"), "vec_id", "left_semi")
