@@ -21,6 +21,7 @@ from alertloom.session import durable
 BLOCK = 64
 SHARD = 4096
 SLICE = 1024
+SLOTS = 1 << 18  # slots that a task makes, about
 SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
@@ -146,9 +147,11 @@ def slots(plan: DataFrame) -> DataFrame:
     counts = picked.select("sid", "shard", F.lit(1).cast("long").alias("count")).unionByName(given.select("sid", "shard", F.col("given").alias("count")))
     counts = counts.groupBy("sid", "shard").agg(F.sum("count").alias("count")).withColumn("chunk", F.floor(F.col("shard") / SLICE))
     counts = running(durable(counts), "sid", "chunk", [F.col("shard")], "count", "from")
-    counts = counts.join(plan.groupBy("sid").agg(F.first("n").alias("n")), "sid")
+    counts = durable(counts.join(plan.groupBy("sid").agg(F.first("n").alias("n")), "sid"))
 
-    one = counts.select("sid", "shard", "n", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
+    # Few rows become many: as many tasks as the slots ask for, not as the bytes of the counts do.
+    tasks = -(-(counts.agg(F.sum("count")).first()[0] or 1) // SLOTS)
+    one = counts.repartition(tasks, "sid", "shard").select("sid", "shard", "n", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
     one = one.withColumn("pass", F.floor(F.col("k") / F.col("n"))).where(F.col("pass") < MOST)
     return one.select("sid", "shard", "pass", permuted(F.col("k") % F.col("n"), F.col("n"), F.xxhash64("sid", "pass")).alias("block"))
 

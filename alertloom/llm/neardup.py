@@ -15,9 +15,11 @@ A document's set holds its distinct shingles of WIDTH words (A-Z lower-cased). T
    class is checked against the nearest leader it meets, and after a few such rounds what is left - classes of one
    bucket, but of different components - is compared signature by signature, all of it, inside tasks that hold at most
    two blocks of BLOCK rows of one bucket. Each pair counts in the first bucket that it shares. Where a bucket's pairs
-   within FAR are few, they leave the task and are confirmed one by one; where they outnumber its rows, the rows do,
-   with their sets, and are confirmed inside a task, which names only links that join components. So nothing that is
-   written or moved grows with the square of a bucket.
+   within FAR are few, they leave the task and are confirmed one by one; as soon as they outnumber its rows, the rows do
+   instead, with their sets, and are confirmed inside a task that holds at most two blocks of about SET_HASHES shingles.
+   It takes the rows one by one, looks only at those of other components, and names a link only if it joins two, so a
+   crowd of copies is done after its first rows. No pair leaves a task for being a pair; what is moved of a bucket of n
+   rows is n rows for each of its n / BLOCK blocks.
 
 Each class has as many keys as all others, so a bucket holds at most a share of 1 / (CHUNKS * masks) of the keyed rows,
 however many near copies there are. No task holds a class or component.
@@ -43,6 +45,7 @@ FAR = 43
 LEADER_ROUNDS = 2
 BLOCK = 2048
 COMPARED = 1 << 15  # pairs that are compared at once
+SET_HASHES = 1 << 20  # shingles of a block whose sets are compared, about
 CELL = ("key", "low", "high")  # a bucket and two of its blocks
 
 _rng = np.random.default_rng(75)
@@ -131,20 +134,6 @@ def _first_key(same: np.ndarray, places: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close(left: np.ndarray, right: np.ndarray, rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left, right) of different roots whose sizes and signatures allow a link; a row is no pair with itself."""
-    root, n, places = rows["root"], rows["n"], rows["places"]
-    step = max(1, COMPARED // max(1, len(right)))
-    found = []
-    for at in range(0, len(left), step):
-        a = left[at : at + step]
-        low, high = np.minimum(n[a][:, None], n[right]), np.maximum(n[a][:, None], n[right])
-        i, j = np.nonzero((root[a][:, None] != root[right]) & (100 * low >= percent * high))
-        close = (places[a[i]] == places[right[j]]).sum(axis=1) >= PLACES - FAR
-        found.append((a[i[close]], right[j[close]]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
 def _cells(table: pa.Table) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
     """(columns, row ranges of cells) of rows sorted by cell; `places` are the unpacked signatures."""
     rows = {c: table[c].to_numpy() for c in (*CELL, "id", "n", "root", "block")}
@@ -155,26 +144,26 @@ def _cells(table: pa.Table) -> tuple[dict[str, np.ndarray], list[tuple[int, int]
     return rows, list(itertools.pairwise([0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]))
 
 
-def _candidates(rows: dict[str, np.ndarray], x: int, y: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a cell, rows x to y, that are close; of one block of a bucket, or of two."""
-    none = np.zeros(0, np.int64)
-    if y - x < 2:
-        return none, none
+def _sides(rows: dict[str, np.ndarray], x: int, y: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Left and right rows of a cell, rows x to y: its two blocks, or its one block and None."""
     at = np.arange(x, y)
     if rows["low"][x] == rows["high"][x]:
-        a, b = _close(at, at, rows, percent)
-        a, b = a[a < b], b[a < b]
-    else:
-        low = rows["block"][x:y] == rows["low"][x]
-        a, b = _close(at[low], at[~low], rows, percent) if low.any() and not low.all() else (none, none)
-    own = [none]
-    for lo in range(0, len(a), COMPARED):
-        # A pair may share many keys; its first one speaks for it.
-        i, j = a[lo : lo + COMPARED], b[lo : lo + COMPARED]
-        first = _first_key(rows["places"][i] == rows["places"][j], rows["places"][i])
-        own.append(lo + np.flatnonzero(first.view(np.int64) == rows["key"][x]))
-    own = np.concatenate(own)
-    return a[own], b[own]
+        return at, None
+    low = rows["block"][x:y] == rows["low"][x]
+    return at[low], at[~low]
+
+
+def _partners(rows: dict[str, np.ndarray], i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of other rows that row i is a candidate pair with, by size and signature; a pair counts under its first key."""
+    n, places = rows["n"], rows["places"]
+    others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
+    same = places[i] == places[others]
+    close = same.sum(axis=1) >= PLACES - FAR
+    others, same = others[close], same[close]
+    if not len(others):
+        return others
+    first = _first_key(same, np.broadcast_to(places[i], same.shape))
+    return others[first.view(np.int64) == rows["key"][i]]
 
 
 def _streamed(handle):
@@ -196,39 +185,46 @@ def _streamed(handle):
             held = table.slice(at).combine_chunks().to_batches()
         if held:
             yield from handle(pa.Table.from_batches(held).combine_chunks())
+        table = held = batch = None
+        T.release()
 
     return run
 
 
 def _near(percent: int):
-    """What a cell has to confirm: its candidate pairs, or, where those are more, the rows that are in any.
+    """What a cell has to confirm: its candidate pairs, or, once those are more than its rows, all its rows.
 
-    A pair is a row with both ids and no key, a row of a cell has its key and blocks. So the output is at most as long
-    as the input, however dense a bucket is.
+    A pair is a row with both ids and no key, a row of a cell has its key and blocks. So neither the output nor what a
+    task holds is longer than the input, however dense a bucket is.
     """
     names = ["a", "b", *CELL, "block"]
 
+    def pairs(rows: dict[str, np.ndarray], x: int, y: int) -> tuple[np.ndarray, np.ndarray] | None:
+        left, right = _sides(rows, x, y)
+        root = rows["root"]
+        a, b, n = [], [], 0
+        for k, i in enumerate(left.tolist()):
+            others = left[k + 1 :] if right is None else right
+            found = _partners(rows, i, others[root[others] != root[i]], percent)
+            if len(found):
+                a.append(np.full(len(found), i)), b.append(found)
+                n += len(found)
+                if n > y - x:
+                    return None
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows, cells = _cells(table)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        dense: list[np.ndarray] = []
         for x, y in cells:
-            a, b = _candidates(rows, x, y, percent)
-            if not len(a):
-                continue
-            members = np.unique(np.concatenate([a, b]))
-            if len(members) < 2 * len(a):
-                dense.append(members)
-            else:
-                pairs.append((a, b))
-        if pairs:
-            a, b = (rows["id"][np.concatenate(x)] for x in zip(*pairs, strict=True))
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
-        if dense:
-            at = np.concatenate(dense)
-            cell = [pa.array(rows[c][at].astype(np.int64)) for c in (*CELL, "block")]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["id"][at]), pa.nulls(len(at), pa.int64()), *cell], names=names)
+            found = pairs(rows, x, y)
+            if found is None:
+                cell = [pa.array(rows[c][x:y].astype(np.int64)) for c in (*CELL, "block")]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["id"][x:y]), pa.nulls(y - x, pa.int64()), *cell], names=names)
+            elif len(found[0]):
+                a, b = (rows["id"][side] for side in found)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
 
     return _streamed(handle)
 
@@ -236,47 +232,42 @@ def _near(percent: int):
 def _linked(percent: int):
     """Links of dense cells, confirmed on full sets: (a, b), at most one less than the cell has components."""
 
+    def links_of(rows: dict[str, np.ndarray], x: int, y: int, sets: pa.ListArray) -> Iterator[tuple[int, int]]:
+        own = np.asarray(sets.offsets).astype(np.int64)
+        _, codes = np.unique(np.asarray(sets.values)[own[0] : own[-1]], return_inverse=True)
+        own -= own[0]
+        here = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+        size = np.diff(own)
+        _, label = np.unique(rows["root"][x:y], return_inverse=True)
+        left, right = _sides(rows, x, y)
+        for k, i in enumerate((left - x).tolist()):
+            others = (left[k + 1 :] if right is None else right) - x
+            others = _partners(rows, x + i, x + others[label[others] != label[i]], percent) - x
+            if not len(others):
+                continue
+            here[codes[own[i] : own[i + 1]]] = True
+            while len(others):
+                # As many at once as have about a block's shingles; what those join needs no look.
+                upto = max(1, int(np.searchsorted(np.cumsum(size[others]), SET_HASHES)))
+                now, others = others[:upto], others[upto:]
+                begin = np.cumsum(size[now]) - size[now]
+                at = np.repeat(own[now] - begin, size[now]) + np.arange(size[now].sum())
+                both = np.add.reduceat(here[codes[at]].astype(np.int64), begin)
+                for j in now[100 * both >= percent * (size[i] + size[now] - both)].tolist():
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        yield int(rows["id"][x + i]), int(rows["id"][x + j])
+                others = others[label[others] != label[i]]
+            here[codes[own[i] : own[i + 1]]] = False
+
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows, cells = _cells(table)
         lists = table["shingles"].combine_chunks()
-        bounds = np.asarray(lists.offsets).astype(np.int64)
-        values = np.asarray(lists.values)
-        out: list[tuple[int, int]] = []
         for x, y in cells:
-            a, b = _candidates(rows, x, y, percent)
-            if not len(a):
-                continue
-            own = bounds[x : y + 1] - bounds[x]
-            _, codes = np.unique(values[bounds[x] : bounds[y]], return_inverse=True)
-            here = np.zeros(int(codes.max()) + 1, bool)
-            size = np.diff(own)
-            root = {r: r for r in np.unique(rows["root"][x:y]).tolist()}
-
-            def find(r: int) -> int:
-                while root[r] != r:
-                    root[r] = root[root[r]]
-                    r = root[r]
-                return r
-
-            order = np.argsort(a, kind="stable")
-            a, b = a[order], b[order]
-            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-            for lo, hi in itertools.pairwise(cuts):
-                i, others = int(a[lo]) - x, b[lo:hi] - x
-                here[codes[own[i] : own[i + 1]]] = True
-                length = size[others]
-                begin = np.cumsum(length) - length
-                at = np.repeat(own[others] - begin, length) + np.arange(length.sum())
-                both = np.add.reduceat(here[codes[at]].astype(np.int64), begin)
-                here[codes[own[i] : own[i + 1]]] = False
-                for j in others[100 * both >= percent * (size[i] + length - both)].tolist():
-                    r, t = find(int(rows["root"][x + i])), find(int(rows["root"][x + j]))
-                    if r != t:
-                        root[max(r, t)] = min(r, t)
-                        out.append((int(rows["id"][x + i]), int(rows["id"][x + j])))
-        if out:
-            pairs = np.array(out, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+            out = list(links_of(rows, x, y, lists.slice(x, y - x)))
+            if out:
+                pairs = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
 
     return _streamed(handle)
 
@@ -314,6 +305,22 @@ def _distance(x: str, y: str):
     return total
 
 
+def _cut_by_shingles(cells: DataFrame) -> DataFrame:
+    """Cells (id, n, key, low, high, block) whose blocks are cut further, to about SET_HASHES shingles each.
+
+    Every two parts of a cell's blocks become a cell of their own.
+    """
+    parts = cells.groupBy(*CELL, "block").agg(F.greatest(F.ceil(F.sum("n") / SET_HASHES), F.lit(1)).alias("parts"))
+    other = parts.select(*CELL, F.col("block").alias("_other"), F.col("parts").alias("_parts"))
+    cut = cells.join(parts, [*CELL, "block"]).withColumn("_other", F.col("low") + F.col("high") - F.col("block")).join(other, [*CELL, "_other"])
+    # A block's parts are numbered so that no two blocks of a bucket share one.
+    number = lambda block, part: block * (1 << 32) + part
+    own = number(F.col("block"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")))
+    cut = cut.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    cut = cut.withColumn("_with", number(F.col("_other"), F.col("_with")))
+    return cut.select("id", "n", "key", F.least("_own", "_with").alias("low"), F.greatest("_own", "_with").alias("high"), F.col("_own").alias("block"))
+
+
 def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     """(a, b): links that join the stored classes (id, n, signature) to their components.
 
@@ -363,7 +370,7 @@ def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     pairs = durable(asked.where("b is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     crowds = asked.where("b is null").select(F.col("a").alias("id"), *CELL, "block")
     known = rows.select("id", "root").distinct().join(heads, "id").join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    dense = arranged(crowds.join(known, "id")).mapInArrow(_linked(percent), "a long, b long")
+    dense = arranged(_cut_by_shingles(crowds.join(heads.select("id", "n"), "id")).drop("n").join(known, "id")).mapInArrow(_linked(percent), "a long, b long")
     found = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
     return durable(checked.where("linked").select("a", "b").unionByName(found).unionByName(dense))
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from alertloom.llm import neardup
@@ -114,8 +115,10 @@ def test_shingle_counts(text, count):
     assert len(neardup.shingle_hashes([text.encode()])[0]) == count
 
 
-def test_dense_buckets_are_confirmed_in_their_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("hashes", [1 << 20, 700])
+def test_dense_buckets_are_confirmed_in_their_tasks(spark, monkeypatch, hashes):
     """A cloud of copies around one text: most pairs are no links, and the links that join must all be found."""
+    monkeypatch.setattr(neardup, "SET_HASHES", hashes)  # the second one cuts blocks further, to a few sets each
     monkeypatch.setattr(neardup, "LEADER_ROUNDS", 1)
     monkeypatch.setattr(neardup, "BLOCK", 50)
     rng = random.Random(9)
@@ -129,3 +132,20 @@ def test_dense_buckets_are_confirmed_in_their_tasks(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
     right = {i: root for i, (_, root) in expected(rows).items()}
     assert got == right and 1 < len(set(right.values())) < 150
+
+
+def test_a_crowd_is_linked_without_listing_its_pairs():
+    """4,000 near copies in one cell: the rows leave it as a crowd, and as many links as join them come of it."""
+    rng = np.random.default_rng(2)
+    n, length = 4000, 400
+    base = rng.integers(0, 2**63, length, dtype=np.uint64)
+    sets = [np.sort(np.where(rng.random(length) < 0.02, rng.integers(0, 2**63, length, dtype=np.uint64), base)) for _ in range(n)]
+    places = np.tile(rng.integers(0, 2**16, neardup.PLACES).astype("<u2"), (n, 1))
+    key = int(neardup._key(places[:1], 0).view(np.int64)[0])
+    columns = {"key": np.full(n, key), "low": np.zeros(n, int), "high": np.zeros(n, int), "id": np.arange(n), "n": np.full(n, length)}
+    columns |= {"root": np.arange(n), "block": np.zeros(n, int)}
+    table = pa.table({**columns, "signature": [p.tobytes() for p in places], "shingles": [s.view(np.int64) for s in sets]})
+    near = [b for b in neardup._near(75)(iter(table.drop_columns("shingles").to_batches(1000)))]
+    assert sum(b.num_rows for b in near) == n and all(b["b"].null_count == b.num_rows for b in near)
+    found = pa.Table.from_batches(neardup._linked(75)(iter(table.to_batches(1000))))
+    assert found.num_rows == n - 1 and set(found["a"].to_pylist()) | set(found["b"].to_pylist()) == set(range(n))
