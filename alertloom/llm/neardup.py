@@ -185,8 +185,6 @@ def _streamed(handle):
             held = table.slice(at).combine_chunks().to_batches()
         if held:
             yield from handle(pa.Table.from_batches(held).combine_chunks())
-        table = held = batch = None
-        T.release()
 
     return run
 
@@ -199,32 +197,48 @@ def _near(percent: int):
     """
     names = ["a", "b", *CELL, "block"]
 
-    def pairs(rows: dict[str, np.ndarray], x: int, y: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def pairs(rows: dict[str, np.ndarray], x: int, y: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         left, right = _sides(rows, x, y)
-        root = rows["root"]
-        a, b, n = [], [], 0
-        for k, i in enumerate(left.tolist()):
-            others = left[k + 1 :] if right is None else right
-            found = _partners(rows, i, others[root[others] != root[i]], percent)
-            if len(found):
-                a.append(np.full(len(found), i)), b.append(found)
-                n += len(found)
-                if n > y - x:
-                    return None
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+        root, n, places = rows["root"], rows["n"], rows["places"]
+        others = left if right is None else right
+        step = max(1, COMPARED // max(1, len(others)))
+        total = 0
+        for at in range(0, len(left), step):
+            a = left[at : at + step]
+            low, high = np.minimum(n[a][:, None], n[others]), np.maximum(n[a][:, None], n[others])
+            allowed = (root[a][:, None] != root[others]) & (100 * low >= percent * high)
+            if right is None:
+                allowed &= a[:, None] < others
+            i, j = np.nonzero(allowed)
+            i, j = a[i], others[j]
+            same = places[i] == places[j]
+            close = same.sum(axis=1) >= PLACES - FAR
+            if not close.any():
+                continue
+            i, j, same = i[close], j[close], same[close]
+            # A pair may share many keys; its first one speaks for it.
+            own = _first_key(same, places[i]).view(np.int64) == rows["key"][x]
+            found.append((i[own], j[own]))
+            total += int(own.sum())
+            if total > y - x:
+                return None
+        return found
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
         rows, cells = _cells(table)
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         for x, y in cells:
-            found = pairs(rows, x, y)
+            found = pairs(rows, x, y) if y - x > 1 else []
             if found is None:
                 cell = [pa.array(rows[c][x:y].astype(np.int64)) for c in (*CELL, "block")]
                 yield pa.RecordBatch.from_arrays([pa.array(rows["id"][x:y]), pa.nulls(y - x, pa.int64()), *cell], names=names)
-            elif len(found[0]):
-                a, b = (rows["id"][side] for side in found)
-                none = pa.nulls(len(a), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
+            else:
+                met += found
+        if met:
+            a, b = (rows["id"][np.concatenate(side)] for side in zip(*met, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
 
     return _streamed(handle)
 

@@ -7,7 +7,6 @@ about CHUNK_BYTES, so memory follows the chunk (or the longest single text), nev
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -128,14 +127,6 @@ def chunked(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, li
         yield lo, data[lo:].to_pylist()
 
 
-def release() -> None:
-    """Give memory that a task's batches have left free back to the system; Python workers live on between tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def over_texts(
     df: DataFrame, text: str, fn: Callable[[list[bytes]], dict[str, pa.Array]], schema: str, keep: list[str] | None = None
 ) -> DataFrame:
@@ -157,9 +148,6 @@ def over_texts(
                 made = fn(texts)
                 part = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made.values()], names=[*names, *made])
-                del texts, made, part
-        batch = None
-        release()
 
     out = source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
     made = out.columns[len(keep) :]
