@@ -96,6 +96,28 @@ def per_minute(alerts: DataFrame, source: str | None = None) -> DataFrame:
     return alerts.groupBy(minute.alias("minute")).agg(F.count("*").alias("n"))
 
 
+#: log2 of the registers of a template sketch, and three standard errors of its counts.
+SKETCH_BITS = 14
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def template_sketches(cleaned: DataFrame) -> DataFrame:
+    """(hour, service, alerts, sketch): mergeable distinct counts of templates, one row an hour and service.
+
+    A sketch takes a few KB, whatever it has seen, and is combined in the map tasks. To be stored and added to: sketches
+    of any parts of the alerts merge into one of all of them, within the same error.
+    """
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")
+    sketch = F.hll_sketch_agg("cleaned_message", F.lit(SKETCH_BITS)).alias("sketch")
+    return cleaned.groupBy(hour, "service").agg(F.count("*").alias("alerts"), sketch)
+
+
+def sketched_templates(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by..., alerts, templates): about how many templates the rows of each group have, from their merged sketches."""
+    merged = sketches.groupBy(*by).agg(F.sum("alerts").alias("alerts"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("templates"))
+
+
 def template_counts(cleaned: DataFrame) -> DataFrame:
     return cleaned.agg(
         F.count("*").alias("alerts"), F.countDistinct("cleaned_message").alias("templates")

@@ -20,6 +20,33 @@ def _mentions(service: Column, cmdb: Column) -> Column:
     return F.contains(service, base_service(cmdb))
 
 
+#: Levels of dyadic buckets; base buckets are a second or more, so 2^36 of them are some 2,000 years.
+LEVELS = 36
+
+
+def dyadic(lo: Column, hi: Column) -> Column:
+    """[(level, b)]: the fewest aligned buckets [b * 2^level, (b + 1) * 2^level) that make up base buckets lo to hi.
+
+    From level 0 up, an odd left end and an even right end are buckets of their own; what is between goes on at half
+    the resolution.
+    """
+    start = F.struct(lo.alias("lo"), hi.alias("hi"), F.expr("cast(array() as array<struct<level:int,b:bigint>>)").alias("out"))
+
+    def level(s: Column, k: Column) -> Column:
+        low, high = s["lo"], s["hi"]
+        none = F.expr("cast(array() as array<struct<level:int,b:bigint>>)")
+        one = lambda b: F.array(F.struct(k.cast("int").alias("level"), b.alias("b")))
+        odd = (low <= high) & (low.bitwiseAND(F.lit(1)) == 1)
+        even = (low <= high) & (high.bitwiseAND(F.lit(1)) == 0) & ~((low == high) & odd)
+        found = F.concat(s["out"], F.when(odd, one(low)).otherwise(none), F.when(even, one(high)).otherwise(none))
+        next_lo = F.call_function("shiftright", low + F.when(odd, 1).otherwise(0), F.lit(1))
+        next_hi = F.call_function("shiftright", high - F.when(even, 1).otherwise(0), F.lit(1))
+        over = low > high
+        return F.struct(F.when(over, low).otherwise(next_lo).alias("lo"), F.when(over, high).otherwise(next_hi).alias("hi"), found.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, level, lambda s: s["out"])
+
+
 def fault_match(
     faults: DataFrame,
     incidents: DataFrame,
@@ -32,25 +59,26 @@ def fault_match(
     incident_no, incident_id, start_us, end_us, root_service, services, member_count.
     `by` names columns of both that have to be equal.
 
-    A fault falls into one time bucket, an incident into those that its widened
-    interval covers, so the join is an equality on the bucket. The best incident is
-    an aggregate, taken in the same tasks that find the candidates.
+    A fault looks in one time bucket of every level, where a bucket of level k is
+    2^k base buckets wide. An incident stands in the fewest aligned buckets that make
+    up its widened interval, at most two a level (`dyadic`): a chronic incident of
+    thousands of base buckets is a few dozen rows. So the join is an equality on
+    (level, bucket), and each pair meets once. The best incident is an aggregate,
+    taken in the same tasks that find the candidates.
     """
     slack = window_micros(tolerance_sec)
-    width = long_lit(max(2 * slack, 1))
-    at = faults.select(*by, "fault_id", "ts_us", "cmdb_id").withColumn("b", bucket(F.col("ts_us"), width))
-    covering = incidents.select(
-        *by, "incident_no", "start_us", "end_us", "services"
-    ).withColumn(
-        "b",
-        F.explode(
-            F.sequence(bucket(F.col("start_us") - slack, width), bucket(F.col("end_us") + slack, width))
-        ),
+    width = long_lit(max(2 * slack, 1_000_000))
+    covering = incidents.select(*by, "incident_no", "start_us", "end_us", "services").withColumns(
+        {"_lo": bucket(F.col("start_us") - slack, width), "_hi": bucket(F.col("end_us") + slack, width)}
     )
+    covering = covering.select("*", F.inline(dyadic(F.col("_lo"), F.col("_hi")))).drop("_lo", "_hi")
+    at = faults.select(*by, "fault_id", "ts_us", "cmdb_id").withColumn("_b", bucket(F.col("ts_us"), width))
+    at = at.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    at = at.withColumn("b", F.expr("shiftright(_b, level)")).drop("_b")
     twice_off = F.abs(2 * F.col("ts_us") - F.col("start_us") - F.col("end_us"))
     near = (F.col("ts_us") >= F.col("start_us") - slack) & (F.col("ts_us") <= F.col("end_us") + slack)
     best = (
-        at.join(covering, [*by, "b"])
+        at.join(covering, [*by, "level", "b"])
         .where(near)
         .withColumn("hit", F.exists("services", lambda s: _mentions(s, F.col("cmdb_id"))))
         .withColumn("off", F.when(F.col("hit"), twice_off).otherwise(twice_off + STRANGER_PENALTY))

@@ -561,6 +561,9 @@ def _statements() -> dict[str, str]:
     q["alerts_per_minute"] = f"SELECT minute, n FROM {minutes.format('alerts')}"
     q["template_counts"] = "SELECT count(*) AS alerts, count(DISTINCT cleaned_message) AS templates FROM cleaned"
 
+    q["template_estimates"] = """
+        SELECT service, count(*) AS alerts, count(DISTINCT cleaned_message) AS templates, true AS within_bound FROM cleaned GROUP BY service"""
+
     def densest(table: str, width: int) -> str:
         return f"""(SELECT a.minute AS window_start, a.minute + INTERVAL {width} MINUTE AS window_end, sum(b.n)::BIGINT AS alerts
             FROM {minutes.format(table)} a JOIN {minutes.format(table)} b ON b.minute >= a.minute AND b.minute < a.minute + INTERVAL {width} MINUTE
@@ -636,6 +639,9 @@ def _statements() -> dict[str, str]:
             CASE WHEN alert_id = root_alert_id THEN share END AS candidate_conf, ts, source, service, severity, message
         FROM labelled JOIN (SELECT component_id, incident_id, root_alert_id FROM incidents) USING (component_id)
         JOIN (SELECT component_id, share FROM top3 WHERE rn = 1) USING (component_id)"""
+    q["committed_artifacts"] = """
+        SELECT alert_id, incident_id, CASE WHEN alert_id = root_alert_id THEN 'root' ELSE 'member' END AS role, title, member_count
+        FROM labelled JOIN (SELECT component_id, incident_id, root_alert_id, title, member_count FROM incidents) USING (component_id)"""
     q["cluster_sizes"] = """
         SELECT sum(member_count)::BIGINT AS alerts, count(*) AS incidents,
             round(100.0::DOUBLE * (sum(member_count) - count(*)) / sum(member_count), 1) AS noise_reduction,

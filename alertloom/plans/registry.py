@@ -21,7 +21,7 @@ from alertloom.operators import (
 )
 from alertloom.plans import correlation, fixtures as fx
 from alertloom.session import durable, prepare
-from alertloom.sources import faults as gt, logs, testbed
+from alertloom.sources import faults as gt, logs, sinks, testbed
 from alertloom.streaming import feeds
 from alertloom.streaming.densest import live_densest_window as live_densest
 from alertloom.streaming.live import LiveCorrelation
@@ -273,6 +273,16 @@ def template_counts(spark, sf):
     return A.template_counts(fx.correlated_alerts(spark, sf))
 
 
+@query
+def template_estimates(spark, sf):
+    """Templates per service, from hourly sketches that were stored and merged, beside the exact number."""
+    cleaned = fx.correlated_alerts(spark, sf)
+    about = A.sketched_templates(durable(A.template_sketches(cleaned)), "service")
+    exact = cleaned.groupBy("service").agg(F.countDistinct("cleaned_message").alias("exact"))
+    close = F.abs(F.col("templates") - F.col("exact")) <= F.ceil(A.SKETCH_ERROR * F.col("exact"))
+    return about.join(exact, "service").select("service", "alerts", F.col("exact").alias("templates"), close.alias("within_bound"))
+
+
 @query
 def densest_window(spark, sf):
     return sampling.densest_window(fx.alerts(spark, sf), 60, "hdfs")
@@ -485,6 +495,19 @@ def cluster_audit(spark, sf):
     return I.audit(both.members, both.incidents)
 
 
+@query
+def committed_artifacts(spark, sf):
+    """Alerts, incidents and audit written as one run, twice, and read back from what is committed."""
+    both = found(spark, sf)
+    root = feeds.scratch(spark, "artifacts")
+    for _ in range(2):
+        sinks.write_correlation(spark, root, "run-1", both.members, both.incidents, I.audit(both.members, both.incidents))
+    folder = sinks.committed(spark, root, "run-1")
+    audit = spark.read.option("header", True).csv(f"{folder}/audit")
+    incidents = spark.read.json(f"{folder}/incidents").select("incident_id", "title", "member_count")
+    return audit.join(incidents, "incident_id").select(F.col("alert_id").cast("long").alias("alert_id"), "incident_id", "role", "title", "member_count")
+
+
 @query
 def cluster_sizes(spark, sf):
     return I.size_distribution(I.incident_heads(members(spark, sf)))

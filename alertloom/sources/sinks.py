@@ -2,10 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertloom import schema
 
+#: The file that makes the tables of a run visible.
+MANIFEST = "manifest"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def commit(spark: SparkSession, root: str, run: str, writers: Mapping[str, Callable[[str], None]]) -> None:
+    """Write tables of one run so that readers see all of them or none, and a rerun neither doubles nor mixes them.
+
+    Every attempt writes into a folder of its own, `<root>/<run>/<attempt>/<table>`. Only when all tables are there, one
+    line with the attempt's name is written beside it and renamed to `manifest`. A run that has a manifest is left as
+    it is; an attempt that dies leaves a folder that no reader looks at.
+    """
+    if committed(spark, root, run):
+        return
+    attempt = uuid.uuid4().hex
+    for name, write in writers.items():
+        write(f"{root}/{run}/{attempt}/{name}")
+    staged, files = _hadoop(spark, f"{root}/{run}/staged-{attempt}")
+    out = files.create(staged, True)
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    final, _ = _hadoop(spark, f"{root}/{run}/{MANIFEST}")
+    # Of two attempts at once, one manifest remains, and with it the tables of one attempt.
+    if not files.rename(staged, final):
+        files.delete(staged, False)
+
+
+def committed(spark: SparkSession, root: str, run: str) -> str | None:
+    """The folder of a run's tables, None as long as the run is not committed."""
+    final, files = _hadoop(spark, f"{root}/{run}/{MANIFEST}")
+    if not files.exists(final):
+        return None
+    attempt = spark.read.text(f"{root}/{run}/{MANIFEST}").first().value
+    return f"{root}/{run}/{attempt}"
+
+
+def write_correlation(spark: SparkSession, root: str, run: str, alerts: DataFrame, incidents: DataFrame, audit_rows: DataFrame) -> None:
+    """The artifacts of one correlation run, committed together: alerts in time order, incidents, audit."""
+    commit(
+        spark,
+        root,
+        run,
+        {
+            "alerts": lambda path: write_alerts_csv(alerts, path, "ts", "alert_id"),
+            "incidents": lambda path: write_incidents_json(incidents, path),
+            "audit": lambda path: write_audit_csv(audit_rows, path),
+        },
+    )
+
 
 def time_ordered(alerts: DataFrame, *order: str) -> DataFrame:
     """Files in time order, and rows in time order within each file."""
