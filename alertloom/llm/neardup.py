@@ -341,7 +341,7 @@ def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     sets_of(ids) gives (id, shingles) for a table of ids.
     """
     # One shuffle by key serves the counts and the rows that they are joined to.
-    spread = classes.select("id", "signature").mapInArrow(_keys, "key long, id long").repartition("key")
+    spread = classes.select("id", "signature").mapInArrow(T.released(_keys), "key long, id long").repartition("key")
     lead = F.min(F.struct(F.xxhash64("id").alias("o"), "id"))["id"]
     crowded = spread.groupBy("key").agg(F.count("*").alias("size"), lead.alias("lead")).where("size > 1")
     buckets = durable(spread.join(crowded.select("key", "lead"), "key"))
@@ -380,11 +380,11 @@ def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "root", "signature", "block")
     arranged = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
-    asked = durable(arranged(rest).mapInArrow(_near(percent), "a long, b long, key long, low long, high long, block long"))
+    asked = durable(arranged(rest).mapInArrow(T.released(_near(percent)), "a long, b long, key long, low long, high long, block long"))
     pairs = durable(asked.where("b is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
     crowds = asked.where("b is null").select(F.col("a").alias("id"), *CELL, "block")
     known = rows.select("id", "root").distinct().join(heads, "id").join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    dense = arranged(_cut_by_shingles(crowds.join(heads.select("id", "n"), "id")).drop("n").join(known, "id")).mapInArrow(_linked(percent), "a long, b long")
+    dense = arranged(_cut_by_shingles(crowds.join(heads.select("id", "n"), "id")).drop("n").join(known, "id")).mapInArrow(T.released(_linked(percent)), "a long, b long")
     found = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
     return durable(checked.where("linked").select("a", "b").unionByName(found).unionByName(dense))
 

@@ -27,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from alertloom.llm.texts import ship
+from alertloom.llm.texts import release_memory, released, ship
 
 SEQUENCE = 2048
 GROUP = 16384
 END = 0  # id after each document
-WORDS_KEPT = 400_000  # words whose ids a worker keeps
+KEPT_BYTES = 48 << 20  # of the words whose ids a worker keeps, and of the parts of words; the next one starts anew
+KEPT_LENGTH = 32  # characters of a word or part that is kept
+ENTRY_BYTES = 250  # of a kept word besides its letters and ids
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search  # white space to str.split, not to the tokenizer
@@ -55,15 +57,19 @@ class WordIds(dict):
         unprinted = [b for b in range(256) if b not in _PRINTED]
         self.letters = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(unprinted)}
         self.parts: dict[str, bytes] = {}
+        self.words_bytes = self.parts_bytes = 0
 
     def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
         if known is None:
             spelled = part if part.isascii() and part.isprintable() else "".join(map(self.letters.__getitem__, part.encode()))
             known = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-            if len(self.parts) >= WORDS_KEPT:
-                self.parts.clear()
-            self.parts[part] = known
+            if len(part) <= KEPT_LENGTH:
+                self.parts_bytes += len(part) + len(known) + ENTRY_BYTES
+                if self.parts_bytes > KEPT_BYTES:
+                    self.parts.clear()
+                    self.parts_bytes = 0
+                self.parts[part] = known
         return known
 
     def __missing__(self, word: str) -> bytes:
@@ -71,9 +77,11 @@ class WordIds(dict):
             made = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
         else:
             made = b"".join(map(self._part, self.split(word.lower())))
-        if len(word) <= 100:
-            if len(self) >= WORDS_KEPT:
+        if len(word) <= KEPT_LENGTH:
+            self.words_bytes += len(word) + len(made) + ENTRY_BYTES
+            if self.words_bytes > KEPT_BYTES:
                 self.clear()
+                self.words_bytes = 0
             self[word] = made
         return made
 
@@ -127,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bo
 
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return source.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(released(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
@@ -294,7 +302,9 @@ def packed(parts: DataFrame, length: int = SEQUENCE, group: int = GROUP) -> Data
         offset[by_bin] = ends - sizes[by_bin] - (ends - sizes[by_bin])[first]
         data = data.drop_columns(["_group"])
         data = data.append_column("sequence_id", pa.array(bins.astype(np.int64) + (int(number) << 32)))
-        return data.append_column("offset", pa.array(offset))
+        data = data.append_column("offset", pa.array(offset))
+        release_memory()
+        return data
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema]
     return keyed.groupBy("_group").applyInArrow(pack, ", ".join([*fields, "sequence_id long", "offset long"]))

@@ -113,7 +113,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, mean, covariance) by label of rows (y, x)."""
     d = len(FEATURES) + 1
-    got = rows.select("y", "x").mapInArrow(_sums, "entry int, value double").groupBy("entry").agg(F.sum("value").alias("value")).collect()
+    got = rows.select("y", "x").mapInArrow(T.released(_sums), "entry int, value double").groupBy("entry").agg(F.sum("value").alias("value")).collect()
     total = np.zeros(2 * d * d)
     for r in got:
         total[r["entry"]] = r["value"]
@@ -153,7 +153,7 @@ def fit(rows: DataFrame) -> Model:
             offsets = pa.array(np.arange(0, z.size + 1, d, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))], names=["y", "x"])
 
-    n, mean, cov = _moments(rows.select("y", "x").mapInArrow(clip, "y int, x array<double>"))
+    n, mean, cov = _moments(rows.select("y", "x").mapInArrow(T.released(clip), "y int, x array<double>"))
     pooled = (n[0] * cov[0] + n[1] * cov[1]) / n.sum()
     factors, logs = [], np.zeros(2)
     for c in (0, 1):
@@ -177,7 +177,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             names = [*(f"k{i}" for i in range(len(kept))), "quality_score"]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(model.scores(x))], names=names)
 
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(T.released(run), schema)
     return out.select(*[out[f"k{i}"].alias(c) for i, c in enumerate(kept)], "quality_score")
 
 

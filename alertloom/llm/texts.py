@@ -7,6 +7,7 @@ about CHUNK_BYTES, so memory follows the chunk (or the longest single text), nev
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -40,7 +41,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     # Batches to Python are bounded in rows and bytes; texts stay whole.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     if getattr(sc, "_alertloom_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
@@ -107,6 +108,26 @@ def per_text(values: np.ndarray, first: np.ndarray, ufunc=np.add, empty=0) -> np
     return out
 
 
+def release_memory() -> None:
+    """Give what this worker's Arrow pool and C library hold unused back to the system; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its worker's unused memory given back after each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """The column's UTF-8 bytes, with null as the empty text."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -149,7 +170,7 @@ def over_texts(
                 part = batch.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made.values()], names=[*names, *made])
 
-    out = source.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+    out = source.mapInArrow(released(run), f"{kept}, {schema}" if kept else schema)
     made = out.columns[len(keep) :]
     return out.select(*[out[f"_k{i}"].alias(c) for i, c in enumerate(keep)], *made)
 
