@@ -195,7 +195,7 @@ def _near(percent: int):
     A pair is a row with both ids and no key, a row of a cell has its key and blocks. So neither the output nor what a
     task holds is longer than the input, however dense a bucket is.
     """
-    names = ["a", "b", *CELL, "block"]
+    names = ["a", "b", *CELL, "block", "n"]
 
     def pairs(rows: dict[str, np.ndarray], x: int, y: int) -> list[tuple[np.ndarray, np.ndarray]] | None:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -231,14 +231,14 @@ def _near(percent: int):
         for x, y in cells:
             found = pairs(rows, x, y) if y - x > 1 else []
             if found is None:
-                cell = [pa.array(rows[c][x:y].astype(np.int64)) for c in (*CELL, "block")]
+                cell = [pa.array(rows[c][x:y].astype(np.int64)) for c in (*CELL, "block", "n")]
                 yield pa.RecordBatch.from_arrays([pa.array(rows["id"][x:y]), pa.nulls(y - x, pa.int64()), *cell], names=names)
             else:
                 met += found
         if met:
             a, b = (rows["id"][np.concatenate(side)] for side in zip(*met, strict=True))
             none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none, none, none], names=names)
 
     return _streamed(handle)
 
@@ -380,11 +380,11 @@ def links(classes: DataFrame, sets_of, percent: int = PERCENT) -> DataFrame:
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "root", "signature", "block")
     arranged = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL)
-    asked = durable(arranged(rest).mapInArrow(T.released(_near(percent)), "a long, b long, key long, low long, high long, block long"))
+    asked = durable(arranged(rest).mapInArrow(T.released(_near(percent)), "a long, b long, key long, low long, high long, block long, n long"))
     pairs = durable(asked.where("b is not null").select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-    crowds = asked.where("b is null").select(F.col("a").alias("id"), *CELL, "block")
+    crowds = asked.where("b is null").select(F.col("a").alias("id"), "n", *CELL, "block")
     known = rows.select("id", "root").distinct().join(heads, "id").join(sets.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    dense = arranged(_cut_by_shingles(crowds.join(heads.select("id", "n"), "id")).drop("n").join(known, "id")).mapInArrow(T.released(_linked(percent)), "a long, b long")
+    dense = arranged(_cut_by_shingles(crowds).drop("n").join(known, "id")).mapInArrow(T.released(_linked(percent)), "a long, b long")
     found = _confirmed(pairs, sets, percent).where("linked").select("a", "b")
     return durable(checked.where("linked").select("a", "b").unionByName(found).unionByName(dense))
 

@@ -62,7 +62,7 @@ def test_empty_tables(spark, stages):
 
 def test_registered():
     names = list(entry.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_texts_of_one_id_are_judged_one_by_one(spark):
