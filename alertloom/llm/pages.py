@@ -27,6 +27,8 @@ from alertloom.llm import texts as T
 
 SAMPLE = 500
 FOLLOW, SIBLING = 0.6, 0.5  # smoothness of consecutive blocks, and of consecutive ones with one parent
+TIED, BESIDE = 4.0, 1.0  # smoothness inside a list of short items, and of its ends and the blocks beside it
+ITEM_WORDS, ITEM_LINKS = 12, 0.3  # most words of a short item, and the most that is linked of a list that is no menu
 MOST_SHAPE = 4.0  # evidence that shape alone can give
 UNMARKED = 2.0  # evidence of blocks without any mark, on pages where no element is marked as content
 
@@ -40,12 +42,16 @@ _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements of HTML, by what they mean here (fixed values).
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr img br "
+    "math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style noscript template textarea select option iframe object svg canvas math audio video map datalist button".split())
+UNSEEN = frozenset("head title script style noscript template textarea select option iframe object svg canvas audio video map datalist button annotation annotation-xml".split())
 VERBATIM = frozenset("script style textarea title iframe noscript".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset label legend".split())
 CONTENT = frozenset("article main".split())
+LISTS = frozenset("ul ol dl table".split())
 CONTAINER = frozenset("article main section div body html td th li blockquote figure ul ol table nav aside header footer form dd".split())
 #: An opening tag on the left closes an open one on the right, up to the next container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -63,11 +69,19 @@ STATES = frozenset("open opened closed collapsed expanded enabled toggled".split
 #: `hidden` is a name's own meaning alone or after the first words, and before no word for some screens only.
 HIDDEN = frozenset("is js u visually".split())
 SCREENS = frozenset("xs sm md lg xl xxl phone mobile tablet desktop print".split())
+#: First words of names that file an article under something, as in `category-social-media`.
+FILED = frozenset("category cat tag tags topic topics format story post type status single section hentry".split())
 #: Names for a sidebar that hold one of these are of what surrounds it and the content, as in `content-sidebar-wrap`.
 LAYOUTS = frozenset("layout layouts".split())
 WRAPS = frozenset("wrap wrapper wrappers container grid row columns group holder".split())
 #: Names of places whose article elements are comments and teasers.
 OF_OTHERS = frozenset("comment comments commentlist reply replies respond disqus related recommended".split())
+#: Second words of names for places around an article, as in `post-comments`.
+OWN_PLACES = frozenset("ad ads advert adverts comment comments respond reply replies footer header sidebar nav navigation navbar menu share sharing social related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe copyright".split())
+#: Whole class names of articles that are adverts.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion widget adslot adbox".split())
+#: Words for what is no text of an article even inside of it.
+NEVER = OF_OTHERS | frozenset("ad ads advert adverts advertisement advertising sponsored adslot adbox footer sidebar nav navbar navigation breadcrumb breadcrumbs pagination pager".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
 
@@ -82,6 +96,7 @@ class Node:
     plain: float = 0.0  # evidence without the marks that only a class or id gave
     firm: bool = False  # in an element for boilerplate by its tag, role or being hidden
     named: frozenset[str] = frozenset()  # bad words of the class names and ids around
+    items: Node | None = None  # the innermost list or table around
 
 
 @dataclass
@@ -99,6 +114,8 @@ def _is_mark(word: str, own: list[str]) -> bool:
         return HIDDEN.issuperset(own[:at]) and SCREENS.isdisjoint(own[at + 1 :])
     if own[-1] in STATES:
         return False
+    if own[0] in FILED and not (own[0] in ("post", "single", "story", "section") and len(own) == 2 and word in OWN_PLACES):
+        return False
     if word in ("sidebar", "side"):
         after = own[own.index(word) + 1 :]
         both = "content" in own or "article" in own or "page" in after
@@ -141,15 +158,22 @@ def _inside(tag: str, attributes: str, parent: Node | None, inner: bool) -> Node
         if known > 0 and tag != "header":
             names.discard("header")  # the headline's surroundings
         bad = names & BAD_NAMES if tag not in ("body", "html") and not main else frozenset()
+        if tag == "article" and known > 0:
+            bad &= OF_OTHERS | ADVERTS.intersection(given.get("class", "").lower().split())  # others tell what it is about
         if role in BAD_ROLES:
             evidence, known, plain, firm = evidence - 10, -1, plain - 10, True
         elif bad:
-            evidence, known, named = evidence - 10, -1, named | bad
+            # Comments, teasers, adverts and the like stay out of the text however surely it is content.
+            evidence = min(evidence - 10, -10) if bad & NEVER else evidence - 10
+            known, named = -1, named | bad
         elif names & GOOD_NAMES or role in ("main", "article"):
             evidence, plain = evidence + 2, plain + 2
         if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
             evidence, known, plain, firm = evidence - 10, -1, plain - 10, True
-    return Node(tag, parent, parent.depth + 1 if parent else 0, evidence, known, seen, plain, firm, named)
+    made = Node(tag, parent, parent.depth + 1 if parent else 0, evidence, known, seen, plain, firm, named, parent and parent.items)
+    if tag in LISTS:
+        made.items = made
+    return made
 
 
 def blocks(page: str) -> list[Block]:
@@ -355,18 +379,54 @@ def _flow(nodes: list[int], z: list[float], near: list[dict[int, float]]) -> set
                 path.append(b)
 
 
+def short_lists(found: list[Block]) -> list[tuple[int, int]]:
+    """Ranges of blocks that are the short items or cells of one list or table which is no menu."""
+    out = []
+    i = 0
+    while i < len(found):
+        first, j = found[i].node, i + 1
+        while first.items and j < len(found) and found[j].node.items is first.items and (found[j].node.evidence, found[j].node.known) == (first.evidence, first.known):
+            j += 1
+        own = found[i:j]
+        if j - i > 1 and all(b.text.count(" ") < ITEM_WORDS for b in own) and sum(b.linked for b in own) <= ITEM_LINKS * sum(len(b.text) for b in own):
+            out.append((i, j))
+        i = j
+    return out
+
+
+def _beside(items: Node, block: Block) -> bool:
+    """Whether a block lies next to a list, in the same element or on its next level."""
+    return block.node is items.parent or block.node.parent is items.parent
+
+
 def extract(page: str, weights: np.ndarray) -> list[str]:
-    """The content blocks of a page, in order."""
+    """The content blocks of a page, in order.
+
+    The short items of a list or table, such as those of a recipe, have the shape of all of them together, and go together.
+    """
     found = blocks(page)
     if not found:
         return []
     unmarked = UNMARKED if not any(b.node.known > 0 for b in found) else 0.0
     evidence = [b.node.evidence + unmarked * (b.node.known == 0) for b in found]
+    lists = short_lists(found)
+    ties = edges(found)
+    together: dict[int, Block] = {}
+    for x, y in lists:
+        whole = Block(" ".join(b.text for b in found[x:y]), found[x].node, sum(b.linked for b in found[x:y]))
+        together |= dict.fromkeys(range(x, y), whole)
+        ties += [(i, i + 1, TIED) for i in range(x, y - 1)]
+        items = found[x].node.items
+        ties += [(i, i + 1, BESIDE) for i, j in ((x - 1, x - 1), (y - 1, y)) if 0 <= j < len(found) and _beside(items, found[j])]
     # Shape is looked at only where it and all ties of a block could change its label.
+    shapes: dict[int, float] = {}
     for i, block in enumerate(found):
-        if abs(evidence[i]) <= MOST_SHAPE + 2 * (FOLLOW + SIBLING):
-            evidence[i] += min(MOST_SHAPE, max(-MOST_SHAPE, float(np.dot(shape(block), weights))))
-    return [b.text for b, good in zip(found, minimum_cut(evidence, edges(found)), strict=True) if good]
+        if i in together or abs(evidence[i]) <= MOST_SHAPE + 2 * (FOLLOW + SIBLING):
+            looked = together.get(i, block)
+            if id(looked) not in shapes:
+                shapes[id(looked)] = min(MOST_SHAPE, max(-MOST_SHAPE, float(np.dot(shape(looked), weights))))
+            evidence[i] += shapes[id(looked)]
+    return [b.text for b, good in zip(found, minimum_cut(evidence, ties), strict=True) if good]
 
 
 def _taught(chunk: list[bytes]) -> dict[str, pa.Array]:

@@ -109,6 +109,40 @@ def test_article_in_layout_wrappers(wrapper):
         assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, (wrapper, opened)
 
 
+FILED = '''article class="post-12 post category-social-media"|article class="post category-legal tag-cookies"|article id="social-study"|article class="story--promo"
+article class="hentry tag-newsletter format-standard"|div class="post category-newsletter"|section class="topic-advertising"'''.replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("opened", FILED)
+def test_articles_filed_under_words_for_other_elements(opened):
+    closed = opened.split()[0]
+    for start, end in [("", ""), ("<main>", "</main>")]:
+        page = f"<body><nav><a href=a>A</a></nav>{start}<{opened}>{INNER}</{closed}>{end}{AROUND}</body>"
+        assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, (opened, start)
+
+
+def test_adverts_and_surroundings_of_an_article_stay_out():
+    other = "<p>This is a longer text of another kind, with commas, and it ends like prose does.</p>"
+    for name in ("post-comments", "post-footer", "story-related", "comments", "advert", "article-sidebar"):
+        page = f"<body><main><article class=post>{INNER}<div class='{name}'>{other}</div></article></main></body>"
+        assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, name
+    for name in ("promo", "post ad", "sponsored", "comment", "related-post"):
+        page = f"<body><main><article>{INNER}</article><article class='{name}'>{other}</article></main></body>"
+        assert pages.extract(page, pages.PLAIN_SHAPE) == STORY, name
+
+
+def test_short_items_cells_and_formulas_are_text():
+    lists = "<ul><li>Salt</li><li>Flour</li><li>Eggs</li></ul>"
+    cells = "<table><tr><td>Salt</td><td>2 g</td></tr><tr><td>Eggs</td><td>3</td></tr></table>"
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>Contact us</a></li><li><a href=c>Imprint</a></li></ul>"
+    found = pages.extract(f"<body><div>{menu}</div><div>{INNER}{lists}{INNER}{cells}</div><div>{menu}</div></body>", pages.PLAIN_SHAPE)
+    assert found == [*STORY, "Salt", "Flour", "Eggs", *STORY, "Salt", "2 g", "Eggs", "3"]
+    many = "".join(f"<li>thing {i}</li>" for i in range(500))
+    assert len(pages.extract(f"<body><div>{INNER}<ol>{many}</ol></div></body>", pages.PLAIN_SHAPE)) == 503
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math>"
+    assert pages.extract(f"<body><article><p>Let {formula} be.</p></article></body>", pages.PLAIN_SHAPE) == ["Let x=1 be."]
+
+
 def test_marked_elements_stay_out_of_the_text():
     side = "<p>This is a longer text of the side, with commas, and it ends like prose does.</p>"
     names = "sidebar sidebar-wrapper nav-wrap main-menu-container content-sidebar is-hidden comments-wrapper post-comments-wrap related-posts footer-content-wrap".split()
