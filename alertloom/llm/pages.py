@@ -114,7 +114,7 @@ def _is_mark(word: str, own: list[str]) -> bool:
         return HIDDEN.issuperset(own[:at]) and SCREENS.isdisjoint(own[at + 1 :])
     if own[-1] in STATES:
         return False
-    if own[0] in FILED and not (own[0] in ("post", "single", "story", "section") and len(own) == 2 and word in OWN_PLACES):
+    if own[0] in FILED and not (own[0] in ("post", "single", "story", "section") and own[1:2] == [word] and word in OWN_PLACES):
         return False
     if word in ("sidebar", "side"):
         after = own[own.index(word) + 1 :]
