@@ -32,8 +32,8 @@ from alertloom.llm.texts import release_memory, released, ship
 SEQUENCE = 2048
 GROUP = 16384
 END = 0  # id after each document
-KEPT_BYTES = 48 << 20  # of the words whose ids a worker keeps, and of the parts of words; the next one starts anew
-KEPT_LENGTH = 32  # characters of a word or part that is kept
+KEPT_BYTES = 112 << 20  # of the words whose ids a worker keeps, and of the parts of words; the next one starts anew
+KEPT_LENGTH = 100  # characters of a word or part that is kept
 ENTRY_BYTES = 250  # of a kept word besides its letters and ids
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
@@ -58,6 +58,7 @@ class WordIds(dict):
         self.letters = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(unprinted)}
         self.parts: dict[str, bytes] = {}
         self.words_bytes = self.parts_bytes = 0
+        self.most = KEPT_BYTES
 
     def _part(self, part: str) -> bytes:
         known = self.parts.get(part)
@@ -66,7 +67,7 @@ class WordIds(dict):
             known = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
             if len(part) <= KEPT_LENGTH:
                 self.parts_bytes += len(part) + len(known) + ENTRY_BYTES
-                if self.parts_bytes > KEPT_BYTES:
+                if self.parts_bytes > self.most:
                     self.parts.clear()
                     self.parts_bytes = 0
                 self.parts[part] = known
@@ -79,7 +80,7 @@ class WordIds(dict):
             made = b"".join(map(self._part, self.split(word.lower())))
         if len(word) <= KEPT_LENGTH:
             self.words_bytes += len(word) + len(made) + ENTRY_BYTES
-            if self.words_bytes > KEPT_BYTES:
+            if self.words_bytes > self.most:
                 self.clear()
                 self.words_bytes = 0
             self[word] = made
@@ -104,7 +105,7 @@ def word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and END, cut every `length` tokens.
 
     Null texts count as empty: they are END alone. Repeated rows give repeated pieces.
@@ -113,6 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(tokenizer)
+        ids.most = kept_bytes
         end = END.to_bytes(4, "little")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -310,13 +312,13 @@ def packed(parts: DataFrame, length: int = SEQUENCE, group: int = GROUP) -> Data
     return keyed.groupBy("_group").applyInArrow(pack, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, with_ids: bool = False, kept_bytes: int = KEPT_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of all documents (doc_id, text).
 
     A null or empty text is one piece with END alone; a null doc_id stays null; repeated rows are packed each for
-    itself; an empty table gives no rows. Other columns are ignored.
+    itself; an empty table gives no rows. Other columns are ignored. kept_bytes bounds a worker's table of words and that of parts.
     """
     from alertloom.session import durable
 
     # Written: the number of groups needs a count, and tokenizing is dear.
-    return packed(durable(pieces(docs, tokenizer, length, with_ids)), length)
+    return packed(durable(pieces(docs, tokenizer, length, with_ids, kept_bytes)), length)
