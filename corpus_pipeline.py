@@ -18,6 +18,7 @@ from alertloom.llm.texts import fold, learned_rows, small, table
 from alertloom.session import durable
 
 AT = 0.5
+WORD_TABLE = 48 << 20  # bytes of a packing worker's table of words: executors still hold what the stages before needed
 
 
 def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, list]:
@@ -78,7 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), kept_bytes=WORD_TABLE)
 
 
 STAGES = [
