@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from alertloom.functions.text import base_service
 from alertloom.functions.time import long_lit
@@ -75,65 +75,41 @@ def components(edges: DataFrame) -> DataFrame:
 def component_cells(
     alerts: DataFrame,
     vectors: DataFrame,
-    window_sec: float | None,
-    threshold: float | None,
+    window_sec: float,
+    threshold: float,
     cross_threshold: float | None = None,
-    settings: Sequence[tuple[int, float, float]] | None = None,
 ) -> DataFrame:
     """Cells (vec_id, bucket) of the alert graph with the component each belongs to.
 
-    `settings` runs several (setting, window_sec, threshold) at once, keyed by a
-    `setting` column. Alerts whose vector is zero or missing have no cell; they
-    are components of their own.
+    Alerts whose vector is zero or missing have no cell; they are components of their own.
     """
-    sweep = settings is not None
-    by = ["setting"] if sweep else []
-    if sweep:
-        grid = F.array(
-            *[F.struct(F.lit(s).alias("setting"), long_lit(linking.window_micros(w)).alias("window_us")) for s, w, _ in settings]
-        )
-        timed = alerts.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
-        loosest = min(t for _, _, t in settings)
-        setting_threshold = F.lit(None).cast("double")
-        for s, _, t in settings:
-            setting_threshold = F.when(F.col("setting") == s, float(t)).otherwise(setting_threshold)
-    else:
-        timed = alerts.withColumn("window_us", long_lit(linking.window_micros(window_sec)))
-        loosest = threshold
-    if not 0 < loosest <= 1:
+    if not 0 < threshold <= 1:
         raise ValueError("thresholds must be in (0, 1]")
-    if cross_threshold is not None and not loosest <= cross_threshold <= 1:
+    if cross_threshold is not None and not threshold <= cross_threshold <= 1:
         raise ValueError("need threshold <= cross_threshold <= 1")
 
     units = linkable(vectors)
-    narrow = timed.select(
-        *by, "alert_id", "ts_us", "vec_id", "window_us", base_service(F.col("service")).alias("base")
-    )
-    keys = [*by, "vec_id"]
+    timed = alerts.withColumn("window_us", long_lit(linking.window_micros(window_sec)))
+    narrow = timed.select("alert_id", "ts_us", "vec_id", "window_us", base_service(F.col("service")).alias("base"))
+    keys = ["vec_id"]
     chained = durable(
         linking.runs(linking.cells(narrow, keys).join(units.select("vec_id"), "vec_id", "left_semi"), keys)
     )
     heads = run_heads(chained, keys, "first_id")
-    least = setting_threshold if sweep else F.lit(float(loosest))
+    least = F.lit(float(threshold))
     placed = chained.join(heads.select(*keys, "run", "node"), [*keys, "run"])
     if cross_threshold is None:
-        edges = linking.cell_links(placed.withColumn("min_sim", least), units, by)
+        edges = linking.cell_links(placed.withColumn("min_sim", least), units, [])
     else:
         # A service's run lies inside one run of its vector, found by any bucket of it.
-        local_keys = [*by, "base", "vec_id"]
-        local = linking.cells(narrow, local_keys).join(placed.select(*keys, "bucket", "node"), [*keys, "bucket"])
-        any_service = linking.cell_links(placed.withColumn("min_sim", F.lit(float(cross_threshold))), units, by)
-        one_service = linking.cell_links(local.withColumn("min_sim", least), units, [*by, "base"])
+        local = linking.cells(narrow, ["base", "vec_id"]).join(placed.select(*keys, "bucket", "node"), [*keys, "bucket"])
+        any_service = linking.cell_links(placed.withColumn("min_sim", F.lit(float(cross_threshold))), units, [])
+        one_service = linking.cell_links(local.withColumn("min_sim", least), units, ["base"])
         edges = any_service.unionByName(one_service.drop("base"))
 
-    def named(node: str) -> Column:
-        return F.struct(*by, F.col(node).alias("id")) if sweep else F.col(node)
-
-    roots = components(edges.select(named("a").alias("a"), named("b").alias("b")))
-    labelled = heads.withColumn("node", named("node")).join(roots, "node", "left")
-    root = F.coalesce("root", "node")
-    labels = labelled.select(*keys, "run", (root["id"] if sweep else root).alias("component_id"))
-    return chained.join(labels, [*keys, "run"]).drop("run", "first_id")
+    roots = components(edges.select("a", "b"))
+    labelled = heads.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
+    return chained.join(labelled.select(*keys, "run", "component_id"), [*keys, "run"]).drop("run", "first_id")
 
 
 def run_heads(chained: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from alertloom import schema
 from alertloom.functions import text
-from alertloom.functions.time import clock, from_micros
+from alertloom.functions.time import bucket, clock, from_micros
 from alertloom.functions.vectors import dot, unit_vectors
 from alertloom.operators.ordering import ranked, top_per_group
 from alertloom.session import durable
@@ -177,6 +177,72 @@ def member_services(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("component_id").agg(F.array_sort(F.collect_set("service")).alias("services"))
 
 
+def run_summaries(alerts: DataFrame, cells: DataFrame) -> DataFrame:
+    """What incident heads need of each run of cells (window_us, vec_id, bucket, run), by severity.
+
+    (window_us, vec_id, run, rank, n, first_us, last_us, first, services): of alerts with one vector and severity, the
+    earliest scores best in whatever component the run falls, so `first` (ts_us, alert_id, severity, service) stands
+    for all of them. Alerts are combined map-side, once for each window.
+    """
+    windows = [r[0] for r in cells.select("window_us").distinct().collect()]  # as many as were asked for
+    grid = F.array(*[F.lit(w).cast("long") for w in sorted(windows)]).cast("array<bigint>")
+    timed = alerts.withColumn("window_us", F.explode(grid))
+    rank = text.severity_rank(F.col("severity"))
+    keys = ["window_us", "vec_id"]
+    by_cell = (
+        timed.groupBy(*keys, bucket(F.col("ts_us"), F.col("window_us")).alias("bucket"), rank.alias("rank"))
+        .agg(
+            F.count("*").alias("n"),
+            F.min("ts_us").alias("first_us"),
+            F.max("ts_us").alias("last_us"),
+            F.min(F.struct("ts_us", "alert_id", "severity", "service")).alias("first"),
+            F.collect_set("service").alias("services"),
+        )
+        .join(cells.select(*keys, "bucket", "run"), [*keys, "bucket"])
+    )
+    return by_cell.groupBy(*keys, "run", "rank").agg(
+        F.sum("n").alias("n"),
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        F.min("first").alias("first"),
+        F.array_distinct(F.flatten(F.collect_set("services"))).alias("services"),
+    )
+
+
+def run_heads(runs: DataFrame, figures: DataFrame) -> DataFrame:
+    """(component_id, start_us, end_us, member_count, root_service, services) from labelled `run_summaries`."""
+    seconds = (F.col("first.ts_us") - F.col("start_us")) / 1e6
+    score = candidate_score(F.col("first.severity"), seconds, F.col("cohesion"))
+    order = F.struct((-F.round(score, 9)).alias("score"), F.col("first.ts_us"), F.col("first.alert_id"), F.col("first.service"))
+    heads = (
+        runs.select("component_id", "vec_id", "first")
+        .join(figures, ["component_id", "vec_id"])
+        .groupBy("component_id")
+        .agg(
+            F.first("start_us").alias("start_us"),
+            F.first("end_us").alias("end_us"),
+            F.first("members").alias("member_count"),
+            F.min(order)["service"].alias("root_service"),
+        )
+    )
+    services = runs.select("component_id", F.explode("services").alias("service"))
+    return heads.join(member_services(services), "component_id", "left").withColumn(
+        "services", F.coalesce("services", F.array().cast("array<string>"))
+    )
+
+
+def lone_heads(alerts: DataFrame) -> DataFrame:
+    """As run_heads, for alerts (setting, ...) that are incidents of their own."""
+    return alerts.select(
+        F.struct("setting", F.col("alert_id").alias("component_id")).alias("component_id"),
+        F.col("ts_us").alias("start_us"),
+        F.col("ts_us").alias("end_us"),
+        F.lit(1).cast("long").alias("member_count"),
+        F.col("service").alias("root_service"),
+        F.array_compact(F.array("service")).alias("services"),
+    )
+
+
 def timeline(members: DataFrame, roots: DataFrame, k: int = schema.TIMELINE_ROWS) -> DataFrame:
     """The latest k alerts of each incident, latest first."""
     latest = top_per_group(members, "component_id", [F.desc("ts_us"), F.col("alert_id")], k, "row")

@@ -169,18 +169,30 @@ def _sides():
     return sides
 
 
-def _spanning_edges():
+def _linked():
     sides = _sides()
 
-    def link(rows: dict) -> list[np.ndarray]:
+    def linked(rows: dict) -> tuple[np.ndarray, ...] | None:
+        """The similarities of two blocks, which of them link, the nodes, and those of either side by number."""
         left, right, sims = sides(rows)
         if not sims.size:
-            return [np.zeros(0, np.int64)] * 2
+            return None
         gaps = rows["first_us"][right][None, :] - rows["last_us"][left][:, None]
         near = (rows["ahead"][right] == 0)[None, :] | (gaps <= rows["window_us"][0])
-        linked = near & (sims >= rows["min_sim"][0])
         nodes, at = np.unique(np.concatenate([rows["node"][left], rows["node"][right]]), return_inverse=True)
-        a, b = at[: len(left)], at[len(left) :]
+        return sims, near & (sims >= rows["min_sim"][0]), nodes, at[: len(left)], at[len(left) :]
+
+    return linked
+
+
+def _spanning_edges():
+    linked_cells = _linked()
+
+    def link(rows: dict) -> list[np.ndarray]:
+        found = linked_cells(rows)
+        if found is None:
+            return [np.zeros(0, np.int64)] * 2
+        _, linked, nodes, a, b = found
         label = np.arange(len(nodes))
         while True:
             lower = label.copy()
@@ -196,6 +208,46 @@ def _spanning_edges():
     return link
 
 
+def _strongest_edges():
+    linked_cells = _linked()
+
+    def link(rows: dict) -> list[np.ndarray]:
+        """A maximum spanning forest of the links of two blocks, by Boruvka's rounds over their matrix."""
+        found = linked_cells(rows)
+        none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if found is None:
+            return none
+        sims, linked, nodes, a, b = found
+        weight = np.where(linked, sims, -np.inf)
+        label, chosen = np.arange(len(nodes)), []
+        while True:
+            outside = np.where(label[a][:, None] != label[b][None, :], weight, -np.inf)
+            # Places in the matrix order equal weights, so that no picks make a ring.
+            place = np.concatenate([np.arange(len(a)) * len(b) + outside.argmax(axis=1), outside.argmax(axis=0) * len(b) + np.arange(len(b))])
+            owner, best = label[np.concatenate([a, b])], outside.ravel()[place]
+            real = best > -np.inf
+            place, owner, best = place[real], owner[real], best[real]
+            if not len(place):
+                break
+            order = np.lexsort((place, -best, owner))
+            picked = np.unique(place[order][np.flatnonzero(np.diff(owner[order], prepend=-1))])
+            chosen.append(picked)
+            x, y = label[a[picked // len(b)]], label[b[picked % len(b)]]
+            root = np.arange(len(nodes))
+            while (root[x] != root[y]).any():
+                lower, low = root.copy(), np.minimum(root[x], root[y])
+                np.minimum.at(lower, x, low)
+                np.minimum.at(lower, y, low)
+                root = lower[lower]
+            label = root[label]
+        if not chosen:
+            return none
+        at = np.concatenate(chosen)
+        return [nodes[a[at // len(b)]], nodes[b[at % len(b)]], sims.ravel()[at]]
+
+    return link
+
+
 def cell_links(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
     """Edges (by..., a, b) between the nodes of linked cells: of each pair of blocks, a spanning forest.
 
@@ -206,6 +258,16 @@ def cell_links(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> Data
     return _compare(cells_, vectors, by, _spanning_edges(), ["a", "b"], columns)
 
 
+def cell_forest(cells_: DataFrame, vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    """As cell_links, but of each pair of blocks a maximum spanning forest, (by..., a, b, sim).
+
+    Whatever links at a threshold of min_sim or more is connected by edges of that similarity here.
+    """
+    kinds = dict(cells_.dtypes)
+    columns = ", ".join([*[f"{k} {kinds[k]}" for k in by], "a long", "b long", "sim double"])
+    return _compare(cells_, vectors, by, _strongest_edges(), ["a", "b", "sim"], columns)
+
+
 def cell_pairs(cells_: DataFrame, vectors: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """(by..., vec_id, bucket, vec_b, sim): other vectors similar to a cell's, with a cell in its bucket or the next."""
     sides = _sides()

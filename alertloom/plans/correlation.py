@@ -8,9 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom import schema
-from alertloom.functions.time import long_lit
-from alertloom.operators import alerts as A, components as C, embedding, evaluation, incidents as I, segments
-from alertloom.operators.linking import window_micros, with_bucket
+from alertloom.functions.vectors import linkable
+from alertloom.operators import alerts as A, components as C, embedding, evaluation, forest, incidents as I, segments
 from alertloom.session import durable
 
 
@@ -78,29 +77,21 @@ def parameter_sweep(
     settings: Sequence[tuple[int, float, float]],
     tolerance_sec: float = schema.FAULT_TOLERANCE_SEC,
 ) -> DataFrame:
-    """Noise reduction and accuracy of each (setting, window_sec, threshold), in one run."""
-    cells = C.component_cells(alerts, vectors, None, None, settings=settings)
-    # (setting, id) names a component, so that everything after this is as for one setting.
-    named = cells.withColumn("component_id", F.struct("setting", "component_id"))
+    """Noise reduction and accuracy of each (setting, window_sec, threshold), in one run.
+
+    Alerts are grouped once for each window; a setting is a cut of the window's forest (`operators/forest.py`), and
+    what follows works on runs. Only alerts without a usable vector, incidents of their own, have a row for each setting.
+    """
+    whole = forest.window_forest(alerts, vectors, settings)
+    summaries = durable(I.run_summaries(alerts, whole.cells))
+    labels = forest.cut(whole, settings).withColumn("component_id", F.struct("setting", "component_id"))
+    named = durable(labels.join(summaries, ["window_us", "vec_id", "run"]))
     figures = I.group_figures(named, vectors)
-    grid = F.array(
-        *[F.struct(F.lit(s).alias("setting"), long_lit(window_micros(w)).alias("window_us")) for s, w, _ in settings]
-    )
-    spread = alerts.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
-    keys = ["setting", "vec_id", "bucket"]
-    found = named.join(figures, ["component_id", "vec_id"]).select(*keys, "component_id", *I.GROUP_COLUMNS)
-    labelled = (
-        with_bucket(spread, F.col("window_us"))
-        .join(found, keys, "left")
-        .withColumn(
-            "component_id", F.coalesce("component_id", F.struct("setting", F.col("alert_id").alias("component_id")))
-        )
-    )
-    members = durable(I.score_members(labelled, vectors))
+    every = F.array(*[F.lit(s) for s, _, _ in settings])
+    alone = alerts.join(linkable(vectors).select("vec_id"), "vec_id", "left_anti")
+    heads = I.run_heads(named, figures).unionByName(I.lone_heads(alone.withColumn("setting", F.explode(every))))
     incidents = durable(
-        I.incident_heads(members)
-        .join(I.member_services(members), "component_id")
-        .withColumns(
+        heads.withColumns(
             {
                 "setting": F.col("component_id.setting"),
                 "incident_no": F.struct("start_us", "component_id"),
@@ -108,7 +99,7 @@ def parameter_sweep(
             }
         )
     )
-    asked = faults.withColumn("setting", F.explode(F.array(*[F.lit(s) for s, _, _ in settings])))
+    asked = faults.withColumn("setting", F.explode(every))
     matched = evaluation.fault_match(asked, incidents, tolerance_sec, by=["setting"])
     accuracy = matched.groupBy("setting").agg(*evaluation.counters())
     sizes = incidents.groupBy("setting").agg(

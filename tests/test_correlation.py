@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alertloom.operators import components as C, embedding, incidents as I, linking, segments
+from alertloom.operators import components as C, embedding, evaluation, forest, incidents as I, linking, segments
 from alertloom.plans import correlation
 from helpers import SECOND, alert_rows, alerts_df, brute_edges, similarity, union_find, vector_rows, vectors_df
 
@@ -84,7 +84,7 @@ def test_small_blocks_with_services_and_settings(spark, crowded):
     got = {r.alert_id: r.component_id for r in C.connected_components(alerts, vectors, 60, 0.1, 0.6).collect()}
     assert got == union_find(ids, [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 60, 0.1, cross=0.6)])
     settings = [(0, 30, 0.2), (1, 300, 0.7)]
-    cells = C.component_cells(alerts, vectors, None, None, settings=settings)
+    cells = forest.setting_cells(alerts, vectors, settings)
     for s, window, threshold in settings:
         one = cells.where(F.col("setting") == s)
         got = {r.alert_id: r.component_id for r in C.label_alerts(alerts, one, window).collect()}
@@ -163,7 +163,7 @@ def test_components_of_long_paths_and_stars(spark):
 def test_settings_run_together(spark):
     rows, vecs, alerts, vectors = tables(spark, 7)
     settings = [(0, 30, 0.2), (1, 30, 0.8), (2, 300, 0.2)]
-    cells = C.component_cells(alerts, vectors, None, None, settings=settings)
+    cells = forest.setting_cells(alerts, vectors, settings)
     for s, window, threshold in settings:
         one = cells.where(F.col("setting") == s)
         got = {r.alert_id: r.component_id for r in C.label_alerts(alerts, one, window).collect()}
@@ -171,6 +171,79 @@ def test_settings_run_together(spark):
         assert got == union_find([r[0] for r in rows], edges)
 
 
+def kruskal(edges):
+    """Weights of a maximum spanning forest, strongest first."""
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    kept = []
+    for a, b, w in sorted(edges, key=lambda e: -e[2]):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            kept.append(w)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_maximum_forest(spark, seed):
+    """Rings, loops, parallel edges and many equal weights."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.randrange(5) / 5) for _ in range(200)]
+    edges += [(100 + i, 100 + (i + 1) % 40, 0.5) for i in range(40)] + [(200 + i, 201 + i, 0.9 + i / 1000) for i in range(30)]
+    got = forest.maximum_forest(spark.createDataFrame(edges, "a long, b long, w double")).collect()
+    assert sorted(r.w for r in got) == sorted(kruskal(edges))
+    assert {(r.a, r.b, r.w) for r in got} <= set(edges)
+    for t in (0.2, 0.5, 0.91):
+        assert union_find({n for e in edges for n in e[:2]}, [(r.a, r.b) for r in got if r.w >= t]) == union_find(
+            {n for e in edges for n in e[:2]}, [(a, b) for a, b, w in edges if w >= t]
+        )
+
+
+def test_maximum_forest_of_nothing(spark):
+    empty = spark.createDataFrame([], "a long, b long, w double")
+    assert forest.maximum_forest(empty).collect() == []
+    assert forest.maximum_forest(spark.createDataFrame([(1, 1, 0.5)], empty.schema)).collect() == []
+
+
+def test_twenty_thresholds_are_cuts_of_one_comparison(spark, crowded, monkeypatch):
+    rows, vecs, alerts, vectors = tables(spark, 6)
+    calls, compare = [], linking._compare
+    monkeypatch.setattr(linking, "_compare", lambda *args: calls.append(1) or compare(*args))
+    settings = [(s, 60, (s + 1) / 20) for s in range(20)]
+    whole = forest.window_forest(alerts, vectors, settings)
+    runs = whole.heads.count()
+    assert len(calls) == 1 and whole.edges.count() < runs
+    cells = whole.cells.join(forest.cut(whole, settings), ["window_us", "vec_id", "run"]).toPandas()
+    bucketed = [(r[0], r[5], r[1] // (60 * SECOND)) for r in rows]
+    for s, window, threshold in settings:
+        one = cells[cells.setting == s]
+        label = {(v, b): c for v, b, c in zip(one.vec_id, one.bucket, one.component_id, strict=True)}
+        expected = union_find([r[0] for r in rows], [(a, b) for a, b, _, _ in brute_edges(rows, vecs, window, threshold)])
+        assert {i: label.get((v, b), i) for i, v, b in bucketed} == expected
+
+
+def test_sweep_equals_a_run_for_each_setting(spark):
+    rows, vecs, alerts, vectors = tables(spark, 9)
+    alerts = alerts.withColumn("vec_id", F.expr("if(alert_id % 11 = 0, 9999, vec_id)"))  # some have no vector
+    settings = [(0, 30, 0.2), (1, 300, 0.7), (2, 300, 0.2)]
+    first = min(r[1] for r in rows)
+    faults = spark.createDataFrame([(i, first + i * 90 * SECOND, f"s-{i % 4}") for i in range(12)], "fault_id long, ts_us long, cmdb_id string")
+    got = {r.setting: r for r in correlation.parameter_sweep(alerts, vectors, faults, settings, 60).collect()}
+    for s, window, threshold in settings:
+        one = correlation.correlate(alerts, vectors, window_sec=window, threshold=threshold)
+        services = I.member_services(one.members)
+        incidents = one.incidents.join(services, "component_id").withColumn("incident_no", F.struct("start_us", "component_id"))
+        counts = evaluation.fault_match(faults, incidents, 60).agg(*evaluation.counters()).first()
+        share = lambda a, b: round(100.0 * a / b, 1) if b else 0.0
+        assert (got[s].alerts, got[s].incidents) == (len(rows), one.incidents.count())
+        assert got[s].detection_rate == pytest.approx(share(counts.detected, counts.total), abs=0.051)
+        assert got[s].root_cause_accuracy == pytest.approx(share(counts.root_localized, counts.detected), abs=0.051)
+
+
 @pytest.mark.parametrize("gap,span", [(20, 100), (50, 60), (10, 5)])
 def test_segments_respect_their_bounds(spark, gap, span):
     rows, vecs, alerts, vectors = tables(spark, 8)
