@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm import texts as T
+from alertloom.llm.texts import small
 from alertloom.operators.components import components
 from alertloom.session import durable
 
@@ -427,3 +428,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without near-duplicates, with all their columns as they are.
+
+    Of each component the document with the smallest doc_id stays, of one doc_id the longest text. Where a doc_id
+    stands for several texts, each is a document of its own; equal rows of such an id are one. Rows without doc_id stay.
+    """
+    columns = docs.columns
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    several = durable(ids.where("n > 1").select("doc_id"))
+    if several.isEmpty():
+        gone = durable(near_duplicates(docs, percent).where("not kept").select("doc_id"))
+        return docs.join(small(gone), "doc_id", "left_anti").select(*columns)
+    single = docs.join(small(several), "doc_id", "left_anti")
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    # Numbers that no doc_id has stand for the texts; the ids decide below which of them is kept.
+    number = F.monotonically_increasing_id()
+    number = high + 1 + number if high < 2**62 else low - 1 - number
+    several_texts = docs.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    texts = durable(several_texts.select(F.struct(*columns).alias("row"), "doc_id", "text", number.alias("node")))
+    nodes = single.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(texts.select(F.col("node").alias("doc_id"), "text"))
+    found = near_duplicates(nodes, percent).where("doc_id is not null")
+    found = durable(found.select(F.col("doc_id").alias("node"), "component_id", "kept"))
+    real = durable(texts.select("node", F.col("doc_id").cast("long").alias("real"), (-F.coalesce(F.length("text"), F.lit(0))).alias("size")))
+    known = found.join(small(real), "node", "left")
+    met = durable(known.where("real is not null").select("component_id").distinct())
+    own = known.join(small(met), "component_id", "left_semi")
+    rank = F.struct(F.coalesce("real", "node").alias("id"), F.coalesce("size", F.lit(0)).alias("size"), "node")
+    first = own.groupBy("component_id").agg(F.min(rank)["node"].alias("first"))
+    later = own.join(first, "component_id").where("node <> first").select("node")
+    gone = durable(found.join(small(met), "component_id", "left_anti").where("not kept").select("node").unionByName(later))
+    kept = single.join(small(gone.withColumnRenamed("node", "doc_id")), "doc_id", "left_anti").select(*columns)
+    return kept.unionByName(texts.join(small(gone), "node", "left_anti").select("row.*").select(*columns))

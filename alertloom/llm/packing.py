@@ -284,11 +284,15 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray
 
 
 def packed(parts: DataFrame, length: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, length, ...); lengths must be 1 to `length`."""
+    """Add sequence_id and offset to stored pieces (doc_id, piece, length, ...); lengths must be 1 to `length`.
+
+    Pieces are dealt to groups by a hash with their place in the stored table, so repeated rows are spread like others.
+    """
     ship(parts.sparkSession)
     rows = parts.count()
     groups = max(1, -(-rows // group))
-    keyed = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)))
+    salted = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    keyed = parts.withColumn("_group", F.pmod(salted, F.lit(groups)))
 
     def pack(data: pa.Table) -> pa.Table:
         number = data["_group"][0].as_py()

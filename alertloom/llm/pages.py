@@ -24,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm import texts as T
+from alertloom.session import durable
 
 SAMPLE = 500
+SAMPLE_ITEMS = 16 << 20  # 8 bytes each
 FOLLOW, SIBLING = 0.6, 0.5  # smoothness of consecutive blocks, and of consecutive ones with one parent
 TIED, BESIDE = 4.0, 1.0  # smoothness inside a list of short items, and of its ends and the blocks beside it
 ITEM_WORDS, ITEM_LINKS = 12, 0.3  # most words of a short item, and the most that is linked of a list that is no menu
@@ -437,10 +439,16 @@ def _taught(chunk: list[bytes]) -> dict[str, pa.Array]:
 
 
 def fit(pages: DataFrame, most: int = SAMPLE) -> np.ndarray:
-    """Weights of shape, from the blocks that semantic elements label on the sampled pages."""
+    """Weights of shape, from the blocks that semantic elements label on the sampled pages.
+
+    Of a page_id with several rows the sample has the first html in order; the driver gets at most SAMPLE_ITEMS numbers.
+    """
     ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(most)
     rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi")  # at most `most` ids
-    got = T.over_texts(rows, "html", _taught, "rows array<double>", []).toArrow()
+    rows = rows.groupBy("page_id").agg(F.min("html").alias("html"))
+    taught = T.over_texts(rows, "html", _taught, "rows array<double>", ["page_id"])
+    taught = durable(taught.withColumn("_items", F.size("rows")))
+    got = T.within(taught, "page_id", "_items", SAMPLE_ITEMS).toArrow()
     width = len(PLAIN_SHAPE) + 1
     data = np.asarray(pa.chunked_array(got["rows"]).combine_chunks().flatten()).reshape(-1, width) if len(got) else np.zeros((0, width))
     data = data[np.lexsort(data.T[::-1])]

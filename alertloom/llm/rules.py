@@ -7,7 +7,8 @@ twice or more. A text fails the base rules with too few words or too many repeat
 The model is a logistic regression over the relative frequencies of hashed words, word pairs and byte four-grams,
 trained on documents with quality labels and calibrated by Platt's sigmoid on a fifth of them that training leaves
 out. It scores Arrow batches; a text is kept at a calibrated probability of KEEP or more. Training reads at most
-SAMPLE documents of each label, the first by a hash of the id; the driver gets their hashed counts.
+SAMPLE documents of each label, the first by a hash of the id and one row of each id; the driver gets their hashed
+counts, of at most SAMPLE_COUNTS buckets together.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from alertloom.llm import texts as T
 from alertloom.llm.toxicity import sample
+from alertloom.session import durable
 
 SAMPLE = 1500
+SAMPLE_COUNTS = 32 << 20  # 8 bytes each
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
 KEEP = 0.5
@@ -181,7 +184,9 @@ def _platt(z: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """A model of docs (doc_id, text) by labels (doc_id, y); without both labels, it keeps every text."""
     rows, held = sample(docs.select(docs["doc_id"], docs["text"]), labels, most)
-    got = T.over_texts(rows, "text", _counted, "keys array<int>, shares array<float>", ["doc_id", "y"]).toArrow()
+    counted = T.over_texts(rows, "text", _counted, "keys array<int>, shares array<float>", ["doc_id", "y"])
+    counted = durable(counted.withColumn("_items", F.size("keys")))
+    got = T.within(counted, "doc_id", "_items", SAMPLE_COUNTS).toArrow()
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
     y = got["y"].to_numpy().astype(np.int64)
     if len(np.unique(y)) < 2:

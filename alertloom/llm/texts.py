@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -184,6 +184,18 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
+def within(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Of a stored sample, with one row for each key, the first rows by a hash of it whose sizes sum up to `most`.
+
+    Rows of more than an eighth of that are left out, so that one of them does not stand for the sample.
+
+    What they are summed from is (key, size) alone, as many rows as the sample's own bound in documents allows.
+    """
+    upto = F.sum(F.coalesce(size, F.lit(0)).cast("long")).over(W.orderBy(F.xxhash64(key), key))
+    sizes = rows.where(F.coalesce(size, F.lit(0)) <= most // 8).select(key, size).withColumn("_upto", upto)
+    return rows.join(sizes.where(F.col("_upto") <= most).select(key), key, "left_semi")
+
+
 def learned_rows(labels: DataFrame, label: str) -> DataFrame:
     """(doc_id, y) with one 0/1 label per document; null ids and labels are left out, conflicting ones count as 1."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))

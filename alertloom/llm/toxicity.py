@@ -6,7 +6,8 @@ document labels only, and the same sentence scores then say where the offence is
 
 Sentences end at `.`, `!`, `?` or a line feed; words are runs of ASCII letters, digits and non-ASCII bytes, A-Z
 lower-cased. Fitting reads a sample of at most SAMPLE documents of each label, the first by a hash of the id; its
-driver sees counts by hashed word, and of the documents only their telling words.
+driver sees counts by hashed word, and of the documents only their telling words, of at most SAMPLE_ITEMS words and
+sentences together. Of several rows of one id the sample has one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from alertloom.llm import texts as T
 from alertloom.session import durable
 
 SAMPLE = 4000
+SAMPLE_ITEMS = 64 << 20  # 4 bytes each
 BUCKETS = 1 << 18
 EPOCHS, RATE = 200, 0.1
 L1 = 0.3  # a bucket gets a weight only if it would explain more than so many toxic documents
@@ -126,10 +128,14 @@ def _counted(code: np.ndarray):
 
 
 def sample(docs: DataFrame, labelled: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """(rows of docs with y: at most `most` documents of each label of labelled (doc_id, y), how many each label has)."""
+    """(doc_id, y, text of at most `most` documents of each label of labelled (doc_id, y), how many each label has).
+
+    Of an id with several rows, the first text in order.
+    """
     counts = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [labelled.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
-    return docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), counts  # at most 2 * most narrow rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")  # at most 2 * most narrow rows
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), counts
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
@@ -141,13 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     held, hits = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     held[seen["bucket"].to_numpy()], hits[seen["bucket"].to_numpy()] = seen["held"].to_numpy(), seen["hits"].to_numpy()
     of = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not of.get(1):
+    if not of.get(1):  # none of them is in docs
         return Model(np.zeros(BUCKETS, np.float32), -30.0)
     known = telling(held, hits, sum(of.values()), of[1])
     code = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)
-    got = T.over_texts(rows, "text", _counted(code), "words array<int>, sizes array<int>", ["doc_id", "y"]).toArrow()
+    counted = T.over_texts(rows, "text", _counted(code), "words array<int>, sizes array<int>", ["doc_id", "y"])
+    counted = durable(counted.withColumn("_items", F.size("words") + F.size("sizes")))
+    got = T.within(counted, "doc_id", "_items", SAMPLE_ITEMS).toArrow()
     got = got.take(pa.array(np.argsort(got["doc_id"].to_numpy(), kind="stable"))).combine_chunks()
     y = got["y"].to_numpy().astype(np.int64)
+    if not (y == 1).any():
+        return Model(np.zeros(BUCKETS, np.float32), -30.0)
+    of = {c: int((y == c).sum()) for c in (0, 1)}
     flat = lambda name: np.asarray(pa.chunked_array(got[name]).combine_chunks().flatten())
     first_word = np.concatenate([[0], np.cumsum(flat("sizes"))])
     first_sentence = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(got["sizes"])).astype(np.int64))])

@@ -112,3 +112,15 @@ def test_search_on_small_tables_ends_without_a_step_left():
         after = packing.local_search(sizes, packing.best_fit(sizes, 30), 30)
         fill = np.bincount(after, sizes)
         assert fill.max() <= 30 and ((fill > 0).sum() == -(-sizes.sum() // 30) or not steps_left(sizes, after, 30))
+
+
+def test_repeated_rows_are_spread_over_groups(spark, tmp_path):
+    """A hot row - without id, or one id many times - does not fill one group."""
+    docs = spark.createDataFrame([(None, "the same text")] * 2000 + [(7, "one more text")] * 1000, "doc_id long, text string")
+    packing.pieces(docs, tokenizer_path()).write.parquet(str(tmp_path / "pieces"))
+    got = packing.packed(spark.read.parquet(str(tmp_path / "pieces")), group=100).collect()
+    assert len(got) == 3000
+    groups = defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 32] += 1
+    assert len(groups) == 30 and max(groups.values()) < 200

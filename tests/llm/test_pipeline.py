@@ -76,8 +76,9 @@ def test_texts_of_one_id_are_judged_one_by_one(spark):
         (7, words(5)), (7, words(6) + " more"), (9, near(words(5))), (3, near(words(6))),  # copies of one in greater and smaller ids
         (8, words(7)), (8, near(words(7)) + " longer text"), (10, None), (10, words(8)), (11, words(9)), (None, words(9)),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "node": F.lit(7), "first": F.lit("own"), "_node_": F.lit(1)})
     got = pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert got[0].asDict().keys() == set(docs.columns) and {(r.node, r.first, r["_node_"]) for r in got} == {(7, "own", 1)}
     gone = [rows[1], rows[5], rows[7], rows[8], rows[10]]
     left = list(rows)
     for r in gone:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.llm import language, quality, rules, toxicity
-from alertloom.llm.texts import fold, learned_rows
+from alertloom.llm.texts import fold, learned_rows, within
 
 EDGES = [None, "", " \n\t", "a", "É", "123 !!!", "日本語", "the words " * 30000, "x" * 200000]
 
@@ -189,3 +189,17 @@ def test_languages(spark, corpus):
     assert all(r.lang_pred == r.lang for r in got if r.doc_id is None or r.doc_id < 1000)
     edge = {r.text: r.lang_pred for r in got if r.doc_id is not None and 1000 <= r.doc_id < 2000}
     assert all(edge[t] == "und" for t in (None, "", " \n\t", "123 !!!")) and all(edge[t] != "und" for t in ("a", "É", "日本語"))
+
+
+def test_samples_have_one_row_of_an_id_and_are_bounded(spark, corpus):
+    docs, known, _ = corpus
+    many = docs.where("doc_id in (3, 4, 9)").select("doc_id", "text").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    many = many.select("doc_id", F.concat("text", F.lit(" "), F.col("n").cast("string")).alias("text"))
+    labels = learned_rows(known, "quality").where("doc_id in (3, 4, 9, 11)")
+    rows, _ = toxicity.sample(many, labels, 10)
+    assert sorted(r.doc_id for r in rows.collect()) == [3, 4, 9]
+    assert {r.doc_id: r.text for r in rows.collect()} == {r.doc_id: r.text for r in many.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    sized = spark.createDataFrame([(i, 1000 if i == 5 else 10) for i in range(100)], "doc_id long, size long")
+    got = within(sized, "doc_id", "size", 200).collect()
+    assert len(got) == 20 and 5 not in {r.doc_id for r in got}
+    assert within(sized.where("false"), "doc_id", "size", 200).collect() == []
