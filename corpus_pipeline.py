@@ -43,33 +43,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest doc_id, of one doc_id the longest.
-
-    Where a doc_id stands for several texts, each is a document of its own; equal rows are one.
-    """
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    several = durable(ids.where("n > 1").select("doc_id"))
-    if several.isEmpty():
-        gone = durable(neardup.near_duplicates(docs).where("not kept").select("doc_id"))
-        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    single = docs.join(small(several), "doc_id", "left_anti")
-    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
-    # Numbers that no doc_id has stand for the texts; the ids decide below which of them is kept.
-    number = F.monotonically_increasing_id()
-    number = high + 1 + number if high < 2**62 else low - 1 - number
-    texts = durable(docs.join(small(several), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_node_", number))
-    nodes = single.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(texts.select(F.col("_node_").alias("doc_id"), "text"))
-    found = durable(neardup.near_duplicates(nodes).where("doc_id is not null").select(F.col("doc_id").alias("_node_"), "component_id", "kept"))
-    real = durable(texts.select("_node_", F.col("doc_id").cast("long").alias("_real_"), (-F.coalesce(F.length("text"), F.lit(0))).alias("_size_")))
-    known = found.join(small(real), "_node_", "left")
-    met = durable(known.where("_real_ is not null").select("component_id").distinct())
-    own = known.join(small(met), "component_id", "left_semi")
-    rank = F.struct(F.coalesce("_real_", "_node_").alias("id"), F.coalesce("_size_", F.lit(0)).alias("size"), "_node_")
-    first = own.groupBy("component_id").agg(F.min(rank)["_node_"].alias("_first_"))
-    later = own.join(first, "component_id").where("_node_ <> _first_").select("_node_")
-    gone = durable(found.join(small(met), "component_id", "left_anti").where("not kept").select("_node_").unionByName(later))
-    kept = single.join(small(gone.withColumnRenamed("_node_", "doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    return kept.unionByName(texts.join(small(gone), "_node_", "left_anti").select(*docs.columns))
+    """One document of each component of near-duplicates: the one with the smallest doc_id, of one doc_id the longest text."""
+    return neardup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
