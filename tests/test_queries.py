@@ -72,3 +72,9 @@ def test_segmented_members_scan_the_events_once(spark):
     assert text.count("FileScan") == 1  # stored members
     narrow = plan(registry.correlation.scored_members(registry.fx.correlated_alerts(spark, SF), registry.fx.vectors(spark, SF), 7200, 0.3, max_span_sec=3600))
     assert narrow.count("events.parquet") == 1
+
+
+def test_capped_lines_holds_every_line(spark, duck):
+    read = entry.queries()["capped_lines"](spark, SF)
+    assert compare(read, duck, entry.oracle_sql()["parse_hdfs_lines"]) is None
+    assert entry.oracle_sql()["capped_lines"] == entry.oracle_sql()["parse_hdfs_lines"]
