@@ -60,22 +60,24 @@ def maximum_forest(edges: DataFrame) -> DataFrame:
 
 
 def window_forest(alerts: DataFrame, vectors: DataFrame, settings: Sequence[Setting]) -> Forest:
-    """The forest of each window of the settings, down to the loosest threshold that it is asked for."""
+    """The forest of each window of the settings, at the thresholds that it is asked for; `sim` is the highest that a link reaches."""
     if not settings or not all(0 < t <= 1 for _, _, t in settings):
         raise ValueError("thresholds must be in (0, 1]")
-    loosest: dict[int, float] = {}
+    levels: dict[int, set[float]] = {}
     for _, window, t in settings:
-        us = linking.window_micros(window)
-        loosest[us] = min(t, loosest.get(us, 1.0))
-    grid = F.array(*[F.struct(long_lit(us).alias("window_us"), F.lit(float(t)).alias("min_sim")) for us, t in sorted(loosest.items())])
+        levels.setdefault(linking.window_micros(window), set()).add(float(t))
+    grid = F.array(
+        *[F.struct(long_lit(us).alias("window_us"), F.array(*map(F.lit, sorted(ts))).alias("min_sims")) for us, ts in sorted(levels.items())]
+    )
+    windows = F.array(*[F.struct(long_lit(us).alias("window_us")) for us in sorted(levels)])
     units = linkable(vectors)
-    timed = alerts.select("alert_id", "ts_us", "vec_id", F.inline(grid)).withColumn("window", F.col("window_us"))
+    timed = alerts.select("alert_id", "ts_us", "vec_id", F.inline(windows)).withColumn("window", F.col("window_us"))
     keys = ["window", "vec_id"]
     cells = linking.cells(timed, keys).join(units.select("vec_id"), "vec_id", "left_semi")
     chained = durable(linking.runs(cells, keys))
     heads = C.run_heads(chained, keys, "first_id")
-    asked = F.element_at(F.filter(grid, lambda g: g["window_us"] == F.col("window_us")), 1)["min_sim"]
-    placed = chained.join(heads.select(*keys, "run", "node"), [*keys, "run"]).withColumn("min_sim", asked)
+    asked = F.element_at(F.filter(grid, lambda g: g["window_us"] == F.col("window_us")), 1)["min_sims"]
+    placed = chained.join(heads.select(*keys, "run", "node"), [*keys, "run"]).withColumn("min_sims", asked)
     # Neighbouring buckets repeat edges between the same runs; they are combined before the rounds.
     links = linking.cell_forest(placed, units, ["window"])
     node = lambda c: F.struct("window", F.col(c).alias("id")).alias(c)

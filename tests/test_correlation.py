@@ -64,6 +64,33 @@ def test_blocks_split_a_crowded_bucket(spark, monkeypatch):
     assert got == union_find(range(60), [(a, b) for a, b, _, _ in brute_edges(rows, vecs, 5, 0.9)])
 
 
+def test_connected_cells_are_not_compared_again():
+    """One dense group and 15 others: comparisons follow the cells, not their square."""
+    rng = np.random.default_rng(1)
+    n, made = 6000, []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            made.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    axis = np.eye(16)[np.where(np.arange(n) < 60, np.arange(n) % 16, 0)]
+    rows = {
+        "embedding": np.array([*(axis + rng.normal(scale=0.05, size=(n, 16)))] + [None], dtype=object)[:-1],
+        "vec_id": np.arange(n), "node": np.arange(n), "block": np.zeros(n, int), "ahead": (np.arange(n) >= n // 2).astype(int),
+        "i": np.zeros(n, int), "j": np.zeros(n, int), "first_us": np.zeros(n, int), "last_us": np.zeros(n, int),
+        "window_us": np.full(n, 10), "min_sims": np.array([[0.5, 0.8]] * n),
+    }
+    units = linking._units
+    linking._units = lambda: lambda v: units()(v).view(Counted)
+    try:
+        found = [np.concatenate(c) for c in zip(*linking._forest_edges()(rows), strict=True)]
+    finally:
+        linking._units = units
+    assert len(found[0]) == n - 16 and set(found[2]) == {0.8}
+    assert (axis[found[0]] == axis[found[1]]).all() and sum(made) < 0.05 * n * n
+
+
 @pytest.fixture
 def crowded(monkeypatch):
     """Blocks are tiny, so that every bucket takes several."""
