@@ -137,6 +137,47 @@ def test_small_blocks_give_the_same_edges(spark, crowded, seed):
     assert counts == len(brute_edges(rows, vecs, 60, 0.1, cross=0.6))
 
 
+@pytest.mark.parametrize("most", [0, 3, 20])
+def test_crowded_cells_give_the_same_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(linking, "CROWD", most)
+    rows, vecs, alerts, vectors = tables(spark, 5)
+    packed = linking.similarity_edges(alerts, vectors, 60, 0.3).collect()
+    assert sorted(unpack(rows, packed)) == sorted((a, b) for a, b, _, _ in brute_edges(rows, vecs, 60, 0.3))
+    assert len({(e.src, e.vec_b) for e in packed}) == len(packed)
+    counts = linking.cross_service_edges(alerts, vectors, 60, 0.1, 0.6).agg(F.sum("n_links")).first()[0]
+    assert counts == len(brute_edges(rows, vecs, 60, 0.1, cross=0.6))
+
+
+def test_edges_of_repeated_rows(spark):
+    """Vectors that come twice, alerts that come twice, and an id at two places give no copies of links."""
+    rows, vecs, alerts, vectors = tables(spark, 5)
+    once = linking.similarity_edges(alerts, vectors, 60, 0.3).collect()
+    assert sorted(linking.similarity_edges(alerts, vectors.unionByName(vectors), 60, 0.3).collect()) == sorted(once)
+    moved = alerts.where("alert_id = 3").withColumn("ts_us", F.col("ts_us") + 5 * SECOND)
+    again = linking.similarity_edges(alerts.unionByName(alerts.where("alert_id < 5")).unionByName(moved), vectors, 60, 0.3).collect()
+    pairs = {(e.src, e.vec_b) for e in again}
+    assert len(pairs) == len(again) and {(e.src, e.vec_b) for e in once if e.src != 3} <= pairs
+
+
+def test_edges_are_not_stored(spark, monkeypatch):
+    """Many similar vectors in one bucket: what is stored follows the alerts, not their links."""
+    from alertloom.operators import ordering
+
+    written, keep = [], linking.durable
+
+    def counted(df, *args):
+        out = keep(df, *args)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ordering, "durable", counted)
+    monkeypatch.setattr(linking, "durable", counted)
+    rows = [(i, i * SECOND, "s-1", "WARN", "m", i) for i in range(300)]
+    vecs = [(v, [1.0, 0.001 * v]) for v in range(300)]
+    packed = linking.similarity_edges(alerts_df(spark, rows), vectors_df(spark, vecs), 1000, 0.9)
+    assert packed.count() == 300 * 299 // 2 and sum(written) <= len(rows)
+
+
 def test_vectors_that_never_meet_make_no_rows(spark, monkeypatch):
     """Similar vectors, each active in 20 minutes of its own: what is written follows alerts and edges."""
     written = []
