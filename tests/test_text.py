@@ -1,3 +1,5 @@
+import hashlib
+import math
 import re
 
 import pytest
@@ -5,6 +7,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from alertloom.functions import text
+from alertloom.operators import embedding
+from alertloom.plans import correlation
 
 
 def python_clean(s: str, flags: int = 0) -> str:
@@ -88,3 +92,44 @@ def test_regex_groups_handles_its_own_separator(spark):
     assert len(got[1]) != 3
     assert got[2] == ["1", "a", "b\x1fc"]
     assert got[3] == ["12", "ab", ""]
+
+
+def test_text_vectors_equal_plain_counts_and_open_no_word_rows(spark):
+    texts = ["a b  a", "B A c", "", None, "İ Σ ß é", " lead", *[f"w{i} w{i % 7} w{i % 3}" for i in range(40)]]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *texts[:9]]], "tagged string").withColumn("vec_id", F.md5("tagged"))
+    made = embedding.text_vectors(rows, 16)
+    lowered = {r.tagged: r.low for r in rows.select("tagged", F.lower("tagged").alias("low")).collect()}
+    counts = {}
+    for t in texts:
+        counts[t] = [0] * 16
+        for word in (lowered[t] or "").split(" "):
+            if word:
+                counts[t][int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 16] += 1
+    df = [sum(c[d] > 0 for c in counts.values()) for d in range(16)]
+    got = {r.tagged: r.embedding for r in made.collect()}
+    assert len(got) == made.count() == len(texts)
+    for t, c in counts.items():
+        weights = [n * (1 + math.log((len(texts) + 1) / (df[d] + 1))) for d, n in enumerate(c)]
+        length = math.sqrt(sum(w * w for w in weights)) or 1.0
+        assert got[t] == pytest.approx([w / length for w in weights], abs=1e-12)
+    terms = {(r.vec_id, r.dim): r.n for r in embedding.term_counts(rows.select("vec_id", "tagged").distinct(), 16).collect()}
+    ids = {r.tagged: r.vec_id for r in rows.collect()}
+    assert terms == {(ids[t], d): n for t, c in counts.items() for d, n in enumerate(c) if n}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "element_at" not in plan
+
+
+def test_text_is_cleaned_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, i * 10_000_000, f"svc{i % 2}", "ERROR", f"m{i % 3} failed", f"m{i % 3} failed") for i in range(30)]
+    made = spark.createDataFrame(rows, "alert_id long, ts_us long, service string, severity string, message string, cleaned_message string")
+    made = made.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz")).withColumn("source", F.lit("s"))
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = correlation.correlate_text(made.mapInArrow(count, made.schema), window_sec=60, threshold=0.9)
+    assert found.members.count() == 30 and found.incidents.count() > 1
+    assert seen.value == 30
