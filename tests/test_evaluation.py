@@ -113,3 +113,17 @@ def test_text_of_small_incident(spark):
     assert tags == ["CART", "FATAL", "AIOPS", "P1"]
     steps = I.timeline(found.members, found.incidents).orderBy("row").collect()
     assert [(s.t, s.d, s.now) for s in steps] == [("00:01:05", "WARN · slow", False), ("00:00:00", "FATAL · disk gone", True)]
+
+
+def test_faults_are_not_copied_to_levels(spark):
+    inc = spark.createDataFrame(
+        [(n, f"inc_{n}", n * 100 * SECOND, (n * 100 + 50_000) * SECOND, "svc1-0", ["svc1-0"], 2) for n in range(20)],
+        "incident_no long, incident_id string, start_us long, end_us long, root_service string, services array<string>, member_count int",
+    )
+    flt = spark.createDataFrame([(f"f{n}", n * 7 * SECOND, "svc1") for n in range(500)], "fault_id string, ts_us long, cmdb_id string")
+    matched = E.fault_match(flt, inc, 600)
+    assert matched.count() == 500 == matched.where("detected").count()
+    lines = matched._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    opened = [at for at, line in enumerate(lines) if "Generate explode(" in line]
+    # What is opened to levels are the distinct buckets of faults.
+    assert opened and all("Aggregate" in "".join(lines[at + 1 : at + 3]) for at in opened), lines
