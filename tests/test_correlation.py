@@ -91,6 +91,44 @@ def test_connected_cells_are_not_compared_again():
     assert (axis[found[0]] == axis[found[1]]).all() and sum(made) < 0.05 * n * n
 
 
+def block_rows(vecs, n_left, **more):
+    """Rows of one pair of blocks: the first n_left cells are of a bucket, the rest of the next one."""
+    n = len(vecs)
+    cells = {
+        "embedding": np.array([*np.asarray(vecs, float), None], dtype=object)[:-1], "vec_id": np.arange(n), "node": np.arange(n),
+        "block": np.zeros(n, int), "ahead": (np.arange(n) >= n_left).astype(int), "i": np.zeros(n, int), "j": np.zeros(n, int),
+        "first_us": np.zeros(n, int), "last_us": np.zeros(n, int), "window_us": np.full(n, 10), "anchor": np.zeros(n, int),
+    }
+    return cells | more
+
+
+def test_components_of_blocks_are_stars():
+    """A level hangs what was a component at the level before on the smallest node."""
+    turn = np.repeat([0.0, 2.0, 2.3, 4.0], 10) + np.arange(40) * 1e-3
+    rows = block_rows(np.stack([np.cos(turn), np.sin(turn)], axis=1), 35, min_sims=np.array([[0.9, 0.99]] * 40))
+    found = [np.concatenate(c) for c in zip(*linking._forest_edges()(rows), strict=True)]
+    assert sorted(zip(*found, strict=True)) == sorted(
+        [(10 * (x // 10), x, 0.99) for x in range(40) if x % 10] + [(10, 20, 0.9)]
+    )
+
+
+def test_cells_are_compared_in_32_bits_and_decided_in_64(monkeypatch):
+    """Cosines beside the threshold, nearer than 32 bits tell apart, fall on their side of it."""
+    turn = np.arccos(0.6) + np.array([*[1e-9] * 5, *[-1e-9] * 5])
+    vecs = np.stack([np.cos([0, *turn]), np.sin([0, *turn])], axis=1)
+    kinds, units = set(), linking._units()
+
+    class Noted(np.ndarray):
+        def __matmul__(self, other):
+            kinds.add(self.dtype)
+            return np.asarray(self) @ np.asarray(other)
+
+    monkeypatch.setattr(linking, "_units", lambda: lambda v: units(v).view(Noted))
+    rows = block_rows(vecs, 1, min_sim=np.full(11, 0.6))
+    found = [np.concatenate(c) for c in zip(*linking._forest_edges()(rows), strict=True)]
+    assert found[1].tolist() == [6, 7, 8, 9, 10] and kinds == {np.dtype(np.float32)}
+
+
 @pytest.fixture
 def crowded(monkeypatch):
     """Blocks are tiny, so that every bucket takes several."""
