@@ -129,6 +129,35 @@ def test_cells_are_compared_in_32_bits_and_decided_in_64(monkeypatch):
     assert found[1].tolist() == [6, 7, 8, 9, 10] and kinds == {np.dtype(np.float32)}
 
 
+def test_graph_rows_of_blocks_compare_what_time_allows(monkeypatch):
+    """Cells of one alert each: half of the pairs lie too early or too late, and are not multiplied."""
+    rng = np.random.default_rng(3)
+    n, half, window = 2000, 1000, 1_000_000
+    at = np.concatenate([rng.integers(0, window, half), rng.integers(window, 2 * window, half)])
+    lists = lambda v: np.array([*[[int(x)] for x in v], None], dtype=object)[:-1]
+    vecs = rng.normal(size=(n, 8))
+    more = {"times": lists(at), "ids": lists(np.arange(n)), "crowded": np.zeros(n, bool), "window_us": np.full(n, window)}
+    made, units = [], linking._units()
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            made.append((self.shape[0] * other.shape[1], self.dtype))
+            return np.asarray(self) @ np.asarray(other)
+
+    monkeypatch.setattr(linking, "_units", lambda: lambda v: units(v).view(Counted))
+    monkeypatch.setattr(linking, "TILE", 1 << 14)
+    rows = block_rows(vecs, half, **more)
+    found = [np.concatenate(c) for c in zip(*linking._cell_spans(0.5, None, True)(rows), strict=True)]
+    sims = units(rows["embedding"]) @ units(rows["embedding"]).T
+    gap = at[None, :] - at[:, None]
+    later = (gap > 0) | ((gap == 0) & (np.arange(n)[None, :] > np.arange(n)[:, None]))
+    src, dst = np.nonzero((sims >= 0.5) & later & (gap <= window) & (np.arange(n) < half)[:, None])
+    assert sorted(zip(found[0], found[1], strict=True)) == sorted(zip(src, dst, strict=True))
+    order = np.lexsort((found[1], found[0]))
+    assert np.allclose(np.asarray(found[2])[order], sims[src, dst], rtol=0, atol=1e-12) and (found[5] == 1).all()
+    assert sum(m for m, _ in made) < 0.55 * half * n and {k for _, k in made} == {np.dtype(np.float32)}
+
+
 @pytest.fixture
 def crowded(monkeypatch):
     """Blocks are tiny, so that every bucket takes several."""
