@@ -129,6 +129,16 @@ def test_cells_are_compared_in_32_bits_and_decided_in_64(monkeypatch):
     assert found[1].tolist() == [6, 7, 8, 9, 10] and kinds == {np.dtype(np.float32)}
 
 
+def test_cells_of_one_base_link_at_their_own_threshold():
+    """Both thresholds in one comparison: far cells link inside a base only, and cells without a base have none in common."""
+    turn = np.array([0.0, 0.1, 0.8, 0.9, 1.6, 1.7, 2.4, 2.5])
+    base = np.array(["x", "x", "x", "y", "y", "z", None, None], dtype=object)
+    rows = block_rows(np.stack([np.cos(turn), np.sin(turn)], axis=1), 8, base=base, min_sim=np.full(8, 0.99), base_sim=np.full(8, 0.6))
+    found = [np.concatenate(c) for c in zip(*linking._forest_edges()(rows), strict=True)]
+    near = [(0, 1, 0.99), (2, 3, 0.99), (4, 5, 0.99), (6, 7, 0.99)]
+    assert sorted(zip(*found, strict=True)) == sorted([*near, (0, 2, 0.6), (0, 4, 0.6)])
+
+
 def test_graph_rows_of_blocks_compare_what_time_allows(monkeypatch):
     """Cells of one alert each: half of the pairs lie too early or too late, and are not multiplied."""
     rng = np.random.default_rng(3)
