@@ -139,6 +139,18 @@ def test_cells_of_one_base_link_at_their_own_threshold():
     assert sorted(zip(*found, strict=True)) == sorted([*near, (0, 2, 0.6), (0, 4, 0.6)])
 
 
+def test_few_components_meet_their_members_without_a_shuffle_of_vectors(spark):
+    vectors = vectors_df(spark, [(v, [1.0, float(v)]) for v in range(6)])
+    counts = spark.createDataFrame([(v % 2, v, 2, 0, 1) for v in range(6)], "component_id long, vec_id long, n long, first_us long, last_us long")
+    figures = I.group_figures(counts, vectors)
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(component_id" not in plan
+    unit = {v: np.array([1.0, v]) / np.hypot(1.0, v) for v in range(6)}
+    for row in figures.collect():
+        whole = 2 * sum(unit[v] for v in range(6) if v % 2 == row.component_id)
+        assert row.members == 6 and abs(row.cohesion - (unit[row.vec_id] @ whole - 1) / 5) < 1e-12
+
+
 def test_graph_rows_of_blocks_compare_what_time_allows(monkeypatch):
     """Cells of one alert each: half of the pairs lie too early or too late, and are not multiplied."""
     rng = np.random.default_rng(3)
