op5_source_mixing: walk permuted blocks in compiled projections, once a slot

Symptom: the mix took 354 CPU seconds a GB, and one stage that numbers slots took 126 of its JVM CPU seconds on 0.51 GB.
Evidence: that stage evaluates an interpreted lambda of 64 steps for each slot, and its plan has the whole walk a second time in a filter that the join adds for null blocks; the next stage, which counts words, spends 31 JVM CPU seconds in a possessive regular expression.
Fix: constants and the first two steps of the walk are projections, permuted() goes on with the rows left over and stops after 4 more steps for nearly all of them, blocks are never null so the filter is gone; words are matched by \S+, the same characters. Slots, shards, permutation and the join by index are as before.
Effect: at 0.6 GB of input CPU 394 -> 204 s, shuffle 0.10 -> 0.10 GB, spill 0.00 -> 0.00 GB, read 0.62 -> 0.62 GB, longest task 14 -> 5 s, most memory of a task 122 -> 122 MB; at 6 GB of input CPU 2430 -> 639 s, shuffle 0.93 -> 0.93 GB, spill 0.00 -> 0.00 GB, read 6.18 -> 6.18 GB, longest task 15 -> 10 s, most memory of a task 537 -> 537 MB; with hot keys, at 0.6 GB of input CPU 254 -> 194 s, shuffle 0.05 -> 0.05 GB, spill 0.00 -> 0.00 GB, read 0.19 -> 0.19 GB, longest task 13 -> 4 s, most memory of a task 111 -> 111 MB.

@@ -26,7 +26,8 @@ SHARE = 1.5
 MOST = 2
 WEIGHTS = (3, 1, 2)
 PICKS = 4096  # cells of [0, 1) by which draws find their source
-WORD = r"[^\x20\x09-\x0D]++"
+STEPS = 2  # steps of a permutation that are projections, each leaves half of its rows at most; more take long to plan
+WORD = r"\S+"  # all but \x20 and \x09 to \x0D
 
 
 def words_in(text: Column) -> Column:
@@ -67,25 +68,52 @@ def running(df: DataFrame, group: str, chunk: str, order: list[Column], value: s
     return local.join(totals, [group, chunk]).withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before")
 
 
-def permuted(index: Column, n: Column, seed: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1 at index, one for each seed; n is at most 2 ** 40."""
+def _constants(n: Column, seed: Column) -> dict[str, Column]:
+    """What a step of the permutation of 0..n-1 needs: the mask of its bits, half of them, two summands below the mask."""
     bits = F.greatest(F.lit(1), F.length(F.bin(n - 1))).cast("int")
-    step = F.struct(
-        F.lit(0).cast("long").alias("x"), n.alias("n"),
-        (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("mask"), F.ceil(bits / 2).cast("int").alias("half"),
-        F.xxhash64(seed, F.lit(1)).alias("c1"), F.xxhash64(seed, F.lit(2)).alias("c2"),
-    )
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    return {
+        "mask": mask, "half": F.ceil(bits / 2).cast("int"),
+        "c1": F.xxhash64(seed, F.lit(1)).bitwiseAND(mask), "c2": F.xxhash64(seed, F.lit(2)).bitwiseAND(mask),
+    }
+
+
+def _step(x: Column, s: dict[str, Column] | Column) -> Column:
+    """The place after x, among all that the mask allows."""
+    for odd, add in ((740_101, "c1"), (915_781, "c2"), (610_537, "c1")):
+        x = (x * F.lit(odd).cast("long") + s[add]).bitwiseAND(s["mask"])
+        x = x.bitwiseXOR(_right(x, s["half"]))
+    return x
 
-    def mixed(x: Column, s: Column) -> Column:
-        for odd, add in ((740_101, "c1"), (915_781, "c2"), (610_537, "c1")):
-            x = (x * F.lit(odd).cast("long") + s[add].bitwiseAND(s["mask"])).bitwiseAND(s["mask"])
-            x = x.bitwiseXOR(_right(x, s["half"]))
-        return x
 
-    begin = step.withField("x", index.cast("long"))
-    once = lambda s: s.withField("x", mixed(s["x"], s))
-    # Each step of the walk stays below n with a chance of half or more.
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(begin), lambda s, _: F.when(s["x"] < s["n"], s).otherwise(once(s)), lambda s: s["x"])
+def permuted(index: Column, n: Column, seed: Column, known: dict[str, Column] | None = None) -> Column:
+    """A pseudorandom permutation of 0..n-1 at index, one for each seed; n is at most 2 ** 40.
+
+    An index at n or above is a place where a walk goes on. known may give the constants of n and seed as columns.
+    """
+    known = known or _constants(n, seed)
+    begin = F.struct(_step(index.cast("long"), known).alias("x"), n.alias("n"), *[c.alias(name) for name, c in known.items()])
+    walk = lambda s, _: F.when(s["x"] < s["n"], s).otherwise(s.withField("x", _step(s["x"], s)))
+    # Each step of the walk stays below n with a chance of half or more: few walks are longer than the first sequence.
+    longer = lambda s: F.aggregate(F.sequence(F.lit(5), F.lit(64)), s, walk, lambda s: s["x"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), begin, walk, lambda s: F.when(s["x"] < s["n"], s["x"]).otherwise(longer(s)))
+
+
+def with_permuted(rows: DataFrame, index: Column, n: str, seed: Column, out: str) -> DataFrame:
+    """Add `out`: permuted(index, n, seed), with n a column of rows.
+
+    The first STEPS steps are projections, which Spark compiles, while it interprets the lambdas of `permuted` for each
+    row; that takes the rows whose walk is longer.
+    """
+    constants = {f"_{name}": c for name, c in _constants(F.col(n), seed).items()}
+    known = {name[1:]: F.col(name) for name in constants}
+    x = F.col(out)
+    rows = rows.withColumns(constants).withColumn(out, _step(index.cast("long"), known))
+    for _ in range(STEPS - 1):
+        rows = rows.withColumn(out, F.when(x < F.col(n), x).otherwise(_step(x, known)))
+    walked = F.when(x < F.col(n), x).otherwise(permuted(x, F.col(n), seed, known))
+    # Never null: a join would look for nulls below the projections, and take the walk once more for that.
+    return rows.withColumn(out, F.coalesce(walked, F.lit(-1).cast("long"))).drop(*constants)
 
 
 def _right(x: Column, by: Column) -> Column:
@@ -153,7 +181,7 @@ def slots(plan: DataFrame) -> DataFrame:
     tasks = -(-(counts.agg(F.sum("count")).first()[0] or 1) // SLOTS)
     one = counts.repartition(tasks, "sid", "shard").select("sid", "shard", "n", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("count") - 1)).alias("k"))
     one = one.withColumn("pass", F.floor(F.col("k") / F.col("n"))).where(F.col("pass") < MOST)
-    return one.select("sid", "shard", "pass", permuted(F.col("k") % F.col("n"), F.col("n"), F.xxhash64("sid", "pass")).alias("block"))
+    return with_permuted(one, F.col("k") % F.col("n"), "n", F.xxhash64("sid", "pass"), "block").select("sid", "shard", "pass", "block")
 
 
 def cut(rows: DataFrame) -> DataFrame:

@@ -91,6 +91,30 @@ def test_permutations_are_bijections(spark, n):
     assert n < 64 or got[1] != got[2]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 33, 1000, 4097])
+def test_projected_steps_give_the_same_permutation(spark, n):
+    """n just above a power of two leaves half of the places after each step, so `permuted` goes on with some of them."""
+    ids = spark.range(n).select("id", F.lit(n).cast("long").alias("n"))
+    got = mixing.with_permuted(ids, F.col("id"), "n", F.lit(7), "block")
+    assert got.columns == ["id", "n", "block"]
+    right = {r.id: r.p for r in ids.select("id", mixing.permuted(F.col("id"), F.col("n"), F.lit(7)).alias("p")).collect()}
+    assert {r.id: r.block for r in got.collect()} == right
+
+
+def test_the_walk_is_taken_once_a_slot(spark):
+    """Its join once asked for blocks that are not null, which made each slot walk in a filter as well."""
+    docs = spark.createDataFrame(corpus(), DOCS)
+    plan = mixing.met(mixing.placed(docs, carry=False))._jdf.queryExecution().executedPlan().toString()
+    walks = [line for line in plan.splitlines() if "aggregate(" in line and "HashAggregate" not in line]
+    assert walks and not any("Filter" in line for line in walks)
+
+
+@pytest.mark.parametrize("text", ["", " \t\n\x0b\x0c\r", "a\x0bb\x0cc\rd\n e", "a\u00a0b\u2003c\u0085d \x1c\x1f\x00 e", "\U0001f600 \u3000x", None])
+def test_words_end_at_ascii_white_space_only(spark, text):
+    got = spark.createDataFrame([(text,)], "text string").select(mixing.words_in(F.col("text")).alias("n")).first().n
+    assert got == size(text)
+
+
 def test_slots_take_each_block_once_a_pass(spark):
     plan = spark.createDataFrame([(0, 64_000, 100_000.0), (1, 640, 1280.0), (2, 0, 0.0)], "sid int, source_size long, target double")
     got = mixing.slots(plan).collect()
