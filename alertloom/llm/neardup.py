@@ -77,22 +77,32 @@ def shingle_hashes(chunk: list[bytes], width: int = WIDTH) -> tuple[np.ndarray,
     return T.mix64(total), first
 
 
+def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first) with each text's repeats left out, its hashes in order."""
+    h = h.copy()
+    for a, b in itertools.pairwise(first):
+        h[a:b].sort()
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[first[:-1][first[1:] > first[:-1]]] = True
+    return h[fresh], np.concatenate([[0], np.cumsum(fresh)])[first]
+
+
 def _signed(chunk: list[bytes]) -> dict[str, pa.Array]:
-    h, first = shingle_hashes(chunk)
-    n, one, two = np.zeros(len(chunk), np.int64), np.zeros(len(chunk), np.uint64), np.zeros(len(chunk), np.uint64)
-    for i, (a, b) in enumerate(itertools.pairwise(first)):
-        own = np.unique(h[a:b])
-        n[i] = len(own)
-        one[i], two[i] = own.sum(dtype=np.uint64), T.mix64(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    low = (h >> np.uint64(32)).astype(np.uint32)
-    places = np.empty((len(_ODD), len(chunk)), np.uint64)
-    for k in range(len(_ODD)):
-        least = T.per_text((low ^ _XOR[k]) * _ODD[k], first, np.minimum)
-        places[k] = T.mix64(least.astype(np.uint64)) & np.uint64(0xFFFF)
-    signature = np.ascontiguousarray(places.T.astype("<u2"))
+    own, first = _distinct(*shingle_hashes(chunk))
+    one, two = T.per_text(own, first), T.per_text(T.mix64(own ^ np.uint64(0x5851F42D4C957F2D)), first)
     full = first[1:] > first[:-1]
+    places = np.zeros((len(_ODD), len(chunk)), "<u2")
+    if len(own):
+        low, start = (own >> np.uint64(32)).astype(np.uint32), first[:-1][full]
+        mixed = np.empty_like(low)
+        for k in range(len(_ODD)):
+            np.multiply(np.bitwise_xor(low, _XOR[k], out=mixed), _ODD[k], out=mixed)
+            least = np.minimum.reduceat(mixed, start)
+            places[k, full] = T.mix64(least.astype(np.uint64)) & np.uint64(0xFFFF)
+    signature = np.ascontiguousarray(places.T)
     signed = [signature[i].tobytes() if full[i] else None for i in range(len(chunk))]
-    made = {"n": pa.array(n), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64))}
+    made = {"n": pa.array(np.diff(first)), "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64))}
     return made | {"signature": pa.array(signed, pa.binary())}
 
 
@@ -288,11 +298,8 @@ def _linked(percent: int):
 
 
 def _sets(chunk: list[bytes]) -> dict[str, pa.Array]:
-    h, first = shingle_hashes(chunk)
-    own = [np.unique(h[a:b]) for a, b in itertools.pairwise(first)]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-    values = np.concatenate(own) if own else np.zeros(0, np.uint64)
-    return {"shingles": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))}
+    own, first = _distinct(*shingle_hashes(chunk))
+    return {"shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(own.view(np.int64)))}
 
 
 def _near_in_size(a: str, b: str, percent: int):

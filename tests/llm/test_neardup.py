@@ -134,6 +134,23 @@ def test_dense_buckets_are_confirmed_in_their_tasks(spark, monkeypatch, hashes):
     assert got == right and 1 < len(set(right.values())) < 150
 
 
+def test_signatures_and_sets_of_texts_with_repeats():
+    """Repeated shingles count once, texts without words have no signature, and a text's neighbours change nothing."""
+    texts = [b"", b"a b c d e f g", b"a b c d e a b c d e a b c d e", b" ", b"a b", b"a b c d e a b c d e"]
+    got = neardup._signed(texts)
+    sets = neardup._sets(texts)["shingles"].to_pylist()
+    assert got["n"].to_pylist() == [len(shingles(t.decode())) for t in texts] == [len(s) for s in sets]
+    assert [s is None for s in got["signature"].to_pylist()] == [not shingles(t.decode()) for t in texts]
+    for i, text in enumerate(texts):
+        h = np.unique(neardup.shingle_hashes([text])[0])
+        assert np.array(sets[i], np.int64).tolist() == h.view(np.int64).tolist()
+        alone = neardup._signed([text])
+        assert all(alone[c][0] == got[c][i] for c in got)
+    n, kept = neardup._distinct(*neardup.shingle_hashes([texts[2], texts[5]]))
+    assert len(n) == kept[-1] == 10  # no repeats go on to the minimum hashes
+    assert neardup._signed([])["n"].to_pylist() == [] and neardup._sets([])["shingles"].to_pylist() == []
+
+
 def test_a_crowd_is_linked_without_listing_its_pairs():
     """4,000 near copies in one cell: the rows leave it as a crowd, and as many links as join them come of it."""
     rng = np.random.default_rng(2)
